@@ -19,9 +19,11 @@ rows score alike; a null doc_id counts as not held out; other columns are ignore
 from __future__ import annotations
 
 import itertools
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +32,26 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, remainder, sliced
 
-ORDER, SPAN, DECAY, LETTERS = 4, 6, 0.6, 27
+ORDER, SPAN, DECAY = 4, 6, 0.6
+MARKED = "àáâäåæçèéêëíîñóôöøùúûüß"  # letters of their own, besides a to z
+EDGE = 27 + len(MARKED)  # stands before and after each word
+LETTERS = EDGE + 1
 _OFFSETS = [(0, *c) for c in itertools.combinations(range(1, SPAN), ORDER - 1)]
 
 
 def _classes() -> np.ndarray:
-    """Latin-1 byte to letter 1-26, 0 for signs (skipped), 255 for white space. Accents are dropped."""
-    import unicodedata
-
+    """Latin-1 byte to letter, 0 for signs (skipped), 255 for white space; accents not in MARKED are dropped."""
     out = np.zeros(256, np.uint8)
     for b in range(256):
-        base = unicodedata.normalize("NFKD", chr(b)).lower()[:1]
-        out[b] = ord(base) - 96 if "a" <= base <= "z" else 19 if b == 0xDF else 0
+        low = chr(b).lower()
+        base = unicodedata.normalize("NFKD", low)[:1]
+        out[b] = 27 + MARKED.index(low) if low in MARKED else ord(base) - 96 if "a" <= base <= "z" else 0
     out[[9, 10, 11, 12, 13, 32]] = 255
     return out
 
 
 _CLASS = _classes()
+#: Norm of a word of n letters none of whose subsequences repeat; any other word's is larger.
 _NORM = np.zeros(4096)
 for _o in _OFFSETS:
     _NORM += np.maximum(0, np.arange(4096) - _o[-1]) * DECAY ** (2 * (_o[-1] + 1))
@@ -61,9 +66,11 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     space = code == 255
     word = np.cumsum(space)
     keep = (code != 0) & ~space
-    code, word, owner = code[keep], word[keep], owner[keep]
+    code, word, owner = code[keep].astype(np.int32), word[keep], owner[keep]
     starts = np.flatnonzero(np.diff(word, prepend=-1)) if len(word) else np.zeros(0, np.int64)
-    return code.astype(np.int32), starts, owner[starts]
+    ends = np.append(starts[1:], len(code)) if len(starts) else starts
+    edged = np.insert(code, np.sort(np.concatenate([starts, ends])), EDGE)
+    return edged, starts + 2 * np.arange(len(starts)), owner[starts]
 
 
 def subsequences(code: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -78,32 +85,41 @@ def subsequences(code: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndar
         yield at, key, DECAY ** (offsets[-1] + 1)
 
 
-def word_scores(code: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The table's weights over the subsequences of each word, by the word's norm."""
+def word_scores(code: np.ndarray, starts: np.ndarray, table: np.ndarray, near: float = 1.0) -> np.ndarray:
+    """The table's weights over the subsequences of each word, by the word's norm; exact from ``near`` upwards."""
     if not len(starts):
         return np.zeros(0)
     total = np.zeros(len(code), np.float32)
     for at, key, weight in subsequences(code, starts):
         total[at] += table[key] * np.float32(weight)
-    n = np.diff(np.append(starts, len(code)))
-    return np.add.reduceat(total, starts) / _NORM[np.minimum(n, 4095)]
-
-
-def embed(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Subsequences and weights of each word, divided by its norm."""
-    out = []
-    for w in words:
-        code, starts, _ = letters([w])
-        keys, weights = [], []
-        for _at, key, weight in subsequences(code, starts[:1]):
-            keys.append(key)
-            weights.append(np.full(len(key), weight))
-        k, inverse = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        total = np.bincount(inverse, np.concatenate(weights) if keys else None, len(k)) if len(k) else np.zeros(0)
-        out.append((k, total / _NORM[min(len(code), 4095)]))
+    ends = np.append(starts[1:], len(code))
+    short = _NORM[np.minimum(ends - starts, 4095)]
+    out = np.add.reduceat(total, starts) / short
+    for i in np.flatnonzero(out >= near):  # the short norm never lowers a positive score, so few are left
+        out[i] *= short[i] / _norm_of(code[starts[i] : ends[i]].tobytes())
     return out
 
 
+@lru_cache(100_000)
+def _norm_of(word: bytes) -> float:
+    _, weights = _subsequences_of(np.frombuffer(word, np.int32))
+    return max(float(np.sqrt((weights**2).sum())), DECAY**ORDER)
+
+
+def _subsequences_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(key, np.full(len(key), weight)) for _, key, weight in subsequences(code, np.zeros(min(1, len(code)), np.int64))]
+    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([w for _, w in parts]), len(keys)) if len(keys) else np.zeros(0)
+
+
+@lru_cache(20_000)
+def embed(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequences and weights of a word, divided by its norm."""
+    code, _, _ = letters([word])
+    keys, weights = _subsequences_of(code)
+    return keys, weights / max(float(np.sqrt((weights**2).sum())), DECAY**ORDER)
+
+
 @dataclass
 class Model:
     table: np.ndarray
@@ -115,13 +131,13 @@ class Model:
         code, starts, owner = letters(texts)
         worst = np.full(len(texts), self.bias)
         if len(starts):
-            f = word_scores(code, starts, self.table) + self.bias
+            f = word_scores(code, starts, self.table, near=max(0.0, -self.bias - 2)) + self.bias
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             worst[owner[first]] = np.maximum.reduceat(f, first)
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
     """Linear support vector machine in the primal, by Newton steps over the support vectors."""
     x = np.hstack([x, np.ones((len(x), 1))])
     keep = np.eye(x.shape[1]) * ridge
@@ -159,23 +175,23 @@ def _spoken(text: str) -> set[str]:
 
 
 def _telling(bad: list[set[str]], clean: Counter, n_clean: int) -> list[str]:
-    """Words that cover the toxic documents: greedily the word in most that have none yet, if it is
-    at most a fiftieth as frequent in clean ones; then all others that pass for many documents."""
-    rate = lambda w, n: clean[w] / max(1, n_clean) * 50 <= n / max(1, len(bad))
+    """Words that tell toxic documents: all that are in many, then greedily those in most that have none, if
+        at most a thirtieth as frequent in clean ones, of which one more than seen is assumed."""
+    rate = lambda w, n: (clean[w] + 1) / (n_clean + 1) * 30 <= n / max(1, len(bad))
     held = Counter(w for d in bad for w in d)
     found = [w for w, n in sorted(held.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, len(bad) // 100) and rate(w, n)][:150]
     known, open_ = set(found), [d for d in bad if not d & set(found)]
     while open_:
         left = Counter(w for d in open_ for w in d if rate(w, held[w]))
         best, n = max(left.items(), key=lambda x: (x[1], held[x[0]], x[0]), default=("", 0))
-        if n < 2 or len(known) >= 200:
+        if n < 3 or len(known) >= 200:
             break
         known.add(best)
         open_ = [d for d in open_ if best not in d]
     return sorted(known)
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = 192, rounds: int = 3) -> Model:
+def train(texts: list[str], toxic: list[int], landmarks: int = 192, rounds: int = 3, ridge: float = 0.1) -> Model:
     y = np.array(toxic)
     table = np.zeros(LETTERS**ORDER, np.float32)
     share = float(y.mean()) if len(y) else 0.0
@@ -192,14 +208,15 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 192, rounds: int
     telling = _telling(bad, clean, len(once) - len(bad))
     if not telling:
         return flat
-    known = set(telling)
+    known, held = set(telling), Counter(w for d in bad for w in d)  # a word weighs as many documents as have it
+    times = max(1.0, (len(once) - len(bad)) / len(bad))
     pool = sorted((w for w in clean if w not in known), key=lambda w: hash_of((w,)))
     against = pool[:4000]
     code, starts, _ = letters(pool)
     bias = 0.0
     for turn in range(rounds):
         near = against[-max(0, landmarks - len(telling)) :] if turn else against[: landmarks - len(telling)]
-        marks = embed(telling[:landmarks] + near)
+        marks = [embed(w) for w in telling[:landmarks] + near]
         keys = np.unique(np.concatenate([k for k, _ in marks]))
         phi = np.zeros((len(marks), len(keys)))
         for i, (k, v) in enumerate(marks):
@@ -209,17 +226,17 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 192, rounds: int
         root = vectors[:, good] / np.sqrt(values[good])
         into = phi.T @ root  # from subsequences to Nyström features
         x = np.zeros((len(telling) + len(against), into.shape[1]))
-        for i, (k, v) in enumerate(embed(telling + against)):
+        for i, (k, v) in enumerate(map(embed, telling + against)):
             at = np.searchsorted(keys, k)
             hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == k)
             x[i] = v[hit] @ into[at[hit]]
         sign = np.r_[np.ones(len(telling)), -np.ones(len(against))]
-        w = _squared_hinge(x, sign, np.where(sign > 0, max(1.0, 0.2 * len(against) / len(telling)), 1.0))
+        w = _squared_hinge(x, sign, np.array([times * held[w] for w in telling] + [float(clean[w]) for w in against]), ridge)
         table[:] = 0
         table[keys] = into @ w[:-1]
         bias = float(w[-1])
         if turn < rounds - 1:  # clean words that score highest join
-            order = np.argsort(-word_scores(code, starts, table), kind="stable")[:1500]
+            order = np.argsort(-word_scores(code, starts, table, 0.5), kind="stable")[:1500]
             against = list(dict.fromkeys(against + [pool[i] for i in order[::-1]]))
     model = Model(table, bias, 1.0, 0.0)
     f = np.log(1 / np.clip(1 - model.scores(texts), 1e-12, 1) - 1 + 1e-12)
