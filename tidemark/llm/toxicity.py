@@ -8,7 +8,7 @@ the machine is trained on Nyström features of labelled words. As it is linear i
 subsequences, all its weights fold into one table, and a text's score is that of its worst word,
 calibrated on the training documents.
 
-Training reads at most ``per_class`` labelled documents of either class (2,000 by default), chosen
+Training reads at most ``per_class`` labelled documents of either class (1,000 by default), chosen
 by a hash of the id, and never those with crc32(doc_id) mod 3 = 1.
 
 Defined cases: a null or empty text, or one without letters, scores as a word that is like no
@@ -19,6 +19,7 @@ rows score alike; a null doc_id counts as not held out; other columns are ignore
 from __future__ import annotations
 
 import itertools
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from tidemark.llm.common import documents, remainder, sliced
+from tidemark.llm.common import bounded_batches, documents, remainder, sliced
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
 MARKED = "àáâäåæçèéêëíîñóôöøùúûüß"  # letters of their own, besides a to z
@@ -171,7 +173,7 @@ def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _spoken(text: str) -> set[str]:
-    return {w for w in ("".join(c for c in word if c.isalpha()) for word in text.lower().split()) if len(w) >= ORDER}
+    return {sys.intern(w) for w in ("".join(c for c in word if c.isalpha()) for word in text.lower().split()) if len(w) >= ORDER}
 
 
 def _telling(bad: list[set[str]], clean: Counter, n_clean: int) -> list[str]:
@@ -262,16 +264,15 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[s
     return [t for _, t in found], [picked[i] for i, _ in found]
 
 
-def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> DataFrame:
     """docs with a column toxicity, 0 to 1."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled(docs, labels, per_class)))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             yield part.append_column("toxicity", pa.array(model.value.scores(part.column("text").to_pylist())))
 
-    from pyspark.sql.types import DoubleType, StructType
-
     return docs.mapInArrow(score, StructType(list(docs.schema.fields)).add("toxicity", DoubleType()))
 
 
