@@ -47,6 +47,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` documents, unless the session asks for fewer: texts are long, and JVM and worker each hold batches whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that one slice holds about ``limit`` bytes of ``column``, at least one row."""
     for batch in batches:
@@ -68,7 +75,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000, seed: int = 0):
+    def __init__(self, bound: int = 100_000, seed: int = 0):
         super().__init__()
         self.bound, self.seed = bound, seed
 

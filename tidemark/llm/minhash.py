@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, documents, mix, seeds, settle, sliced, stash, words_of
+from tidemark.llm.common import WordHashes, bounded_batches, documents, mix, seeds, settle, sliced, stash, words_of
 
 _HASHES = WordHashes()
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, m: int = 10, r: int = 3,
     hold several components. Those are compared by an exact prefix-filter join, so a link is lost
     neither to the choice of centres nor to a limit on a table's size.
     """
+    bounded_batches(docs.sparkSession)
     rows = stash(sketches(docs, m, r, width), "sketches")
     classes = rows.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = rows.join(classes, "fp").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "sig")
