@@ -93,9 +93,9 @@ def line_frequency(docs: DataFrame, max_docs: int = 40, min_words: int = 50, min
 def cleaned_texts(docs: DataFrame, max_docs: int = 40) -> DataFrame:
     """docs with the frequent lines taken out of text; the other columns stay as they are."""
     frequent = settle(frequent_lines(lines_of(docs), max_docs))
-    gone = lines_of(docs).join(frequent, ["host", "line"]).filter("id <> home").groupBy("id", "host").agg(F.collect_set("line").alias("_gone"))
-    keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
-    joined = keyed.join(gone, ["id", "host"], "left")
+    gone = lines_of(docs).join(frequent, ["host", "line"]).filter("id <> home").groupBy(F.col("id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
+    joined = keyed.join(gone, ["_id", "_host"], "left")
     stay = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(F.array_join(_words(F.lower(x)), " "))), F.lit(False)))
     return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(docs.columns)
 

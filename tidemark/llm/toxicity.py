@@ -264,16 +264,16 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[s
     return [t for _, t in found], [picked[i] for i, _ in found]
 
 
-def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> DataFrame:
-    """docs with a column toxicity, 0 to 1."""
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1000, name: str = "toxicity") -> DataFrame:
+    """docs with a further column, 0 to 1; docs must have no column of that name."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled(docs, labels, per_class)))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            yield part.append_column("toxicity", pa.array(model.value.scores(part.column("text").to_pylist())))
+            yield part.append_column(name, pa.array(model.value.scores(part.column("text").to_pylist())))
 
-    return docs.mapInArrow(score, StructType(list(docs.schema.fields)).add("toxicity", DoubleType()))
+    return docs.mapInArrow(score, StructType(list(docs.schema.fields)).add(name, DoubleType()))
 
 
 def op8_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,8 @@ def op8_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score 0.7 or more go."""
-    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("toxicity < 0.7").select(docs.columns)
+    name = max(["toxicity", *docs.columns], key=len) + "_"  # no column of docs is called that
+    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name=name).filter(F.col(name) < 0.7).select(docs.columns)
 
 
 QUERIES = {"op8_subsequence_svm": op8_subsequence_svm}
