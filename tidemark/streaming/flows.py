@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,12 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.diff import manifest_diff, snapshot_changes
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+from tidemark.shared import shared_folder
 
 
 def distinct_chunks(chunks: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -43,7 +37,7 @@ def progress_by_window(spark: SparkSession, folder: str, files: str) -> DataFram
     events = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     line = (F.col("user_id") % 4 + 1).cast("int").alias("line_id")
     days = events.groupBy(line, F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("messages"), F.count_if(F.col("event_type") == "view").alias("reports"), F.max("event_id").alias("upto"))
-    own = shared_folder(spark)
+    own = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{own}/result")
