@@ -106,7 +106,8 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    kept = line_frequency(docs).filter("kept").select("doc_id").distinct()
+    # Settled first: a filter on the verdict would otherwise be pushed into the features and repeat them.
+    kept = settle(line_frequency(docs).select("doc_id", "kept")).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(docs.columns)
 
 
