@@ -90,8 +90,9 @@ def test_ids_by_word_equal_ids_of_whole_texts(spark, sf, odd, tokenizer):
 
     ids_of = encoder(public_tokenizers.path("word_bpe_49k.json"))
     more = ["it's A.B, c.. d", "x y\x1cz   é İ 12.5", "<|startoftext|> a", "ß. é, Ω.", ",., a,. .a"]
-    for t in [r.text for r in documents(spark, sf).union(odd.select(documents(spark, sf).columns)).collect()] + more:
-        assert np.frombuffer(ids_of(t), "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+    texts = [r.text for r in documents(spark, sf).union(odd.select(documents(spark, sf).columns)).collect()] + more
+    for t, ids in zip(texts, ids_of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def test_token_store_round_trip(spark, sf, odd, tokenizer):

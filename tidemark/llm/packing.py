@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, room: int, end: int, vocabulary: str) -> DataFrame:
         tail = np.array([end], "<u4").tobytes()
         for batch in sliced(batches):
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = ids_of(text) + tail
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist()), strict=True):
+                ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     own = ids[at : at + 4 * room]
                     n = len(own) // 4

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
-_FOUND: dict[str, Callable[[str | None], bytes]] = {}
+_FOUND: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
+_AT_ONCE = 500
 
 
 class _WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of words between blanks, remembered up to a bound.
 
-    Only for vocabularies that drop white space and lower the case, such as word_bpe_49k: a text's
-    ids are then those of its words, one after another. A ``,`` or ``.`` after a letter a to z is a
-    word of its own there, so such words are looked up in two parts.
+    Only for vocabularies that drop white space, lower the case and mark words' last tokens with
+    ``</w>``, such as word_bpe_49k: a text's ids are then those of its words, one after another. A
+    ``,`` or ``.`` after a letter a to z is a word of its own there. New words made of letters alone
+    are encoded many at once, and parted at the marked tokens.
     """
 
     def __init__(self, path: str, bound: int = 700_000):
@@ -26,26 +28,40 @@ class _WordIds(dict):
         self.bound, self.tokenizer = bound, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
-        if len(word) > 1 and word[-1] in b",." and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        self[word] = ids
+        ids = self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes() if word else b""
         return ids
 
+    def learn(self, words: Iterable[bytes]) -> None:
+        pointed = [w for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122]
+        plain = [w for w in {*words, *(w[:-1] for w in pointed)}.difference(pointed, self.keys()) if w.decode().isalpha()]
+        for i in range(0, len(plain), _AT_ONCE):
+            some = plain[i : i + _AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                data, at = ids.tobytes(), 0
+                for w, e in zip(some, (ends * 4).tolist(), strict=True):
+                    self[w], at = data[at:e], e
+        for w in pointed:
+            self[w] = self[w[:-1]] + self[w[-1:]]
 
-def encoder(path: str) -> Callable[[str | None], bytes]:
-    """Text to ids; one for each worker process, so that its words stay known from task to task."""
-    if path not in _FOUND:
-        known = _WordIds(path)
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        # Blank and newline part words in any case; other white space is left to the tokenizer.
+        split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        every = set().union(*split)
+        if len(self) + len(every) > self.bound:
+            self.clear()
+        self.learn(every - self.keys())
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
-        def ids_of(text: str | None) -> bytes:
-            # Blank and newline part words in any case; other white space is left to the tokenizer.
-            return b"".join(map(known.__getitem__, (text or "").encode().lower().replace(b"\n", b" ").split(b" ")))
 
-        _FOUND[path] = ids_of
+def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
+    """Texts to ids; one for each worker process, so that its words stay known from task to task."""
+    if path not in _FOUND:
+        _FOUND[path] = _WordIds(path).of
     return _FOUND[path]

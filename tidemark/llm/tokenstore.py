@@ -33,7 +33,7 @@ def encoded(docs: DataFrame, end: int, vocabulary: str) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, tail = encoder(vocabulary), np.array([end], "<u4").tobytes()
         for part in sliced(batches):
-            ids = [np.frombuffer(ids_of(t) + tail, "<u4") for t in part.column("text").to_pylist()]
+            ids = [np.frombuffer(i + tail, "<u4") for i in ids_of(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(WIDTH).tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "payload"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, payload binary")
