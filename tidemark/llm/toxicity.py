@@ -35,6 +35,7 @@ from pyspark.sql.types import DoubleType, StructType
 from tidemark.llm.common import bounded_batches, documents, remainder, sliced
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
+NEAR = -1.4  # logit of the score, about 0.2, from which word norms are exact
 MARKED = "àáâäåæçèéêëíîñóôöøùúûüß"  # letters of their own, besides a to z
 EDGE = 27 + len(MARKED)  # stands before and after each word
 LETTERS = EDGE + 1
@@ -133,7 +134,8 @@ class Model:
         code, starts, owner = letters(texts)
         worst = np.full(len(texts), self.bias)
         if len(starts):
-            f = word_scores(code, starts, self.table, near=max(0.0, -self.bias - 2)) + self.bias
+            least = (NEAR - self.shift) / self.slope if self.slope else 0.0  # few words come near
+            f = word_scores(code, starts, self.table, near=least - self.bias) + self.bias
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             worst[owner[first]] = np.maximum.reduceat(f, first)
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
@@ -240,8 +242,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 192, rounds: int
         if turn < rounds - 1:  # clean words that score highest join
             order = np.argsort(-word_scores(code, starts, table, 0.5), kind="stable")[:1500]
             against = list(dict.fromkeys(against + [pool[i] for i in order[::-1]]))
-    model = Model(table, bias, 1.0, 0.0)
-    f = np.log(1 / np.clip(1 - model.scores(texts), 1e-12, 1) - 1 + 1e-12)
+    model = Model(table, bias, 1.0, -0.5)  # norms exact from f = -0.9
+    f = np.log(1 / np.clip(1 - model.scores(texts), 1e-12, 1) - 1 + 1e-12) + 0.5
     slope, shift = _platt(f, y)
     return Model(table, bias, slope, shift) if slope > 0 else flat
 
