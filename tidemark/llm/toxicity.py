@@ -135,7 +135,7 @@ class Model:
         worst = np.full(len(texts), self.bias)
         if len(starts):
             least = (NEAR - self.shift) / self.slope if self.slope else 0.0  # few words come near
-            f = word_scores(code, starts, self.table, near=least - self.bias) + self.bias
+            f = word_scores(code, starts, self.table, near=max(0.3, least - self.bias)) + self.bias
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             worst[owner[first]] = np.maximum.reduceat(f, first)
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
