@@ -17,6 +17,7 @@ from tidemark.operators import lines as L
 from tidemark.operators import manifest as M
 from tidemark.plans import transfer as T
 from tidemark.schemas import is_recoverable, with_names
+from tidemark.shared import settle
 from tidemark.streaming import apply as AP
 from tidemark.streaming import flows as FL
 
@@ -91,7 +92,7 @@ def _plan(spark, sf_dir):
     src, diff = _diff(spark, sf_dir)
     starts = D.diff_reply(diff.filter("outcome <> 'CONFLICT'"), all_or_nothing=False)
     held = src.join(F.broadcast(starts.select("stream_id")), "stream_id", "left_semi")
-    return T.message_plan(D.apply_reply(held, starts), SIZE, OVER)
+    return T.message_plan(settle(D.apply_reply(held, starts)), SIZE, OVER)  # the plan reads its tasks five times
 
 
 _PLAN = f"""{_BOTH}{_PAIRS},
