@@ -195,6 +195,25 @@ def test_filter_holds_quantised_counts(spark):
     assert (got[:3000] >= [0.7 * v for v in n.values()]).all() and np.mean(close) > 0.9 and (got[3000:] > 0).mean() < 0.05
 
 
+def test_scores_are_the_same_over_many_ranges_of_the_filter(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", 500)
+    scores = [sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.scored(odd, odd, range_bits=bits).collect()) for bits in (lm.RANGE_BITS, 2 * lm.BLOCK_BITS)]
+    entries = spark.range(50_000).select(F.xxhash64("id").alias("key"), F.lit(1).cast("long").alias("n"))
+    blocks, per, parts = lm.filter_ranges(entries, 2 * lm.BLOCK_BITS)
+    parts = list(parts)
+    assert scores[0] == scores[1] and (blocks, per, len(parts)) == (7, 2, 4) and lm.filter_ranges(lm.counted(odd)[1])[0] > 2
+    fill = np.unpackbits(np.concatenate(parts).view(np.uint8)).mean()  # three probes a level in eight bits
+    assert 0.25 < fill < 0.34
+    unseen = lm.Filter(np.concatenate(parts)).counts(lm.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64)))
+    assert (unseen > 0).mean() < 0.05
+
+
+def test_pairs_seen_once_count(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "old owl"), (3, "red owl")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm.scored(docs, docs.filter("doc_id < 3")).collect()}
+    assert score[1] > score[3] + 0.2
+
+
 def test_model_beats_base_on_held_out_documents(spark):
     rows = lm.op5_log_frequency_bloom(spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -5,11 +5,11 @@ n-gram with count c enters the filter once for every level 1 .. 1 + floor(log c)
 reader probes level after level until one is missing, and takes the middle of the counts that the
 last level stands for. The filter is blocked: all probes of an n-gram lie in one block, so blocks are built in
 parallel from n-grams dealt by block. It has ``BITS_PER_LEVEL`` bits for each level of each
-n-gram and ``MAX_BITS`` (128 MB) at most, and is what the workers get by broadcast.
+n-gram at every input, so its error doesn't grow. Workers get it by broadcast in ranges of blocks of
+``RANGE_BITS`` (128 MB): with several, a worker gathers the keys of ``GROUP`` tokens and holds one range after another.
 
 The probability of word w after v is ``a * p(w) + (1 - a) * c(v, w) / c(v)`` with the add-one estimate
-p(w) = (c(w) + 1) / (N + V + 1) of the base model; a document starts after an end token. Pairs that
-occur once in training say little and are not entered.
+p(w) = (c(w) + 1) / (N + V + 1) of the base model; a document starts after an end token.
 
 The base score needs exact counts. Words that make up at least ``1 / HEAD`` of the training tokens
 (so at most HEAD words) are broadcast; occurrences of rarer ones meet their counts in a join, which
@@ -29,15 +29,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, documents, mix, remainder, sliced, stash, words_of
+from tidemark.llm.common import bounded_batches, documents, mix, remainder, sliced, stash, stash_path, words_of
 
 END = b" "  # the end token: no word holds a blank
 BLOCK_BITS = 1 << 16
-BITS_PER_LEVEL, MAX_BITS, PROBES = 8, 1 << 30, 3
+BITS_PER_LEVEL, RANGE_BITS, PROBES = 8, 1 << 30, 3
+GROUP = 2_000_000
 BASE, LEVELS = 1.5, 80
 _LOW = np.ceil(BASE ** np.arange(LEVELS + 1) - 1e-9)  # least count of level k + 1
 _MIDDLE = np.concatenate([[0.0], (_LOW[:-1] + np.maximum(_LOW[:-1], _LOW[1:] - 1)) / 2])
@@ -128,10 +129,10 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Filter:
-    """Log-frequency Bloom filter over 64-bit keys."""
+    """Log-frequency Bloom filter over 64-bit keys, or the range of its blocks that starts at ``first``."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.blocks = words, np.uint64(len(words) * 64 // BLOCK_BITS)
+    def __init__(self, words: np.ndarray, first: int = 0, blocks: int | None = None):
+        self.words, self.first, self.blocks = words, np.uint64(first), np.uint64(blocks or len(words) * 64 // BLOCK_BITS)
 
     @staticmethod
     def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -146,8 +147,12 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts, 0 for keys that the filter doesn't hold."""
-        base = self.block_of(keys, int(self.blocks)) * np.uint64(BLOCK_BITS // 64)
-        level = np.zeros(len(keys), np.int64)
+        return _MIDDLE[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level found of each key; all keys must lie in this range."""
+        base = (self.block_of(keys, int(self.blocks)) - self.first) * np.uint64(BLOCK_BITS // 64)
+        level = np.zeros(len(keys), np.uint8)
         alive = np.arange(len(keys))
         for k in range(1, LEVELS + 1):
             ok = np.ones(len(alive), bool)
@@ -157,13 +162,39 @@ class Filter:
             if not len(alive):
                 break
             level[alive] = k
-        return _MIDDLE[level]
+        return level
+
+
+def _loaded(part: Broadcast) -> np.ndarray:
+    """A broadcast's value, read anew and not kept where Spark left it in a file."""
+    return part.load_from_path(part._path) if getattr(part, "_path", None) else part.value
+
+
+def looked_up(keys: np.ndarray, ranges: list[Broadcast], blocks: int, per: int) -> np.ndarray:
+    """Levels of keys in a filter of ``blocks`` blocks, of which each range holds ``per``; one range is held at a time."""
+    if len(ranges) == 1:
+        return Filter(ranges[0].value).levels(keys)
+    own = Filter.block_of(keys, blocks) // np.uint64(per)
+    order = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[order], np.arange(len(ranges) + 1, dtype=np.uint64))
+    out = np.zeros(len(keys), np.uint8)
+    for k, part in enumerate(ranges):
+        at = order[edges[k] : edges[k + 1]]
+        if len(at):
+            out[at] = Filter(_loaded(part), k * per, blocks).levels(keys[at])
+    return out
+
 
+def build_filter(entries: DataFrame) -> np.ndarray:
+    """The words of a whole filter over entries (key, n)."""
+    return np.concatenate(list(filter_ranges(entries)[2]))
 
-def build_filter(entries: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
-    """The words of a filter over entries (key, n), sized for their levels. Each block is built in one task, of constant size."""
+
+def filter_ranges(entries: DataFrame, range_bits: int = RANGE_BITS) -> tuple[int, int, Iterator[np.ndarray]]:
+    """The blocks of a filter over entries (key, n), sized for all their levels; the blocks of a range; the words of one range
+    after another. Each block is built in one task, of constant size."""
     levels = entries.agg(F.sum(F.floor(F.log("n") / math.log(BASE)) + 1)).first()[0] or 0
-    blocks = max(1, -(-min(max_bits, BITS_PER_LEVEL * int(levels)) // BLOCK_BITS))
+    blocks, per = max(1, -(-BITS_PER_LEVEL * int(levels) // BLOCK_BITS)), max(1, range_bits // BLOCK_BITS)
     dealt = entries.withColumn("block", F.expr(f"pmod(shiftrightunsigned(key, 33), {blocks})")).repartition("block").sortWithinPartitions("block")
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,16 +220,28 @@ def build_filter(entries: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
         if at >= 0:
             yield done()
 
-    out = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
-    for row in dealt.select("block", "key", "n").mapInArrow(build, "block long, bits binary").toLocalIterator():
-        out[row["block"] * BLOCK_BITS // 8 : (row["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out.view(np.uint64)
+    built = dealt.select("block", "key", "n").mapInArrow(build, "block long, bits binary")
+    if blocks > per:  # built once, read range by range
+        path = stash_path(entries.sparkSession, "filter")
+        built.withColumn("range", F.floor(F.col("block") / per)).write.partitionBy("range").parquet(path)
+        built = entries.sparkSession.read.schema("block long, bits binary, range long").parquet(path)
+
+    def filled() -> Iterator[np.ndarray]:
+        for first in range(0, blocks, per):
+            out = np.zeros(min(per, blocks - first) * BLOCK_BITS // 8, np.uint8)
+            for row in (built.filter(F.col("range") == first // per) if blocks > per else built).toLocalIterator():
+                at = (row["block"] - first) * BLOCK_BITS // 8
+                out[at : at + BLOCK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+            yield out.view(np.uint64)
+
+    return blocks, per, filled()
 
 
-def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int = 2) -> DataFrame:
+def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int = 1, range_bits: int = RANGE_BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     ``alone`` is the share a of the single word's probability. ``least`` is the count from which word pairs enter the filter; rarer ones are left to the words.
+    ``range_bits`` bounds a broadcast, and changes no score.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -213,40 +256,60 @@ def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int =
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("n")], ["key", "n"])
 
     entries = stash(words.mapInArrow(keyed, "key long, n long").union(pairs.filter(F.col("n") >= least)), "ngrams")
-    shared = spark.sparkContext.broadcast((build_filter(entries), head))
-    floor = math.log10(total + distinct + 1)
+    blocks, per, filled = filter_ranges(entries, range_bits)
+    ranges = [spark.sparkContext.broadcast(part) for part in filled]
+    shared = spark.sparkContext.broadcast(head)
+    floor, end = math.log10(total + distinct + 1), np.uint64(xxhash.xxh3_64_intdigest(END))
+
+    def read(part: pa.RecordBatch) -> tuple:
+        each, sizes = tokens_of(part.column("text").to_pylist())
+        number = _WORDS.of([w for ws in each for w in ws])
+        used, where = np.unique(number, return_inverse=True)  # each distinct word is looked up once
+        keys = np.concatenate([_WORDS.hashes[used], np.array([end]), pair_keys(_WORDS.hashes[number], sizes)])
+        return part.column("doc_id"), sizes, [_WORDS.words[k] for k in used], where.astype(np.int32), keys
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, frequent = shared.value
-        held, logs = Filter(bits), {w: math.log10(n + 1) for w, n in frequent.items()}
-        part_id, at = TaskContext.get().partitionId(), 0
-        end = np.uint64(xxhash.xxh3_64_intdigest(END))
+        logs = {w: math.log10(n + 1) for w, n in shared.value.items()}
+        part_id, at, waiting, tokens = TaskContext.get().partitionId(), 0, [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal at, tokens
+            level = looked_up(np.concatenate([keys for *_, keys in waiting]), ranges, blocks, per)
+            for *known, keys in waiting:
+                yield from rows_of(*known, _MIDDLE[level[: len(keys)]], logs, (part_id << 33) + at)
+                at, level = at + len(known[1]), level[len(keys) :]
+            waiting.clear()
+            tokens = 0
+
         for part in sliced(batches):
-            each, sizes = tokens_of(part.column("text").to_pylist())
-            number = _WORDS.of([w for ws in each for w in ws])
-            used, where = np.unique(number, return_inverse=True)  # each distinct word is looked up once
-            own = held.counts(_WORDS.hashes[used])[where]
-            log = np.array([logs.get(_WORDS.words[k], -1.0) for k in used])[where]  # -1: not in the head
-            starts = np.cumsum(sizes) - sizes
-            both = held.counts(pair_keys(_WORDS.hashes[number], sizes))
-            before = np.roll(own, 1)
-            before[starts] = held.counts(np.array([end]))[0]
-            p = (own + 1) / (total + distinct + 1)
-            chance = np.log10(alone * p + (1 - alone) * both / np.maximum(np.maximum(before, both), 1))
-            rare = log < 0
-            uid = (part_id << 33) + at + np.arange(len(each))
-            at += len(each)
-            n = len(each)
-            sums = [np.add.reduceat(x, starts) for x in (np.where(rare, 0.0, log), (~rare).astype(np.int64), chance)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid), part.column("doc_id"), pa.array([b"\x00 %d" % u for u in uid], pa.binary()), pa.array(np.ones(n, np.int64)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names
-            )
-            if rare.any():
-                doc = np.repeat(np.arange(n), sizes)[rare]
-                pairs_, times = np.unique(doc * len(used) + where[rare], return_counts=True)
-                m, nothing = len(pairs_), pa.nulls(len(pairs_), pa.int64())
-                word = [_WORDS.words[used[k]] for k in pairs_ % len(used)]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[pairs_ // len(used)]), nothing, pa.array(word, pa.binary()), pa.array(times), nothing, pa.nulls(m, pa.float64()), nothing, pa.nulls(m, pa.float64())], names)
+            waiting.append(read(part))
+            tokens += len(waiting[-1][3])
+            if len(ranges) == 1 or tokens >= GROUP:
+                yield from told()
+        if waiting:
+            yield from told()
+
+    def rows_of(ids: pa.Array, sizes: np.ndarray, used: list[bytes], where: np.ndarray, counts: np.ndarray, logs: dict[bytes, float], first: int) -> Iterator[pa.RecordBatch]:
+        own, both = counts[: len(used)][where], counts[len(used) + 1 :]
+        log = np.array([logs.get(w, -1.0) for w in used])[where]  # -1: not in the head
+        starts = np.cumsum(sizes) - sizes
+        before = np.roll(own, 1)
+        before[starts] = counts[len(used)]
+        p = (own + 1) / (total + distinct + 1)
+        chance = np.log10(alone * p + (1 - alone) * both / np.maximum(np.maximum(before, both), 1))
+        rare = log < 0
+        n = len(sizes)
+        uid = first + np.arange(n)
+        sums = [np.add.reduceat(x, starts) for x in (np.where(rare, 0.0, log), (~rare).astype(np.int64), chance)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(uid), ids, pa.array([b"\x00 %d" % u for u in uid], pa.binary()), pa.array(np.ones(n, np.int64)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names
+        )
+        if rare.any():
+            doc = np.repeat(np.arange(n), sizes)[rare]
+            pairs_, times = np.unique(doc * len(used) + where[rare], return_counts=True)
+            m, nothing = len(pairs_), pa.nulls(len(pairs_), pa.int64())
+            word = [used[k] for k in pairs_ % len(used)]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[pairs_ // len(used)]), nothing, pa.array(word, pa.binary()), pa.array(times), nothing, pa.nulls(m, pa.float64()), nothing, pa.nulls(m, pa.float64())], names)
 
     names = ["uid", "doc_id", "word", "times", "size", "log_sum", "n_head", "score"]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "uid long, doc_id long, word binary, times long, size long, log_sum double, n_head long, score double")
