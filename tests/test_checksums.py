@@ -35,3 +35,22 @@ def test_column_combine_tail_and_verify(spark):
 def test_verify_rules(spark, checksum, ok):
     df = spark.createDataFrame([(bytearray(b"hello"), checksum)], "p binary, c struct<algo:int,offset:long,len:long,value:binary>")
     assert df.select(C.verify("p", "c")).first()[0] is ok
+
+
+def test_every_benchmark_row_has_the_checksum_of_its_bytes(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    def bytewise(data):
+        value = 0xFFFFFFFF
+        for byte in data:
+            value ^= byte
+            for _ in range(8):
+                value = value >> 1 ^ (0x82F63B78 if value & 1 else 0)
+        return value ^ 0xFFFFFFFF
+
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (4, "Zürich — 東京 😀"), (4, "ÿ")], "item_id long, text string")
+    odd.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        rows = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
+        got = entry.queries()["content_checksums_utf8"](spark, folder).collect()
+        assert sorted((r.item_id, r.crc32c) for r in got) == sorted((r.item_id, bytewise((r.text or "").encode())) for r in rows)

@@ -329,11 +329,18 @@ def mount_paths(spark, sf_dir):
 b as (select item_id, text, list_transform(range(1, length(coalesce(text, '')) + 1), lambda i: ascii(text[i])::bigint) as bytes from benchmark)
 select item_id, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, x: xor(l[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)::bigint as crc32c from b, tab where strlen(text) = length(text)""")
 def content_checksums(spark, sf_dir):
-    """CRC32C of benchmark texts in ASCII."""
+    """CRC32C of benchmark texts in ASCII, as its SQL has it; content_checksums_utf8 has all."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(F.octet_length("text") == F.length("text"))
     return b.select("item_id", C.crc_value(C.crc32c(F.encode("text", "utf-8"))).alias("crc32c"))
 
 
+@_query()
+def content_checksums_utf8(spark, sf_dir):
+    """CRC32C of the UTF-8 bytes of every benchmark text, null as empty. DuckDB has no bytes of a character, so no SQL."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return b.select("item_id", C.crc_value(C.crc32c(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("crc32c"))
+
+
 @_query("""select source, count(*) as parts, sum(strlen(coalesce(text, '')))::bigint as len, true as combined_equals_whole from documents group by source""")
 def file_checksums(spark, sf_dir):
     """CRC32C of each source's documents, one after another, from the documents' own; two ways of cutting them give the same."""
