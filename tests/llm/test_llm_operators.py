@@ -1,5 +1,6 @@
 """Operators against brute force, SQL, exact round trips and held-out labels; and the odd cases."""
 
+import shutil
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -107,6 +108,34 @@ def test_token_store_round_trip(spark, sf, odd, tokenizer):
         assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read_ids(spark, path).collect()) == sorted(want)
 
 
+def test_missing_or_changed_rows_of_the_token_store_raise(spark, sf):
+    docs = documents(spark, sf)
+    path = tokenstore.stash_path(spark, "test-root")
+    tokenstore.write_ids(docs, path)
+    local = path.removeprefix("file://")
+
+    def damaged(*tables, lost):
+        other = tokenstore.stash_path(spark, "test-lost")
+        shutil.copytree(local, other.removeprefix("file://"))
+        for table in tables:
+            shutil.rmtree(f"{other.removeprefix('file://')}/{table}")
+            spark.read.parquet(f"{path}/{table}").filter(lost).write.parquet(f"{other}/{table}")
+        return other
+
+    one = docs.agg(F.min("doc_id")).first()[0]
+    for tables, lost in ((["kind=doc"], f"doc_id != {one}"), (["starts"], f"doc_id != {one}"), (["kind=doc", "starts"], f"doc_id != {one}"), (["manifest"], "part != 0"), (["root"], "false")):
+        with pytest.raises(Exception, match="missing|differ|no root"):
+            tokenstore.read_ids(spark, damaged(*tables, lost=lost)).collect()
+
+
+def test_ids_beyond_16_bits_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    path = tokenstore.stash_path(spark, "test-wide")
+    tokenstore.write_ids(docs, path, end=70_000)
+    got = {r.doc_id: r.ids_crc32 for r in tokenstore.read_ids(spark, path).collect()}
+    assert got[2] == zlib.crc32(np.array([70_000], "<u4").tobytes())
+
+
 # 4: packing
 
 

@@ -3,7 +3,9 @@
 Documents are encoded, each with an end id; their id streams (unsigned 16-bit while the vocabulary
 allows, else 32-bit) are cut by a rolling hash on whole ids. Unique chunks are stored once, documents
 as recipes with a Merkle root, in ascending order of doc_id: file after file and row after row (see
-chunkstore). A manifest row for each file range, and a root over them, verify the whole.
+chunkstore). A manifest row for each file range, whose leaf is a hash over the range's documents in
+order, and a Merkle root over these rows verify the whole: reading computes both again from the
+rows read back, and raises where they, or the rows themselves, differ or are missing.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are stored again, in order of
 their length; a null doc_id comes first; other columns are ignored; an empty table is an empty store.
@@ -24,17 +26,38 @@ from tidemark.llm import chunkstore
 from tidemark.llm.common import documents, sliced, stash, stash_path
 from tidemark.llm.tokens import encoder
 
-WIDTH = "<u2"
+PIECE = 1 << 18  # tokens of a range that are hashed together: at most so many documents
 
 
-def encoded(docs: DataFrame, end: int, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, payload (ids with the end id, unsigned 16-bit little-endian)."""
+def width_of(vocabulary: str, end: int) -> int:
+    """Bytes of an id: 2 while all ids fit, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end, *Tokenizer.from_file(vocabulary).get_vocab().values()) < 1 << 16 else 4
+
+
+def leaves(rows: DataFrame) -> DataFrame:
+    """part, start, n_tokens, n_docs, leaf: a hash over each range's documents (doc_id, start, n_tokens, root) in order, piece by piece."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "doc_id", "n_tokens", F.hex("root").alias("root"))))
+    text = F.transform(ordered, lambda d: F.concat_ws(":", d["start"].cast("string"), F.coalesce(d["doc_id"].cast("string"), F.lit("null")), d["n_tokens"].cast("string"), d["root"]))
+    pieces = rows.groupBy("part", F.floor(F.col("start") / PIECE).alias("piece")).agg(F.sha2(F.array_join(text, "\n"), 256).alias("hash"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "hash"))), lambda p: p["hash"]), "\n"), 256)
+    return pieces.groupBy("part").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), whole.alias("leaf"))
+
+
+def root_of(manifest: DataFrame) -> bytes:
+    """The Merkle root over a manifest's rows, in order; there is a row for each range, whatever the input."""
+    return chunkstore.merkle_root([chunkstore.digest(repr(tuple(r)).encode()) for r in manifest.select("part", "start", "n_tokens", "n_docs", "leaf").orderBy("part").collect()])
+
+
+def encoded(docs: DataFrame, end: int, vocabulary: str, width: int) -> DataFrame:
+    """doc_id, n_tokens, payload (ids with the end id, unsigned little-endian of ``width`` bytes)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, tail = encoder(vocabulary), np.array([end], "<u4").tobytes()
         for part in sliced(batches):
             ids = [np.frombuffer(i + tail, "<u4") for i in ids_of(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(WIDTH).tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "payload"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(f"<u{width}").tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "payload"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, payload binary")
 
@@ -42,32 +65,45 @@ def encoded(docs: DataFrame, end: int, vocabulary: str) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, end: int = 2, vocabulary: str | None = None) -> None:
     """Stores the ids of docs (doc_id, text) at path, with a manifest."""
     spark = docs.sparkSession
-    ids = stash(encoded(docs, end, vocabulary or public_tokenizers.path("word_bpe_49k.json")), "ids")
+    vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    width = width_of(vocabulary, end)
+    ids = stash(encoded(docs, end, vocabulary, width), "ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, edges = chunkstore.prefix_sums(ids.select("doc_id", "n_tokens"), "doc_id", "n_tokens", n)
-    chunkstore.write(ids, ["doc_id", "n_tokens"], lambda part: part.column("payload").to_pylist(), path, unit=2, least=512, bits=10, most=8192, order=chunkstore.range_of("doc_id", edges))
+    chunkstore.write(ids, ["doc_id", "n_tokens"], lambda part: part.column("payload").to_pylist(), path, unit=width, least=512, bits=10, most=8192, order=chunkstore.range_of("doc_id", edges))
     rows = spark.read.parquet(f"{path}/kind=doc").select("doc_id", "n_tokens", "root")
     starts, _ = chunkstore.prefix_sums(rows, "doc_id", "n_tokens", n)
     starts.select("doc_id", "n_tokens", "start", "root", "part").write.option("compression", "zstd").parquet(f"{path}/starts")
-    leaves = spark.read.parquet(f"{path}/starts").groupBy("part").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.expr("bit_xor(xxhash64(doc_id, root))").cast("string"), 256).alias("leaf"))
-    leaves.write.parquet(f"{path}/manifest")
+    leaves(spark.read.parquet(f"{path}/starts")).coalesce(1).write.parquet(f"{path}/manifest")
+    root = root_of(spark.read.parquet(f"{path}/manifest"))
+    spark.createDataFrame([(bytearray(root), width)], "root binary, width int").coalesce(1).write.parquet(f"{path}/root")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every stored document, from the ids read back."""
+    """doc_id, start, n_tokens, ids_crc32 of every stored document, from the ids read back and verified."""
+    stored = spark.read.schema("root binary, width int").parquet(f"{path}/root").collect()
+    if len(stored) != 1:
+        raise ValueError("the store has no root")
+    root, width = stored[0]
 
     def describe(payloads: list[bytes], recipes: list[list[dict]]) -> list[pa.Array]:
-        return [pa.array([zlib.crc32(np.frombuffer(p, WIDTH).astype("<u4").tobytes()) for p in payloads], pa.int64()), pa.array([len(p) // 2 for p in payloads], pa.int64())]
+        return [pa.array([zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads], pa.int64()), pa.array([len(p) // width for p in payloads], pa.int64())]
 
     docs, chunks = chunkstore.read(spark, path, ["doc_id", "n_tokens", "root"], "doc_id bigint, n_tokens bigint")
     found = chunkstore.rebuilt(docs, chunks, ["doc_id", "n_tokens", "root"], describe, "ids_crc32 long, found long", ["ids_crc32", "found"])
     found = found.withColumn("n_tokens", F.when(F.col("found") == F.col("n_tokens"), F.col("found")).otherwise(F.raise_error(F.lit("a stored document has another length"))))
-    starts = spark.read.parquet(f"{path}/starts").select(F.col("doc_id").alias("_id"), "start", F.col("n_tokens").alias("_n"), F.col("root").alias("_root"))
+    starts = spark.read.parquet(f"{path}/starts").select(F.col("doc_id").alias("_id"), "start", F.col("n_tokens").alias("_n"), F.col("root").alias("_root"), "part")
     # Repeated rows have equal roots and ids: they are numbered on both sides, so that each start is used once.
     found = found.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "root", "n_tokens").orderBy("ids_crc32")))
     starts = starts.withColumn("_j", F.row_number().over(Window.partitionBy("_id", "_root", "_n").orderBy("start")))
     same = found["doc_id"].eqNullSafe(starts["_id"]) & (found["root"] == starts["_root"]) & (found["n_tokens"] == starts["_n"]) & (found["_k"] == starts["_j"])
-    return found.join(starts, same).select("doc_id", "start", "n_tokens", "ids_crc32")
+    both = found.join(starts, same, "full_outer")
+    met = F.when(F.col("_k").isNotNull() & F.col("_j").isNotNull(), F.col("start"))
+    both = both.withColumn("start", F.coalesce(met, F.raise_error(F.lit("a stored document or its start is missing")).cast("long")))
+    rows = stash(both.select("doc_id", "start", "n_tokens", "ids_crc32", "root", "part"), "read-ids")
+    if any(root_of(m) != bytes(root) for m in (spark.read.parquet(f"{path}/manifest"), leaves(rows))):
+        raise ValueError("the ids read back differ from the manifest's root")
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
