@@ -8,6 +8,10 @@ the machine is trained on Nyström features of labelled words. As it is linear i
 subsequences, all its weights fold into one table, and a text's score is that of its worst word,
 calibrated on the training documents.
 
+Letters of any script count: texts beyond Latin-1 are composed, folded (NFKC, lower case) and their
+letters lose accents to a Latin letter, or else are ``PER_LETTER`` symbols of a further alphabet of
+``OTHERS``, by code point, so that letters of one alphabet never fall together; signs and accents are skipped as before.
+
 Training reads at most ``per_class`` labelled documents of either class (1,000 by default), chosen
 by a hash of the id, and never those with crc32(doc_id) mod 3 = 1.
 
@@ -37,7 +41,8 @@ from tidemark.llm.common import bounded_batches, documents, remainder, sliced
 ORDER, SPAN, DECAY = 4, 6, 0.6
 NEAR = -1.4  # logit of the score, about 0.2, from which word norms are exact
 MARKED = "àáâäåæçèéêëíîñóôöøùúûüß"  # letters of their own, besides a to z
-EDGE = 27 + len(MARKED)  # stands before and after each word
+OTHERS, PER_LETTER = 12, 2  # symbols for the letters of other scripts, and how many stand for one
+EDGE = 27 + len(MARKED) + OTHERS  # stands before and after each word
 LETTERS = EDGE + 1
 _OFFSETS = [(0, *c) for c in itertools.combinations(range(1, SPAN), ORDER - 1)]
 
@@ -49,6 +54,7 @@ def _classes() -> np.ndarray:
         low = chr(b).lower()
         base = unicodedata.normalize("NFKD", low)[:1]
         out[b] = 27 + MARKED.index(low) if low in MARKED else ord(base) - 96 if "a" <= base <= "z" else 0
+    out[0x80 : 0x80 + OTHERS] = 27 + len(MARKED) + np.arange(OTHERS)
     out[[9, 10, 11, 12, 13, 32]] = 255
     return out
 
@@ -61,9 +67,41 @@ for _o in _OFFSETS:
 _NORM = np.sqrt(np.maximum(_NORM, DECAY ** (2 * ORDER)))
 
 
+class _Folded(dict):
+    """For str.translate: characters beyond Latin-1 as Latin letters, symbols of the further alphabet (private characters), a blank or nothing."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        low = c if code < 256 else "".join(unicodedata.normalize("NFKC", c).lower().split())
+        self[code] = out = "" if 0x80 <= code < 0xA0 else c if code < 256 else " " if c.isspace() else "".join(map(_symbols, low))
+        return out
+
+
+def _symbols(c: str) -> str:
+    base = unicodedata.normalize("NFKD", c)[:1]
+    if ord(c) < 256 or "a" <= base <= "z":
+        return c if ord(c) < 256 else base
+    if not (c.isalpha() or unicodedata.category(c)[0] == "M" and not unicodedata.combining(c)):
+        return ""
+    return "".join(chr(_OTHER + ord(c) // OTHERS**k % OTHERS) for k in range(PER_LETTER))
+
+
+_OTHER = 0x80  # control characters of Latin-1, which are no letters in a text, stand for the further alphabet
+_FOLDED = _Folded()
+_CONTROLS = bytes(range(0x80, 0xA0))
+
+
+def folded(text: str) -> bytes:
+    """A text in Latin-1, as ``letters`` reads it."""
+    try:
+        return text.encode("latin-1").translate(None, _CONTROLS)  # these are skipped in any case
+    except UnicodeEncodeError:
+        return unicodedata.normalize("NFC", text).translate(_FOLDED).encode("latin-1")
+
+
 def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter codes of all words, the start of each word, and the text of each word."""
-    raw = [((t or "") + " ").encode("latin-1", "replace") for t in texts]
+    raw = [folded(t or "") + b" " for t in texts]
     code = _CLASS[np.frombuffer(b"".join(raw), np.uint8)]
     owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
     space = code == 255
