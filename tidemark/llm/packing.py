@@ -33,17 +33,17 @@ def pieces(docs: DataFrame, room: int, end: int, vocabulary: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, nth (among the part's pieces of that length)."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, ids_of = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), encoder(vocabulary)
-        tail = np.array([end], "<u4").tobytes()
-        for batch in sliced(batches):
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), encoder(vocabulary).encode
+        for batch in sliced(batches, limit=1 << 22):
             out = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist()), strict=True):
-                ids += tail
-                for k, at in enumerate(range(0, len(ids), 4 * room)):
-                    own = ids[at : at + 4 * room]
-                    n = len(own) // 4
-                    out.append((doc_id, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+            ids, sizes = encode(batch.column("text"), end)
+            data, at = memoryview(ids.astype("<u4").tobytes()), 0
+            for doc_id, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
+                for start in range(0, size, room):
+                    n = min(room, size - start)
+                    out.append((doc_id, start // room, start, n, zlib.crc32(data[4 * (at + start) : 4 * (at + start + n)]), part, seen[n]))
                     seen[n] += 1
+                at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]

@@ -1,67 +1,156 @@
-"""Token ids of whole texts, word by word through the tokenizers library."""
+"""Token ids of whole texts: each distinct word of a batch goes through the tokenizers library once.
+
+A batch is split and dictionary-encoded in Arrow; ids are then gathered by offsets in numpy. That
+equals encoding whole texts for vocabularies that drop white space, lower the case and mark words'
+last tokens with ``</w>``, such as word_bpe_49k. Texts that hold one of the vocabulary's special
+tokens go through the library whole, as it is loaded.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_FOUND: dict[str, Encoder] = {}
+_TOGETHER = 50  # words in a text of their own
+_SIGNED = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
-_FOUND: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
-_AT_ONCE = 500
 
+def _simple(word: str) -> bool:
+    """Lower-case letters of Latin-1 alone: normalising leaves them as they are, and they are one token's text."""
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) <= "\xff")
 
-class _WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of words between blanks, remembered up to a bound.
 
-    Only for vocabularies that drop white space, lower the case and mark words' last tokens with
-    ``</w>``, such as word_bpe_49k: a text's ids are then those of its words, one after another. A
-    ``,`` or ``.`` after a letter a to z is a word of its own there. New words made of letters alone
-    are encoded many at once, and parted at the marked tokens.
-    """
+class Encoder:
+    """Remembers the ids of words between blanks, up to ``bound`` words; words met once are forgotten first."""
 
     def __init__(self, path: str, bound: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.bound, self.tokenizer = bound, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        vocabulary = self.tokenizer.get_vocab()
+        self.bound = bound
+        self.whole, self.words, self.simple = (Tokenizer.from_file(path) for _ in range(3))
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.words.encode_special_tokens = True  # a word in capitals may be a special token once it is lowered
+        for t in (self.whole, self.words, self.simple):
+            t.no_truncation()
+            t.no_padding()
+        self.simple.normalizer = None
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.words.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + m > len(self.starts):
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + m] = sizes
+        self.met[n : n + m] = 0
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + m), strict=True))
+
+    def _forget(self) -> None:
+        """Keeps words met in two batches or more, if these are half of the bound at most."""
+        words, stay = list(self.known), np.flatnonzero(self.met[: len(self.known)] > 1)
+        stay = stay if len(stay) <= self.bound // 2 else stay[:0]
+        starts, sizes, ids = self.starts[stay], self.sizes[stay], self.ids
+        self.known, self.used, self.ids = {}, 0, np.zeros(1 << 16, np.uint32)
+        self._keep([words[k] for k in stay], ids[_places(starts, sizes)], sizes)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        return ids
+    def _one_by_one(self, words: list[str]) -> None:
+        each = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        self._keep(words, np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64))
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        pointed = [w for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122]
-        plain = [w for w in {*words, *(w[:-1] for w in pointed)}.difference(pointed, self.keys()) if w.decode().isalpha()]
-        for i in range(0, len(plain), _AT_ONCE):
-            some = plain[i : i + _AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def learn(self, words: list[str]) -> None:
+        """Simple words are encoded many at once, and parted at the tokens that end a word; a simple word
+        and signs without apostrophe after it are two words to the vocabulary, so their ids are joined."""
+        plain, other, signed = dict.fromkeys(()), [], []
+        for w in words:
+            if _simple(w):
+                plain[w] = None
+            elif (m := _SIGNED.fullmatch(w)) and _simple(m[1]):
+                signed.append((w, m[1], m[2]))
+            else:
+                other.append(w)
+        for _, base, signs in signed:
+            if base not in self.known:
+                plain[base] = None
+            if signs not in self.known:
+                other.append(signs)
+        other, every = list(dict.fromkeys(other)), list(plain)
+        groups = [every[i : i + _TOGETHER] for i in range(0, len(every), _TOGETHER)]
+        for some, found in zip(groups, self.simple.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
-                data, at = ids.tobytes(), 0
-                for w, e in zip(some, (ends * 4).tolist(), strict=True):
-                    self[w], at = data[at:e], e
-        for w in pointed:
-            self[w] = self[w[:-1]] + self[w[-1:]]
+                self._keep(some, ids, np.diff(ends, prepend=0))
+            else:
+                self._one_by_one(some)
+        if other:
+            self._one_by_one(other)
+        if signed:
+            both = np.array([[self.known[b], self.known[s]] for _, b, s in signed]).ravel()
+            sizes = self.sizes[both]
+            self._keep([w for w, _, _ in signed], self.ids[_places(self.starts[both], sizes)], sizes.reshape(-1, 2).sum(axis=1))
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id, and the number of ids of each; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._by_words(texts, end)
+        ids, sizes = self._by_words(pc.if_else(pa.array(special), "", texts), end)
+        parts, at = [], 0
+        for k in np.flatnonzero(special):
+            upto = int(sizes[:k].sum())
+            whole = np.array([*self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, end], np.uint32)
+            parts += [ids[at:upto], whole]
+            at = upto + 1
+        parts.append(ids[at:])
+        own = sizes.copy()
+        own[special] = [len(p) for p in parts[1::2]]
+        return np.concatenate(parts), own
+
+    def _by_words(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         # Blank and newline part words in any case; other white space is left to the tokenizer.
-        split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        every = set().union(*split)
-        if len(self) + len(every) > self.bound:
-            self.clear()
-        self.learn(every - self.keys())
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        flat = lists.flatten().dictionary_encode()
+        words = [*flat.dictionary.to_numpy(zero_copy_only=False).tolist(), f"\n{end}"]  # the last is the end id
+        if len(self.known) + len(words) > self.bound:
+            self._forget()
+        if words[-1] not in self.known:
+            self._keep(words[-1:], np.array([end], np.uint32), np.array([1]))
+        self.learn([w for w in words if w not in self.known])
+        of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met[of] += 1
+        n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.insert(of[flat.indices.to_numpy()] if len(flat) else of[:0], np.cumsum(n_words), of[-1])
+        sizes = self.sizes[at]
+        docs = np.cumsum(n_words + 1) - (n_words + 1)
+        return self.ids[_places(self.starts[at], sizes)], (np.add.reduceat(sizes, docs) if len(docs) else sizes)
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places start .. start + size - 1, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts to ids; one for each worker process, so that its words stay known from task to task."""
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that its words stay known from task to task."""
     if path not in _FOUND:
-        _FOUND[path] = _WordIds(path).of
+        _FOUND[path] = Encoder(path)
     return _FOUND[path]
