@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import seeds, settle, sliced
+from tidemark.llm.common import seeds, sliced, stash
 
 #: Bits of the bitmap of shared digests: 8 MB.
 BITS = 26
+SALTS = 64
 _RECIPE = "array<struct<digest:binary,len:int,shared:boolean>>"
 _GEAR = seeds(256, "gear").astype(np.uint32)
 
@@ -114,29 +115,45 @@ def shared_bitmap(digests: DataFrame) -> bytes:
     return bitmap.tobytes()
 
 
-def write(docs: DataFrame, keys: list[str], payload_of: Callable[[pa.RecordBatch], list[bytes]], path: str, unit: int = 1, least: int = 512, bits: int = 11, most: int = 8192, order: Column | None = None) -> None:
+def cut_and_digested(payloads: list[bytes], *args: int) -> tuple[pa.Array, pa.Array]:
+    """For each payload, its chunks' lengths and digests: columns ``lens`` and ``digests`` that spare ``write`` the cutting."""
+    each = payload_chunks(payloads, *args)
+    return pa.array([[len(c) for c in cs] for cs in each], pa.list_(pa.int32())), pa.array([[digest(c) for c in cs] for cs in each], pa.list_(pa.binary()))
+
+
+def write(docs: DataFrame, keys: list[str], payload_of: Callable[[pa.RecordBatch], list[bytes]], path: str, unit: int = 1, least: int = 512, bits: int = 11, most: int = 8192, order: Column | None = None, then: tuple[str, ...] = ()) -> None:
     """Writes the payloads of docs into a store at path; ``keys`` are kept in the document rows.
 
-    ``payload_of`` makes a batch's payloads. With ``order``, document rows are dealt by that column
-    (a partition number) and sorted by the first key.
+    ``payload_of`` makes a batch's payloads; docs with ``lens`` and ``digests`` are cut already. With
+    ``order``, document rows are dealt by that column (a partition number) and sorted by the keys and ``then``.
     """
     spark = docs.sparkSession
     args = (unit, least, bits, most)
     column = "text" if "text" in docs.columns else "payload"
+    known = "digests" in docs.columns
+
+    def chunks_of(part: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[bytes]]]:
+        """Each payload's chunks and their digests."""
+        payloads = payload_of(part)
+        if not known:
+            yield from ((cs, [digest(c) for c in cs]) for cs in payload_chunks(payloads, *args))
+            return
+        for payload, lens, ds in zip(payloads, part.column("lens").to_pylist(), part.column("digests").to_pylist(), strict=True):
+            ends = np.cumsum(lens).tolist()
+            yield [payload[e - n : e] for e, n in zip(ends, lens, strict=True)], ds
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column):
-            each = [set(map(digest, c)) for c in payload_chunks(payload_of(part), *args)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for ds in each for d in ds], pa.binary())], ["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for _, ds in chunks_of(part) for d in set(ds)], pa.binary())], ["digest"])
 
-    bitmap = spark.sparkContext.broadcast(shared_bitmap(docs.mapInArrow(digests, "digest binary")))
+    every = docs.select(F.explode(F.array_distinct("digests")).alias("digest")) if known else docs.mapInArrow(digests, "digest binary")
+    bitmap = spark.sparkContext.broadcast(shared_bitmap(every))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     head = "".join(f"{k} {kinds[k].simpleString()}, " for k in keys)
 
     def split(part: pa.RecordBatch) -> Iterator[tuple[list[tuple[bytes, int, bool]], bytes, list[tuple[bytes, bytes]]]]:
         bits_ = np.frombuffer(bitmap.value, np.uint64)
-        for chunks in payload_chunks(payload_of(part), *args):
-            ds = [digest(c) for c in chunks]
+        for chunks, ds in chunks_of(part):
             at = _slot(ds)
             flags = ((bits_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).tolist()
             yield (
@@ -166,11 +183,12 @@ def write(docs: DataFrame, keys: list[str], payload_of: Callable[[pa.RecordBatch
     if order is not None:
         out = out.withColumn("_part", order)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionById(n, F.col("_part").cast("int")).sortWithinPartitions(keys[0]).drop("_part")
+        out = out.repartitionById(n, F.col("_part").cast("int")).sortWithinPartitions(*keys, *then).drop("_part")
     out.write.option("compression", "zstd").parquet(f"{path}/kind=doc")
-    # Equal digests meet in one task and are stored once; a task sends each of its own at most once a slice.
-    chunks = docs.mapInArrow(shared, "digest binary, bytes binary").repartition("digest")
-    chunks = chunks.groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    # Equal digests are stored once. A digest that very many tasks send meets in two steps: first among SALTS
+    # groups of tasks, then what these have left.
+    chunks = docs.mapInArrow(shared, "digest binary, bytes binary").withColumn("salt", F.spark_partition_id() % SALTS)
+    chunks = chunks.groupBy("digest", "salt").agg(F.first("bytes").alias("bytes")).groupBy("digest").agg(F.first("bytes").alias("bytes"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/kind=chunk")
 
 
@@ -220,19 +238,21 @@ def rebuilt(docs: DataFrame, chunks: DataFrame, keys: list[str], describe: Calla
     return alone.unionByName(joined).mapInArrow(finish, f"{head}{schema}")
 
 
-def prefix_sums(rows: DataFrame, key: str, value: str, buckets: int) -> tuple[DataFrame, list]:
-    """rows with ``start`` (the sum of value over all smaller keys) and ``part`` (range of the key), and the ranges' edges.
+def edges_of(rows: DataFrame, key: str, ranges: int) -> list:
+    """Edges that part the key into about equal ranges."""
+    found = rows.filter(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10000).alias("q")).first()["q"] if ranges > 1 else []
+    return sorted(set(found or []))
+
+
+def prefix_sums(rows: DataFrame, key: str, value: str, edges: list, then: tuple[str, ...] = ()) -> DataFrame:
+    """rows, computed once, with ``part`` (range of the key) and ``start``: the sum of value over all rows before, by key, value and ``then``.
 
-    Ranges come from quantiles of the key; sums within a range start from the sums of the ranges before."""
-    edges = rows.filter(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10000).alias("q")).first()["q"] or []
-    edges = sorted(set(edges))
-    part = range_of(key, edges)
-    dealt = settle(rows.withColumn("part", part))
-    run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    Sums within a range start from the sums of the ranges before."""
+    dealt = stash(rows.withColumn("part", range_of(key, edges)), "prefix-sums")
+    run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = dealt.groupBy("part").agg(F.sum(value).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).select("part", "before")
-    inner = Window.partitionBy("part").orderBy(F.asc_nulls_first(key), value).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return out.drop("before"), edges
+    inner = Window.partitionBy("part").orderBy(F.asc_nulls_first(key), value, *then).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("before")
 
 
 def range_of(key: str, edges: list) -> Column:

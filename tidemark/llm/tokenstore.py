@@ -4,11 +4,11 @@ Documents are encoded, each with an end id; their id streams (unsigned 16-bit wh
 allows, else 32-bit) are cut by a rolling hash on whole ids. Unique chunks are stored once, documents
 as recipes with a Merkle root, in ascending order of doc_id: file after file and row after row (see
 chunkstore). A manifest row for each file range, whose leaf is a hash over the range's documents in
-order, and a Merkle root over these rows verify the whole: reading computes both again from the
-rows read back, and raises where they, or the rows themselves, differ or are missing.
+order, and a Merkle root over these rows verify the whole: reading computes starts, leaves and root
+again from the rows read back, and raises where they differ or rows are missing.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are stored again, in order of
-their length; a null doc_id comes first; other columns are ignored; an empty table is an empty store.
+their length and root; a null doc_id comes first; other columns are ignored; an empty table is an empty store.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunkstore
 from tidemark.llm.common import documents, sliced, stash, stash_path
 from tidemark.llm.tokens import encoder
 
+_ROOT = "root binary, width int, edges array<bigint>"
 PIECE = 1 << 18  # tokens of a range that are hashed together: at most so many documents
 
 
@@ -50,16 +51,21 @@ def root_of(manifest: DataFrame) -> bytes:
     return chunkstore.merkle_root([chunkstore.digest(repr(tuple(r)).encode()) for r in manifest.select("part", "start", "n_tokens", "n_docs", "leaf").orderBy("part").collect()])
 
 
-def encoded(docs: DataFrame, end: int, vocabulary: str, width: int) -> DataFrame:
-    """doc_id, n_tokens, payload (ids with the end id, unsigned little-endian of ``width`` bytes)."""
+def encoded(docs: DataFrame, end: int, vocabulary: str, width: int, chunking: tuple[int, ...]) -> DataFrame:
+    """doc_id, n_tokens, payload (ids with the end id, unsigned little-endian of ``width`` bytes), and its chunks' lens and digests."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, tail = encoder(vocabulary), np.array([end], "<u4").tobytes()
-        for part in sliced(batches):
-            ids = [np.frombuffer(i + tail, "<u4") for i in ids_of(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(f"<u{width}").tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "payload"])
+        encode_ = encoder(vocabulary).encode
+        for part in sliced(batches, limit=1 << 22):
+            ids, sizes = encode_(part.column("text"), end)
+            if len(ids) and int(ids.max()) >> (8 * width):
+                raise ValueError(f"an id doesn't fit {width} bytes")
+            data, ends = ids.astype(f"<u{width}").tobytes(), np.cumsum(sizes) * width
+            payloads = [data[e - n : e] for e, n in zip(ends.tolist(), (sizes * width).tolist(), strict=True)]
+            lens, digests = chunkstore.cut_and_digested(payloads, *chunking)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(payloads, pa.binary()), lens, digests], ["doc_id", "n_tokens", "payload", "lens", "digests"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, payload binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, payload binary, lens array<int>, digests array<binary>")
 
 
 def write_ids(docs: DataFrame, path: str, end: int = 2, vocabulary: str | None = None) -> None:
@@ -67,40 +73,30 @@ def write_ids(docs: DataFrame, path: str, end: int = 2, vocabulary: str | None =
     spark = docs.sparkSession
     vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     width = width_of(vocabulary, end)
-    ids = stash(encoded(docs, end, vocabulary, width), "ids")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _, edges = chunkstore.prefix_sums(ids.select("doc_id", "n_tokens"), "doc_id", "n_tokens", n)
-    chunkstore.write(ids, ["doc_id", "n_tokens"], lambda part: part.column("payload").to_pylist(), path, unit=width, least=512, bits=10, most=8192, order=chunkstore.range_of("doc_id", edges))
+    chunking = (width, 512, 10, 8192)
+    ids = stash(encoded(docs, end, vocabulary, width, chunking), "ids")
+    edges = chunkstore.edges_of(ids, "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunkstore.write(ids, ["doc_id", "n_tokens"], lambda part: part.column("payload").to_pylist(), path, *chunking, order=chunkstore.range_of("doc_id", edges), then=("root",))
     rows = spark.read.parquet(f"{path}/kind=doc").select("doc_id", "n_tokens", "root")
-    starts, _ = chunkstore.prefix_sums(rows, "doc_id", "n_tokens", n)
-    starts.select("doc_id", "n_tokens", "start", "root", "part").write.option("compression", "zstd").parquet(f"{path}/starts")
-    leaves(spark.read.parquet(f"{path}/starts")).coalesce(1).write.parquet(f"{path}/manifest")
+    leaves(chunkstore.prefix_sums(rows, "doc_id", "n_tokens", edges, ("root",))).coalesce(1).write.parquet(f"{path}/manifest")
     root = root_of(spark.read.parquet(f"{path}/manifest"))
-    spark.createDataFrame([(bytearray(root), width)], "root binary, width int").coalesce(1).write.parquet(f"{path}/root")
+    spark.createDataFrame([(bytearray(root), width, edges)], _ROOT).coalesce(1).write.parquet(f"{path}/root")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, from the ids read back and verified."""
-    stored = spark.read.schema("root binary, width int").parquet(f"{path}/root").collect()
+    stored = spark.read.schema(_ROOT).parquet(f"{path}/root").collect()
     if len(stored) != 1:
         raise ValueError("the store has no root")
-    root, width = stored[0]
+    root, width, edges = stored[0]
 
     def describe(payloads: list[bytes], recipes: list[list[dict]]) -> list[pa.Array]:
         return [pa.array([zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads], pa.int64()), pa.array([len(p) // width for p in payloads], pa.int64())]
 
     docs, chunks = chunkstore.read(spark, path, ["doc_id", "n_tokens", "root"], "doc_id bigint, n_tokens bigint")
     found = chunkstore.rebuilt(docs, chunks, ["doc_id", "n_tokens", "root"], describe, "ids_crc32 long, found long", ["ids_crc32", "found"])
-    found = found.withColumn("n_tokens", F.when(F.col("found") == F.col("n_tokens"), F.col("found")).otherwise(F.raise_error(F.lit("a stored document has another length"))))
-    starts = spark.read.parquet(f"{path}/starts").select(F.col("doc_id").alias("_id"), "start", F.col("n_tokens").alias("_n"), F.col("root").alias("_root"), "part")
-    # Repeated rows have equal roots and ids: they are numbered on both sides, so that each start is used once.
-    found = found.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "root", "n_tokens").orderBy("ids_crc32")))
-    starts = starts.withColumn("_j", F.row_number().over(Window.partitionBy("_id", "_root", "_n").orderBy("start")))
-    same = found["doc_id"].eqNullSafe(starts["_id"]) & (found["root"] == starts["_root"]) & (found["n_tokens"] == starts["_n"]) & (found["_k"] == starts["_j"])
-    both = found.join(starts, same, "full_outer")
-    met = F.when(F.col("_k").isNotNull() & F.col("_j").isNotNull(), F.col("start"))
-    both = both.withColumn("start", F.coalesce(met, F.raise_error(F.lit("a stored document or its start is missing")).cast("long")))
-    rows = stash(both.select("doc_id", "start", "n_tokens", "ids_crc32", "root", "part"), "read-ids")
+    # Lengths, starts and the manifest come anew from what was read: a document that is missing, swapped or changed changes its range's leaf.
+    rows = chunkstore.prefix_sums(found.select("doc_id", F.col("found").alias("n_tokens"), "root", "ids_crc32"), "doc_id", "n_tokens", edges, ("root",))
     if any(root_of(m) != bytes(root) for m in (spark.read.parquet(f"{path}/manifest"), leaves(rows))):
         raise ValueError("the ids read back differ from the manifest's root")
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
