@@ -5,8 +5,8 @@ cut by a rolling gear hash; chunks are deduplicated by their SHA-256 and stored
 ordered chunk lists (see chunkstore). Reading back rebuilds each payload from its chunk list,
 verifies every chunk and the Merkle root, and computes features from the bytes read.
 
-The stored form of a document is its chunk list: for each chunk, its length (4 bytes, little-endian)
-and digest; ``media_bytes`` and ``media_sha256`` are of that.
+The stored form of a document is its chunk list with the chunks: for each, its length (4 bytes,
+little-endian), digest and bytes, as read back; ``media_bytes`` and ``media_sha256`` are of that.
 
 Defined cases: a null text is an empty one, whose payload is 576 bytes of 255; equal texts give equal
 values; repeated rows come back as often; a null doc_id is kept; other columns are ignored.
@@ -34,6 +34,14 @@ def padded(text: str | None) -> bytes:
     return data + b"\xff" * (-len(data) % UNIT if data else UNIT)
 
 
+def stored_form(payload: bytes, recipe: list[dict]) -> bytes:
+    parts, at = [], 0
+    for c in recipe:
+        parts += [struct.pack("<I", c["len"]), c["digest"], payload[at : at + c["len"]]]
+        at += c["len"]
+    return b"".join(parts)
+
+
 def feature(payload: np.ndarray, lengths: list[int]) -> str:
     """Chunks, their mean length, mean sample and the entropy of the samples in bits."""
     share = np.bincount(payload, minlength=256) / len(payload)
@@ -51,7 +59,7 @@ def read_media(spark: SparkSession, path: str, kind: str = "bigint") -> DataFram
     """doc_id, n_bytes and features of every stored payload, computed from the bytes read back."""
 
     def describe(payloads: list[bytes], recipes: list[list[dict]]) -> list[pa.Array]:
-        forms = [b"".join(struct.pack("<I", c["len"]) + c["digest"] for c in r) for r in recipes]
+        forms = [stored_form(p, r) for p, r in zip(payloads, recipes, strict=True)]
         return [
             pa.array([len(p) for p in payloads], pa.int64()),
             pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
