@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHashes, bounded_batches, documents, mix, seeds, settle, sliced, stash, words_of
@@ -111,32 +111,124 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
-def prefix_pairs(open_: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """All pairs of open_ (rep, n, label) with different labels that can reach the threshold, by prefix filtering.
+def groups_of(open_: DataFrame) -> DataFrame:
+    """rep, cs (array): the centres, as ``centre`` names them, of a document's tables (key, rep, n, label), where
+    at least two other members with different labels remain to be compared."""
+    by_key = open_.join(open_.groupBy("key").agg(*centre(1)).select("key", "c.c"), "key").filter("rep <> c").select("c", "rep", "label").distinct()
+    several = by_key.groupBy("c").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("c")
+    return by_key.join(several, "c").groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("c")).alias("cs"))  # at most one for each table
 
-    Two sets that reach it share one of the ``n - ceil(percent * n / 100) + 1`` rarest shingles of
-    each; shingles of one document alone count but match nothing, so only shared ones are joined.
-    The intersection can't exceed the shared shingles of either set, which rules out most pairs.
+
+_BITS = ["b0", "b1", "b2", "b3"]
+
+
+def differences(grouped: DataFrame, texts: DataFrame, width: int, about: int = 64) -> DataFrame:
+    """c, rep, v, label, n, d, bits, sh: for each member of a group c, the shingles by which its set differs from the
+    group's common set, and their number d; a row with sh null stands for the member itself. bits has, in 4 numbers
+    of 64 bits, whether the member has an odd number of shingles in each of 256 classes.
+
+    The common set holds the shingles of more than half of ``about`` members. It may be any set: a good one
+    only makes the differences small. v tells different texts of one id apart.
     """
+    rows = stash(grouped.join(texts, "rep").withColumn("v", F.xxhash64("text")), "grouped-texts")
+    members = rows.select(F.explode("cs").alias("c"), "rep", "v")
+    sizes = settle(members.groupBy("c").agg(F.count("*").alias("size")))
+    asked = members.join(sizes, "c").filter(f"pmod(xxhash64(rep, v, c), cast(ceil(size / {about}) as bigint)) = 0").groupBy("rep", "v").agg(F.collect_list("c").alias("asked"))
 
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            flat, n = shingles(part.column("text").to_pylist(), width)
+            ends = np.cumsum(n)
+            own = [(c, flat[e - k : e]) for e, k, cs in zip(ends, n, part.column("asked").to_pylist(), strict=True) for c in cs]
+            c = np.repeat(np.array([c for c, _ in own], np.int64), [len(x) for _, x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.concatenate([x for _, x in own]).view(np.int64))], ["c", "sh"])
+
+    counted = rows.join(asked, ["rep", "v"]).select("text", "asked").mapInArrow(listed, "c long, sh long").groupBy("c", "sh").agg(F.count("*").alias("n"))
+    voters = asked.select(F.explode("asked").alias("c")).groupBy("c").agg(F.count("*").alias("voters"))
+    common = counted.join(voters, "c").filter("2 * n > voters").groupBy("c").agg(F.collect_list("sh").alias("common"))  # twice a text's mean size at most
+    # A large group's common set comes in copies, among which its members are dealt.
+    copies = sizes.join(common, "c", "left").select("c", "common", F.explode(F.expr("sequence(0L, size div 1000)")).alias("copy"))
+    dealt = rows.select("rep", "v", "label", "text", F.explode("cs").alias("c")).join(sizes, "c").withColumn("copy", F.expr("pmod(xxhash64(rep, v), size div 1000 + 1)"))
+
+    def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            flat, sizes = shingles(part.column("text").to_pylist(), width)
-            cols = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("rep", "n", "label")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(flat.view(np.int64))], ["rep", "n", "label", "sh"])
-
-    rows = open_.join(texts, "rep").select("rep", "n", "label", "text").mapInArrow(explode, "rep long, n long, label long, sh long")
-    rows = stash(rows, "shingles")
-    common = stash(rows.groupBy("sh").agg(F.count("*").alias("df")).filter("df > 1"), "common-shingles")
-    held = rows.join(common, "sh")
-    by_doc = Window.partitionBy("rep")
-    ranked = held.withColumn("own", F.col("n") - F.count("*").over(by_doc)).withColumn("k", F.row_number().over(by_doc.orderBy("df", "sh")))
-    first = stash(ranked.filter(f"own + k <= n - ceil({percent} * n / 100) + 1").select("sh", "rep", "n", "label", (F.col("n") - F.col("own")).alias("s")), "prefixes")
-    mixed = first.groupBy("sh").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("sh")
-    first = stash(first.join(mixed, "sh"), "mixed-prefixes")
-    met = first.join(first.select("sh", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("s").alias("cs")), "sh")
-    can = f"100 * least(n, cn) >= {percent} * greatest(n, cn) and {100 + percent} * least(s, cs) >= {percent} * (n + cn)"
-    return met.filter(f"rep < c and label <> cl and {can}").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+            flat, n = shingles(part.column("text").to_pylist(), width)
+            own = [np.setxor1d(flat[e - k : e], np.array(c or (), np.int64).view(np.uint64), assume_unique=True) for e, k, c in zip(np.cumsum(n), n, part.column("common").to_pylist(), strict=True)]
+            d = np.array([len(x) for x in own], np.int64)
+            parity = [np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64) for x in own]
+            cols = [np.repeat(x, d + 1) for x in (*(part.column(k).to_numpy(zero_copy_only=False) for k in ("c", "rep", "v", "label")), n, d, *np.array(parity).T)]
+            sh = np.concatenate([np.append(x, np.uint64(0)) for x in own]).view(np.int64)
+            itself = np.zeros(len(sh), bool)
+            itself[np.cumsum(d + 1) - 1] = True
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sh, mask=itself)], ["c", "rep", "v", "label", "n", "d", *_BITS, "sh"])
+
+    held = dealt.join(copies, ["c", "copy"]).select("c", "rep", "v", "label", "text", "common")
+    return held.mapInArrow(differ, f"c long, rep long, v long, label long, n long, d long, {' long, '.join(_BITS)} long, sh long")
+
+
+def difference_tables(open_: DataFrame, texts: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """For the members of tables (key, rep, n, label): pairs (a, b) that link for certain, and further tables
+    (c, sh, low, high) of members that may link, so that every link that the comparison with the tables' centres
+    left open is in the second, or has a path of links through the first.
+
+    Let D(x) be the difference of x from its group's common set and g(x) = (100 - p) * size - (100 + p) * |D(x)|.
+    x and y link if and only if g(x) + g(y) + 2 * (100 + p) * |D(x) & D(y)| >= 0, since their symmetric difference
+    is |D(x)| + |D(y)| - 2 * |D(x) & D(y)|. So, if g(x) + g(y) >= 0, both also link with the group's hub, the member
+    of the largest g, and comparison with the hub is enough. Any other link has common differences; with these in
+    the order of their frequency, the first common one stands at a place q with 2 * (100 + p) * (|D| - q) >= -g(x) - g(y)
+    in either list. Members are classed by g, and a list goes, as far as it must, to each class that it may meet:
+    two documents that differ from the rest in their own ways never meet, however large the group is.
+    """
+    rows = stash(differences(settle(groups_of(open_)), texts, width), "differences")
+    rows = rows.withColumn("g", F.expr(f"{100 - percent} * n - {100 + percent} * d"))
+    alone = settle(rows.filter("sh is null").select("c", "rep", "v", "label", "n", "g"))
+    hubs = alone.groupBy("c").agg(F.max(F.struct("g", "rep", "label")).alias("h"), F.avg("n").alias("mean"))
+    certain = alone.join(hubs, "c").filter("g + h.g >= 0 and label <> h.label").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
+    step = hubs.select("c", F.expr(f"{100 + percent} * cast(ceil(mean / 50) as bigint)").alias("step"))
+    classed = alone.join(step, "c").withColumn("cls", F.expr("floor(g / step)"))
+    classes = settle(classed.groupBy("c", "cls").agg(F.max("g").alias("top")).groupBy("c").agg(F.collect_list(F.struct("cls", "top")).alias("classes")).join(step, "c"))
+    listed = rows.filter("sh is not null")
+    again = listed.groupBy("c", "sh").agg(F.count("*").alias("df")).filter("df > 1")
+    held = listed.join(again, ["c", "sh"])
+    by_doc = Window.partitionBy("c", "rep", "v")
+    ranked = held.withColumn("own", F.col("d") - F.count("*").over(by_doc)).withColumn("q", F.col("own") + F.row_number().over(by_doc.orderBy("df", "sh")) - 1)
+    sent = ranked.join(classes, "c").withColumn("cls", F.expr("floor(g / step)"))
+    sent = sent.withColumn("left", F.expr(f"{2 * (100 + percent)} * (d - q)")).withColumn("to", F.explode(F.expr("filter(classes, k -> left + g + k.top >= 0)")))
+    sent = sent.select("c", "sh", F.least("cls", "to.cls").alias("low"), F.greatest("cls", "to.cls").alias("high"), "cls", "rep", "v", "n", "g", "left", *_BITS)
+    return certain, stash(sent, "difference-tables")
+
+
+_TABLE = ["c", "sh", "low", "high"]
+_MEMBER = ["rep", "n", "label", "g", "left", *_BITS]
+
+
+def _mixed(tables: DataFrame) -> DataFrame:
+    return tables.groupBy(*_TABLE).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select(*_TABLE)
+
+
+def _can(percent: int) -> str:
+    """Whether two members can link, by sizes, by where they meet, and by the classes in which their parities differ, each of
+    which holds a shingle of one of them alone."""
+    apart = " + ".join(f"bit_count({b} ^ o_{b})" for b in _BITS)
+    return (
+        f"label <> o_label and rep <> o_rep and 100 * least(n, o_n) >= {percent} * greatest(n, o_n) and least(left, o_left) + g + o_g >= 0"
+        f" and {100 + percent} * ({apart}) <= {100 - percent} * (n + o_n)"
+    )
+
+
+def star_pairs(tables: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members of difference tables (with label) with one member of their table."""
+    first = F.min_by(F.struct(*[F.col(k).alias(f"o_{k}") for k in _MEMBER]), F.xxhash64("rep", F.lit(2)))
+    centres = tables.join(_mixed(tables), _TABLE).groupBy(*_TABLE).agg(first.alias("o")).select(*_TABLE, "o.*")
+    return tables.join(centres, _TABLE).filter(_can(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+
+
+def table_pairs(tables: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all members of difference tables (with label) that may link and have different labels."""
+    near, far = (tables.filter(x).select(*_TABLE, *_MEMBER) for x in ("cls = high", "cls = low"))
+    far = far.toDF(*_TABLE, *(f"o_{k}" for k in _MEMBER))
+    met = near.join(_mixed(tables), _TABLE).join(far, _TABLE).filter(f"{_can(percent)} and (low < high or rep < o_rep) and g + o_g < 0")
+    return met.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -156,40 +248,58 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, m: int = 10, r: int = 3, width: int = 5, stars: int = 2) -> DataFrame:
+def centre(turn: int) -> tuple[Column, Column]:
+    """A table's centre c, with its label and least size n, and o with its largest size, negated: the smallest id,
+    and in later turns another."""
+    rank = (F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("rank")
+    return F.min(F.struct(rank, F.col("rep").alias("c"), "label", "n")).alias("c"), F.min(F.struct(rank, (-F.col("n")).alias("n"))).alias("o")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, m: int = 10, r: int = 3, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     In each table the members compare with one centre, in the first round the smallest id, then
     another. A pair in one component needs no comparison; what is left are members of tables that
-    hold several components. Those are compared by an exact prefix-filter join, so a link is lost
-    neither to the choice of centres nor to a limit on a table's size.
+    hold several components. Those are compared exactly, by their differences from what their group has in
+    common, so a link is lost neither to the choice of centres nor to a limit on a table's size.
     """
-    bounded_batches(docs.sparkSession)
+    with bounded_batches(docs.sparkSession):
+        return _near_duplicates(docs, percent, m, r, width)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, m: int, r: int, width: int) -> DataFrame:
     rows = stash(sketches(docs, m, r, width), "sketches")
     classes = rows.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(classes, "fp").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "sig")
+    reps = rows.join(classes, "fp").filter("doc_id = rep").dropDuplicates(["fp"]).select("rep", F.col("n_shingles").alias("n"), "sig")
     table = F.expr(f"flatten(transform(sequence(0, {m - 1}), i -> transform(sequence(0, {m - 1}), j -> xxhash64(sig[i], sig[{m} + j], i * {m} + j))))")
     keys = reps.select("rep", "n", F.explode(table).alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
     members = stash(keys.join(shared, "key"), "members")
     nodes = members.select("rep").distinct()
-    texts = stash(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(nodes, "rep", "left_semi").dropDuplicates(["rep"]), "near-texts")
+    # An id with several texts has a row for each here, and links where one of them does.
+    texts = stash(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(nodes, "rep", "left_semi").distinct(), "near-texts")
     label, edges = nodes.withColumn("label", F.col("rep")), None
-    for turn in range(stars + 1):
-        held = members.join(label, "rep") if turn else members.withColumn("label", F.col("rep"))
-        spread = held.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
-        open_ = held.join(spread, "key") if turn else held
-        if turn < stars:
-            rank = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("rank"), "rep", "n", "label")
-            centre = open_.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl"))
-            met = open_.join(centre, "key").filter(f"label <> cl and 100 * least(n, cn) >= {percent} * greatest(n, cn)")
-            pairs = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        else:
-            pairs = prefix_pairs(settle(open_.select("rep", "n", "label").distinct()), texts, percent, width)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Labels of all nodes, with the links among pairs."""
+        nonlocal edges
         links = settle(confirmed(pairs, texts, percent, width))
         edges = links if edges is None else edges.union(links)
         found = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("label", "to")
-        label = settle(nodes.join(found, "rep", "left").select("rep", F.coalesce("to", "rep").alias("label")))
+        return settle(nodes.join(found, "rep", "left").select("rep", F.coalesce("to", "rep").alias("label")))
+
+    def still_open() -> DataFrame:
+        held = members.join(label, "rep")
+        return held.join(held.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key"), "key")
+
+    for turn in range(2):
+        open_ = still_open() if turn else members.withColumn("label", F.col("rep"))
+        centres = open_.groupBy("key").agg(*centre(turn)).select("key", "c.c", F.col("c.label").alias("cl"), F.col("c.n").alias("least"), (-F.col("o.n")).alias("most"))
+        met = open_.join(centres, "key").filter(f"label <> cl and 100 * n >= {percent} * least and {percent} * n <= 100 * most")
+        label = linked(met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
+    certain, tables = difference_tables(stash(still_open().select("key", "rep", "n", "label"), "open"), texts, percent, width)
+    label = linked(certain.union(star_pairs(tables.join(label, "rep"), percent)).distinct())
+    label = linked(table_pairs(tables.join(label, "rep"), percent))
     reach = classes.join(label, "rep", "left").select("fp", F.coalesce("label", "rep").alias("reach"))
     out = rows.join(reach, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("reach", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
