@@ -327,10 +327,10 @@ def test_links_inside_one_table_are_found_by_differences(spark, edits):
     c = open_.agg(*minhash.centre(1)).first()["c"]["c"]
     star = open_.filter(f"rep <> {c}").select(F.least("rep", F.lit(c)).alias("a"), F.greatest("rep", F.lit(c)).alias("b"))
     certain, tables = minhash.difference_tables(open_, texts, 85, 5)
-    each = [minhash.stash(certain.union(minhash.star_pairs(tables.withColumn("label", F.col("rep")), 85)).union(star), "pairs")]
+    each = [minhash.stash(certain.union(minhash.star_pairs(minhash.mixed_tables(tables, docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"))), 85)).union(star), "pairs")]
     links = minhash.stash(minhash.confirmed(each[0], texts, 85, 5), "links")
-    label = minhash.components(links).withColumnRenamed("node", "rep")
-    each.append(minhash.stash(minhash.table_pairs(tables.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), 85), "pairs"))
+    label = open_.select("rep").join(minhash.components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    each.append(minhash.stash(minhash.table_pairs(minhash.mixed_tables(tables, label), 85), "pairs"))
     assert sum(p.count() for p in each) <= 5 * len(rows)  # all pairs are 200 times the rows
     links = links.union(minhash.confirmed(each[1], texts, 85, 5))
     got = {r.node: r.label for r in minhash.components(links).collect()}

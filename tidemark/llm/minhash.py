@@ -111,6 +111,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """For joins on several columns whose sides have no bound: never broadcast, as each such table takes the driver a page of memory."""
+    return df.hint("merge")
+
+
 def groups_of(open_: DataFrame) -> DataFrame:
     """rep, cs (array): the centres, as ``centre`` names them, of a document's tables (key, rep, n, label), where
     at least two other members with different labels remain to be compared."""
@@ -143,7 +148,7 @@ def differences(grouped: DataFrame, texts: DataFrame, width: int, about: int = 6
             c = np.repeat(np.array([c for c, _ in own], np.int64), [len(x) for _, x in own])
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.concatenate([x for _, x in own]).view(np.int64))], ["c", "sh"])
 
-    counted = rows.join(asked, ["rep", "v"]).select("text", "asked").mapInArrow(listed, "c long, sh long").groupBy("c", "sh").agg(F.count("*").alias("n"))
+    counted = rows.join(_sorted(asked), ["rep", "v"]).select("text", "asked").mapInArrow(listed, "c long, sh long").groupBy("c", "sh").agg(F.count("*").alias("n"))
     voters = asked.select(F.explode("asked").alias("c")).groupBy("c").agg(F.count("*").alias("voters"))
     common = counted.join(voters, "c").filter("2 * n > voters").groupBy("c").agg(F.collect_list("sh").alias("common"))  # twice a text's mean size at most
     # A large group's common set comes in copies, among which its members are dealt.
@@ -162,7 +167,7 @@ def differences(grouped: DataFrame, texts: DataFrame, width: int, about: int = 6
             itself[np.cumsum(d + 1) - 1] = True
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sh, mask=itself)], ["c", "rep", "v", "label", "n", "d", *_BITS, "sh"])
 
-    held = dealt.join(copies, ["c", "copy"]).select("c", "rep", "v", "label", "text", "common")
+    held = dealt.join(_sorted(copies), ["c", "copy"]).select("c", "rep", "v", "label", "text", "common")
     return held.mapInArrow(differ, f"c long, rep long, v long, label long, n long, d long, {' long, '.join(_BITS)} long, sh long")
 
 
@@ -189,7 +194,7 @@ def difference_tables(open_: DataFrame, texts: DataFrame, percent: int, width: i
     classes = settle(classed.groupBy("c", "cls").agg(F.max("g").alias("top")).groupBy("c").agg(F.collect_list(F.struct("cls", "top")).alias("classes")).join(step, "c"))
     listed = rows.filter("sh is not null")
     again = listed.groupBy("c", "sh").agg(F.count("*").alias("df")).filter("df > 1")
-    held = listed.join(again, ["c", "sh"])
+    held = listed.join(_sorted(again), ["c", "sh"])
     by_doc = Window.partitionBy("c", "rep", "v")
     ranked = held.withColumn("own", F.col("d") - F.count("*").over(by_doc)).withColumn("q", F.col("own") + F.row_number().over(by_doc.orderBy("df", "sh")) - 1)
     sent = ranked.join(classes, "c").withColumn("cls", F.expr("floor(g / step)"))
@@ -202,8 +207,11 @@ _TABLE = ["c", "sh", "low", "high"]
 _MEMBER = ["rep", "n", "label", "g", "left", *_BITS]
 
 
-def _mixed(tables: DataFrame) -> DataFrame:
-    return tables.groupBy(*_TABLE).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select(*_TABLE)
+def mixed_tables(tables: DataFrame, label: DataFrame) -> DataFrame:
+    """The difference tables whose members have several labels now, with these."""
+    now = tables.drop("label").join(label, "rep").select(*_TABLE, "cls", *_MEMBER)
+    several = now.groupBy(*_TABLE).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select(*_TABLE)
+    return stash(now.join(_sorted(several), _TABLE), "mixed-tables")
 
 
 def _can(percent: int) -> str:
@@ -219,15 +227,15 @@ def _can(percent: int) -> str:
 def star_pairs(tables: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the members of difference tables (with label) with one member of their table."""
     first = F.min_by(F.struct(*[F.col(k).alias(f"o_{k}") for k in _MEMBER]), F.xxhash64("rep", F.lit(2)))
-    centres = tables.join(_mixed(tables), _TABLE).groupBy(*_TABLE).agg(first.alias("o")).select(*_TABLE, "o.*")
-    return tables.join(centres, _TABLE).filter(_can(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+    centres = tables.groupBy(*_TABLE).agg(first.alias("o")).select(*_TABLE, "o.*")
+    return tables.join(_sorted(centres), _TABLE).filter(_can(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
 
 def table_pairs(tables: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of all members of difference tables (with label) that may link and have different labels."""
     near, far = (tables.filter(x).select(*_TABLE, *_MEMBER) for x in ("cls = high", "cls = low"))
     far = far.toDF(*_TABLE, *(f"o_{k}" for k in _MEMBER))
-    met = near.join(_mixed(tables), _TABLE).join(far, _TABLE).filter(f"{_can(percent)} and (low < high or rep < o_rep) and g + o_g < 0")
+    met = near.join(_sorted(far), _TABLE).filter(f"{_can(percent)} and (low < high or rep < o_rep) and g + o_g < 0")
     return met.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
 
@@ -249,18 +257,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def centre(turn: int) -> tuple[Column, Column]:
-    """A table's centre c, with its label and least size n, and o with its largest size, negated: the smallest id,
-    and in later turns another."""
+    """A table's centre c, with its least size n, and o with its largest size, negated: the smallest id, or at turn 1 another."""
     rank = (F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("rank")
-    return F.min(F.struct(rank, F.col("rep").alias("c"), "label", "n")).alias("c"), F.min(F.struct(rank, (-F.col("n")).alias("n"))).alias("o")
+    return F.min(F.struct(rank, F.col("rep").alias("c"), "n")).alias("c"), F.min(F.struct(rank, (-F.col("n")).alias("n"))).alias("o")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, m: int = 10, r: int = 3, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
-    In each table the members compare with one centre, in the first round the smallest id, then
-    another. A pair in one component needs no comparison; what is left are members of tables that
-    hold several components. Those are compared exactly, by their differences from what their group has in
+    In each table the members compare with two centres, the smallest id and another. A pair in one component
+    needs no comparison; what is left are members of tables that hold several components. Those are compared exactly, by their differences from what their group has in
     common, so a link is lost neither to the choice of centres nor to a limit on a table's size.
     """
     with bounded_batches(docs.sparkSession):
@@ -278,28 +284,28 @@ def _near_duplicates(docs: DataFrame, percent: int, m: int, r: int, width: int)
     nodes = members.select("rep").distinct()
     # An id with several texts has a row for each here, and links where one of them does.
     texts = stash(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(nodes, "rep", "left_semi").distinct(), "near-texts")
-    label, edges = nodes.withColumn("label", F.col("rep")), None
+    label = nodes.withColumn("label", F.col("rep"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Labels of all nodes, with the links among pairs."""
-        nonlocal edges
-        links = settle(confirmed(pairs, texts, percent, width))
-        edges = links if edges is None else edges.union(links)
-        found = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("label", "to")
-        return settle(nodes.join(found, "rep", "left").select("rep", F.coalesce("to", "rep").alias("label")))
-
-    def still_open() -> DataFrame:
-        held = members.join(label, "rep")
-        return held.join(held.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key"), "key")
-
-    for turn in range(2):
-        open_ = still_open() if turn else members.withColumn("label", F.col("rep"))
-        centres = open_.groupBy("key").agg(*centre(turn)).select("key", "c.c", F.col("c.label").alias("cl"), F.col("c.n").alias("least"), (-F.col("o.n")).alias("most"))
-        met = open_.join(centres, "key").filter(f"label <> cl and 100 * n >= {percent} * least and {percent} * n <= 100 * most")
-        label = linked(met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
-    certain, tables = difference_tables(stash(still_open().select("key", "rep", "n", "label"), "open"), texts, percent, width)
-    label = linked(certain.union(star_pairs(tables.join(label, "rep"), percent)).distinct())
-    label = linked(table_pairs(tables.join(label, "rep"), percent))
+        """The labels of all nodes, where links among pairs join two labels."""
+        links = settle(confirmed(settle(pairs), texts, percent, width))
+        if links.isEmpty():
+            return label
+        ends = [label.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
+        between = links.join(ends[0], "a").join(ends[1], "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        found = components(between).toDF("label", "to")
+        return settle(label.join(found, "label", "left").select("rep", F.coalesce("to", "label").alias("label")))
+
+    centres = members.groupBy("key").agg(*[c.alias(f"{name}{turn}") for turn in (0, 1) for name, c in zip("co", centre(turn), strict=True)])
+    each = F.explode(F.array(*[F.struct(F.col(f"c{k}.c").alias("c"), F.col(f"c{k}.n").alias("least"), (-F.col(f"o{k}.n")).alias("most")) for k in (0, 1)]))
+    met = members.join(centres.select("key", each.alias("o")), "key").filter(f"rep <> o.c and 100 * n >= {percent} * o.least and {percent} * n <= 100 * o.most")
+    label = linked(met.select(F.least("rep", "o.c").alias("a"), F.greatest("rep", "o.c").alias("b")).distinct())
+    held = members.join(label, "rep").select("key", "rep", "n", "label")
+    open_ = held.join(held.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key"), "key")
+    certain, tables = difference_tables(stash(open_, "open"), texts, percent, width)
+    tables = mixed_tables(tables, label)
+    label = linked(certain.union(star_pairs(tables, percent)).distinct())
+    label = linked(table_pairs(mixed_tables(tables, label), percent))
     reach = classes.join(label, "rep", "left").select("fp", F.coalesce("label", "rep").alias("reach"))
     out = rows.join(reach, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("reach", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
