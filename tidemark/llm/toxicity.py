@@ -1,12 +1,18 @@
 """Toxicity by a support vector machine on a gapped-subsequence string kernel with Nyström landmarks.
 
-The kernel of two words sums, over all ``ORDER``-letter subsequences that both hold within a span
-of ``SPAN`` letters, ``DECAY`` to the power of both spans, so a letter left out or put in between
-lowers a match but doesn't lose it; signs inside a word are skipped altogether. Landmarks are the
-words that tell labelled toxic documents from clean ones, and clean words that come closest to them;
-the machine is trained on Nyström features of labelled words. As it is linear in the landmarks'
-subsequences, all its weights fold into one table, and a text's score is that of its worst word,
-calibrated on the training documents.
+The kernel of two sentences sums, over all ``ORDER``-letter subsequences that words of both hold within a
+span of ``SPAN`` letters, ``DECAY`` to the power of both spans, so a letter left out or put in between
+lowers a match but doesn't lose it; signs inside a word are skipped altogether, and single letters
+apart by blanks are one word. It is divided by the norms that the sentences would have if none of their
+subsequences occurred twice, which depend on the words' lengths alone. Sentences end at ``.!?``, a line's
+end or after ``WORDS`` words.
+
+The machine is trained on sentences with their documents' labels: all of a clean document are clean; of
+a toxic one at least one is toxic, at first that whose subsequences occur most in toxic documents, then,
+round by round, that which the machine ranks first; the clean sentences that it ranks first are used in
+the next round. Landmarks are the words that count most in toxic and in clean sentences chosen so. As the machine
+is linear in the landmarks' subsequences, all its weights fold into one table. A document's score is that of its
+worst sentence, calibrated on the training documents.
 
 Letters of any script count: texts beyond Latin-1 are composed, folded (NFKC, lower case) and their
 letters lose accents to a Latin letter, or else are ``PER_LETTER`` symbols of a further alphabet of
@@ -15,31 +21,31 @@ letters lose accents to a Latin letter, or else are ``PER_LETTER`` symbols of a
 Training reads at most ``per_class`` labelled documents of either class (1,000 by default), chosen
 by a hash of the id, and never those with crc32(doc_id) mod 3 = 1.
 
-Defined cases: a null or empty text, or one without letters, scores as a word that is like no
+Defined cases: a null or empty text, or one without letters, scores as a sentence that is like no
 landmark; without labels of both classes all scores are the share of toxic labels, or 0; repeated
-rows score alike; a null doc_id counts as not held out; other columns are ignored.
+rows score alike, and of several texts of one labelled id the least is used for training; a null
+doc_id counts as not held out; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tidemark.llm.common import documents, remainder, sliced
+from tidemark.llm.common import documents, mix, remainder, seeds, sliced
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
-NEAR = -1.4  # logit of the score, about 0.2, from which word norms are exact
+WORDS = 4  # of a sentence at most
 MARKED = "àáâäåæçèéêëíîñóôöøùúûüß"  # letters of their own, besides a to z
 OTHERS, PER_LETTER = 12, 2  # symbols for the letters of other scripts, and how many stand for one
 EDGE = 27 + len(MARKED) + OTHERS  # stands before and after each word
@@ -60,11 +66,11 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-#: Norm of a word of n letters none of whose subsequences repeat; any other word's is larger.
-_NORM = np.zeros(4096)
-for _o in _OFFSETS:
-    _NORM += np.maximum(0, np.arange(4096) - _o[-1]) * DECAY ** (2 * (_o[-1] + 1))
-_NORM = np.sqrt(np.maximum(_NORM, DECAY ** (2 * ORDER)))
+_TURNS = seeds(64, "word")
+_STOPS = np.isin(np.arange(256), list(b".!?\n"))
+#: By the number of letters up to a word's end: what its subsequences from there on add to the squared norm.
+_SQUARES = np.array([sum(DECAY ** (2 * (o[-1] + 1)) for o in _OFFSETS if o[-1] < room) for room in range(SPAN + 1)], np.float32)
+_LEAST = DECAY ** (2 * ORDER)  # of a squared norm
 
 
 class _Folded(dict):
@@ -99,66 +105,119 @@ def folded(text: str) -> bytes:
         return unicodedata.normalize("NFC", text).translate(_FOLDED).encode("latin-1")
 
 
-def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter codes of all words, the start of each word, and the text of each word."""
-    raw = [folded(t or "") + b" " for t in texts]
-    code = _CLASS[np.frombuffer(b"".join(raw), np.uint8)]
-    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-    space = code == 255
-    word = np.cumsum(space)
-    keep = (code != 0) & ~space
-    code, word, owner = code[keep].astype(np.int32), word[keep], owner[keep]
-    starts = np.flatnonzero(np.diff(word, prepend=-1)) if len(word) else np.zeros(0, np.int64)
+@dataclass
+class Letters:
+    """Letters of all words one after another, with an edge before and after each word."""
+
+    code: np.ndarray
+    words: np.ndarray  # start of each word
+    sentences: np.ndarray  # number of the first word of each sentence
+    owner: np.ndarray  # text of each sentence
+
+    def starts(self) -> np.ndarray:
+        """Start of each sentence."""
+        return self.words[self.sentences]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts()) if len(self.words) else np.zeros(0, values.dtype)
+
+    def room(self) -> np.ndarray:
+        """Letters from each on to its word's end."""
+        n = np.diff(np.append(self.words, len(self.code)))
+        return np.repeat(n, n) - (np.arange(len(self.code)) - np.repeat(self.words, n))
+
+    def only(self, sentences: np.ndarray) -> Letters:
+        """Some of the sentences, in their order."""
+        mark = np.zeros(len(self.sentences), bool)
+        mark[sentences] = True
+        of = np.diff(np.append(self.sentences, len(self.words)))
+        word = np.repeat(mark, of)
+        n = np.diff(np.append(self.words, len(self.code)))
+        return Letters(self.code[np.repeat(word, n)], np.cumsum(n[word]) - n[word], np.cumsum(of[mark]) - of[mark], self.owner[mark])
+
+    def norms(self) -> np.ndarray:
+        return np.sqrt(np.maximum(self.sums(_SQUARES[np.minimum(self.room(), SPAN)]), _LEAST))
+
+
+def letters(texts: list[str | None]) -> Letters:
+    raw = [folded(t or "") + b"\n" for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    code = _CLASS[data]
+    place = np.flatnonzero((code != 0) & (code != 255))
+    word = np.cumsum(code == 255, dtype=np.int32)[place]
+    code = code[place].astype(np.int32)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    text = np.searchsorted(np.cumsum([len(r) for r in raw]), place[starts], "right")
+    single = np.diff(np.append(starts, len(code))) == 1
+    joins = np.zeros(len(starts), bool)
+    joins[1:] = single[1:] & single[:-1] & (text[1:] == text[:-1])  # letters apart by blanks
+    starts, text = starts[~joins], text[~joins]
+    stop = np.cumsum(_STOPS[data], dtype=np.int32)[place[starts]]
+    changed = np.diff(stop, prepend=-1) != 0
+    first = np.flatnonzero(changed)
+    rank = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+    begins = changed | (rank % WORDS == 0)
     ends = np.append(starts[1:], len(code)) if len(starts) else starts
+    # A word counts once in a sentence.
+    sizes = ends - starts
+    turn = _TURNS[(np.arange(len(code)) - np.repeat(starts, sizes)) % len(_TURNS)]
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat((code + 1).astype(np.uint64) * turn, starts) if len(starts) else turn[:0]
+        _, once = np.unique(mix(name + np.cumsum(begins).astype(np.uint64) * _TURNS[0]), return_index=True)
+    stay = np.zeros(len(starts), bool)
+    stay[once] = True  # the first of equal words, so each sentence's first word stays
+    code = code[np.repeat(stay, sizes)]
+    sentences, text, sizes = np.flatnonzero(begins[stay]), text[stay], sizes[stay]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
     edged = np.insert(code, np.sort(np.concatenate([starts, ends])), EDGE)
-    return edged, starts + 2 * np.arange(len(starts)), owner[starts]
+    return Letters(edged, starts + 2 * np.arange(len(starts)), sentences, text[sentences])
 
 
-def subsequences(code: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+def subsequences(some: Letters) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each choice of gaps: places where it stays in one word, their subsequences, the weight."""
-    n = np.diff(np.append(starts, len(code)))
-    room = np.repeat(n, n) - (np.arange(len(code)) - np.repeat(starts, n))  # letters up to the word's end
+    room = some.room()
     for offsets in _OFFSETS:
         at = np.flatnonzero(room > offsets[-1])
         key = np.zeros(len(at), np.int32)
         for o in offsets:
-            key = key * LETTERS + code[at + o]
+            key = key * LETTERS + some.code[at + o]
         yield at, key, DECAY ** (offsets[-1] + 1)
 
 
-def word_scores(code: np.ndarray, starts: np.ndarray, table: np.ndarray, near: float = 1.0) -> np.ndarray:
-    """The table's weights over the subsequences of each word, by the word's norm; exact from ``near`` upwards."""
-    if not len(starts):
-        return np.zeros(0)
-    total = np.zeros(len(code), np.float32)
-    for at, key, weight in subsequences(code, starts):
+def weighed(some: Letters, table: np.ndarray) -> np.ndarray:
+    """The table's weights of the subsequences that start at each letter."""
+    total = np.zeros(len(some.code), np.float32)
+    for at, key, weight in subsequences(some):
         total[at] += table[key] * np.float32(weight)
-    ends = np.append(starts[1:], len(code))
-    short = _NORM[np.minimum(ends - starts, 4095)]
-    out = np.add.reduceat(total, starts) / short
-    for i in np.flatnonzero(out >= near):  # the short norm never lowers a positive score, so few are left
-        out[i] *= short[i] / _norm_of(code[starts[i] : ends[i]].tobytes())
-    return out
+    return total
 
 
-@lru_cache(100_000)
-def _norm_of(word: bytes) -> float:
-    _, weights = _subsequences_of(np.frombuffer(word, np.int32))
-    return max(float(np.sqrt((weights**2).sum())), DECAY**ORDER)
+def sentence_scores(some: Letters, table: np.ndarray) -> np.ndarray:
+    """The inner product of the table and each sentence's features."""
+    return some.sums(weighed(some, table)) / some.norms()
 
 
-def _subsequences_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(key, np.full(len(key), weight)) for _, key, weight in subsequences(code, np.zeros(min(1, len(code)), np.int64))]
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([w for _, w in parts]), len(keys)) if len(keys) else np.zeros(0)
+def features(some: Letters, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sentence, place in the sorted keys, weight over the norm) of the sentences' subsequences that are among keys."""
+    norms, starts = some.norms(), some.starts()
+    for at, key, weight in subsequences(some):
+        place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        hit = np.flatnonzero(keys[place] == key) if len(keys) else np.zeros(0, np.int64)
+        own = np.searchsorted(starts, at[hit], "right") - 1
+        yield own, place[hit], weight / norms[own]
 
 
-@lru_cache(20_000)
-def embed(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequences and weights of a word, divided by its norm."""
-    code, _, _ = letters([word])
-    keys, weights = _subsequences_of(code)
-    return keys, weights / max(float(np.sqrt((weights**2).sum())), DECAY**ORDER)
+def mapped(some: Letters, keys: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """The sentences' features times a matrix with a row for each of the keys."""
+    out, into = np.zeros((len(some.sentences), into.shape[1])), into.astype(np.float32)
+    for own, place, weight in features(some, keys):
+        order = np.argsort(own, kind="stable")
+        for k in range(0, len(order), 20_000):
+            part = order[k : k + 20_000]
+            edges = np.flatnonzero(np.diff(own[part], prepend=-1))
+            out[own[part[edges]]] += np.add.reduceat(into[place[part]] * weight[part, None].astype(np.float32), edges)
+    return out
 
 
 @dataclass
@@ -169,13 +228,11 @@ class Model:
     shift: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        code, starts, owner = letters(texts)
+        some = letters(texts)
         worst = np.full(len(texts), self.bias)
-        if len(starts):
-            least = (NEAR - self.shift) / self.slope if self.slope else 0.0  # few words come near
-            f = word_scores(code, starts, self.table, near=max(0.3, least - self.bias)) + self.bias
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            worst[owner[first]] = np.maximum.reduceat(f, first)
+        if len(some.owner):
+            first = np.flatnonzero(np.diff(some.owner, prepend=-1))
+            worst[some.owner[first]] = np.maximum.reduceat(sentence_scores(some, self.table), first) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
@@ -212,83 +269,90 @@ def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def _spoken(text: str) -> set[str]:
-    return {sys.intern(w) for w in ("".join(c for c in word if c.isalpha()) for word in text.lower().split()) if len(w) >= ORDER}
+def _shares(texts: list[str]) -> np.ndarray:
+    """For each subsequence, the number of texts that hold it."""
+    out = np.zeros(LETTERS**ORDER, np.uint16)
+    for t in texts:
+        out[np.unique(np.concatenate([key for _, key, _ in subsequences(letters([t]))]))] += 1
+    return out
 
 
-def _telling(bad: list[set[str]], clean: Counter, n_clean: int) -> list[str]:
-    """Words that tell toxic documents: all that are in many, then greedily those in most that have none, if
-        at most a thirtieth as frequent in clean ones, of which one more than seen is assumed."""
-    rate = lambda w, n: (clean[w] + 1) / (n_clean + 1) * 30 <= n / max(1, len(bad))
-    held = Counter(w for d in bad for w in d)
-    found = [w for w, n in sorted(held.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, len(bad) // 100) and rate(w, n)][:150]
-    known, open_ = set(found), [d for d in bad if not d & set(found)]
-    while open_:
-        left = Counter(w for d in open_ for w in d if rate(w, held[w]))
-        best, n = max(left.items(), key=lambda x: (x[1], held[x[0]], x[0]), default=("", 0))
-        if n < 3 or len(known) >= 200:
-            break
-        known.add(best)
-        open_ = [d for d in open_ if best not in d]
-    return sorted(known)
+def _worst(some: Letters, scores: np.ndarray) -> np.ndarray:
+    """The first-ranked sentence of each text that has any."""
+    order = np.lexsort((-scores, some.owner))
+    return order[np.flatnonzero(np.diff(some.owner[order], prepend=-1))]
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = 192, rounds: int = 3, ridge: float = 0.1) -> Model:
-    y = np.array(toxic)
+def _marks(some: Letters, sentences: np.ndarray, value: np.ndarray, count: int) -> list[bytes]:
+    """The words with the largest value in the sentences, those of most sentences first."""
+    found: Counter[bytes] = Counter()
+    by_word = np.add.reduceat(value, some.words) / np.sqrt(np.maximum(np.add.reduceat(_SQUARES[np.minimum(some.room(), SPAN)], some.words), _LEAST))
+    ends, last = np.append(some.words[1:], len(some.code)), np.append(some.sentences[1:], len(some.words))
+    for s in sentences.tolist():
+        w = some.sentences[s] + int(np.argmax(by_word[some.sentences[s] : last[s]]))
+        found[some.code[some.words[w] : ends[w]].tobytes()] += 1
+    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:count]]
+
+
+def _joined(words: list[bytes]) -> Letters:
+    """Each word as a sentence."""
+    each = [np.frombuffer(w, np.int32) for w in words]
+    starts = np.cumsum([len(w) for w in each]) - [len(w) for w in each]
+    return Letters(np.concatenate(each), starts, np.arange(len(each)), np.arange(len(each)))
+
+
+def train(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int = 4, ridge: float = 0.1) -> Model:
     table = np.zeros(LETTERS**ORDER, np.float32)
-    share = float(y.mean()) if len(y) else 0.0
+    share = sum(toxic) / len(toxic) if toxic else 0.0
     flat = Model(table, 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 40.0 if share == 1 else -40.0)
     if len(set(toxic)) < 2:
         return flat
-    once: dict[tuple[int, int], set[str]] = {}
+    once: dict[tuple[int, int], str] = {}
     for t, label in zip(texts, toxic, strict=True):  # near copies count once: those with the same least 3-word window
         words = t.lower().split()
-        least = min((hash_of(w) for w in zip(words, words[1:], words[2:], strict=False)), default=hash_of(tuple(words)))
-        once.setdefault((label, least), _spoken(t))
-    bad = [d for (label, _), d in once.items() if label]
-    clean = Counter(w for (label, _), d in once.items() if not label for w in d)
-    telling = _telling(bad, clean, len(once) - len(bad))
-    if not telling:
+        once.setdefault((label, min((hash_of(w) for w in zip(words, words[1:], words[2:], strict=False)), default=hash_of(tuple(words)))), t)
+    bad, clean = ([t for (label, _), t in once.items() if label == c] for c in (1, 0))
+    some = [letters(bad), letters(clean)]
+    if not all(len(x.words) for x in some):
         return flat
-    known, held = set(telling), Counter(w for d in bad for w in d)  # a word weighs as many documents as have it
-    times = max(1.0, (len(once) - len(bad)) / len(bad))
-    pool = sorted((w for w in clean if w not in known), key=lambda w: hash_of((w,)))
-    against = pool[:4000]
-    code, starts, _ = letters(pool)
-    bias = 0.0
+    n1, n0 = _shares(bad), _shares(clean)
+    value = np.log((n1 + np.float32(0.5)) / np.float32(len(bad) + 1)) - np.log((n0 + np.float32(0.5)) / np.float32(len(clean) + 1))
+    value[n1 < max(3, len(bad) // 200)] = 0
+    table[:] = np.maximum(value, 0) ** 2
+    del n1, n0, value
+    first = [x.sums(weighed(x, table)) / x.norms() for x in some]
+    chosen = [_worst(x, f) for x, f in zip(some, first, strict=True)]
+    marks = _joined(list(dict.fromkeys(w for x, c in zip(some, chosen, strict=True) for w in _marks(x, c, weighed(x, table), landmarks // 2))))
+    keys = np.unique(np.concatenate([key for _, key, _ in subsequences(marks)]))
+    phi = np.zeros((len(marks.words), len(keys)))
+    for own, place, weight in features(marks, keys):
+        np.add.at(phi, (own, place), weight)
+    values, vectors = np.linalg.eigh(phi @ phi.T)
+    good = values > 1e-6
+    into = phi.T @ (vectors[:, good] / np.sqrt(values[good]))  # from subsequences to Nyström features
+    extra = np.flatnonzero(np.arange(len(some[1].sentences)) % max(1, len(some[1].sentences) // (4 * len(clean))) == 0)  # evenly, some four sentences of a text
+    against = np.unique(np.concatenate([chosen[1], extra]))
+    x = mapped(some[1].only(against), keys, into)
+    w = np.zeros(into.shape[1] + 1)
     for turn in range(rounds):
-        near = against[-max(0, landmarks - len(telling)) :] if turn else against[: landmarks - len(telling)]
-        marks = [embed(w) for w in telling[:landmarks] + near]
-        keys = np.unique(np.concatenate([k for k, _ in marks]))
-        phi = np.zeros((len(marks), len(keys)))
-        for i, (k, v) in enumerate(marks):
-            phi[i, np.searchsorted(keys, k)] = v
-        values, vectors = np.linalg.eigh(phi @ phi.T)
-        good = values > 1e-6
-        root = vectors[:, good] / np.sqrt(values[good])
-        into = phi.T @ root  # from subsequences to Nyström features
-        x = np.zeros((len(telling) + len(against), into.shape[1]))
-        for i, (k, v) in enumerate(map(embed, telling + against)):
-            at = np.searchsorted(keys, k)
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == k)
-            x[i] = v[hit] @ into[at[hit]]
-        sign = np.r_[np.ones(len(telling)), -np.ones(len(against))]
-        w = _squared_hinge(x, sign, np.array([times * held[w] for w in telling] + [float(clean[w]) for w in against]), ridge)
+        own = mapped(some[0].only(chosen[0]), keys, into)
+        sign = np.r_[np.ones(len(own)), -np.ones(len(x))]
+        weight = np.r_[np.full(len(own), len(x) / len(own)), np.ones(len(x))]
+        w = _squared_hinge(np.concatenate([own, x]), sign, weight, ridge * len(x) / 1000)
         table[:] = 0
         table[keys] = into @ w[:-1]
-        bias = float(w[-1])
-        if turn < rounds - 1:  # clean words that score highest join
-            order = np.argsort(-word_scores(code, starts, table, 0.5), kind="stable")[:1500]
-            against = list(dict.fromkeys(against + [pool[i] for i in order[::-1]]))
-    model = Model(table, bias, 1.0, -0.5)  # norms exact from f = -0.9
-    f = np.log(1 / np.clip(1 - model.scores(texts), 1e-12, 1) - 1 + 1e-12) + 0.5
-    slope, shift = _platt(f, y)
-    return Model(table, bias, slope, shift) if slope > 0 else flat
+        if turn < rounds - 1:
+            chosen = [_worst(k, sentence_scores(k, table)) for k in some]
+            more = np.setdiff1d(chosen[1], against)
+            against = np.concatenate([against, more])
+            x = np.concatenate([x, mapped(some[1].only(more), keys, into)])
+    model = Model(table, float(w[-1]), 1.0, 0.0)
+    f = -np.log(1 / np.clip(model.scores(texts), 1e-12, 1 - 1e-12) - 1)
+    slope, shift = _platt(f, np.array(toxic))
+    return Model(table, float(w[-1]), slope, shift) if slope > 0 else flat
 
 
 def hash_of(words: tuple[str, ...]) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
@@ -299,8 +363,8 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[s
     picked = {r["doc_id"]: r["toxic"] for c in chosen for r in c.collect()}
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([(i,) for i in picked] or [(-1,)], "_id long"))  # 2 * per_class ids at most
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi").filter("text is not null").collect()
-    found = sorted({r["doc_id"]: r["text"] for r in found}.items())
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi").filter("text is not null")
+    found = sorted(tuple(r) for r in found.groupBy("doc_id").agg(F.min("text")).collect())
     return [t for _, t in found], [picked[i] for i, _ in found]
 
 
