@@ -139,12 +139,48 @@ def test_tree_copy_until_in_sync(spark, tmp_path):
     assert diff() == "RESUME"
     tree.append_segments(seg)
     assert diff() == "IN_SYNC"
-    with pytest.raises(Exception, match="BAD_OFFSET"):
-        tree.append_segments(seg)
+    tree.append_segments(seg)  # again, as by a task that was lost: nothing is written twice
+    assert diff() == "IN_SYNC"
+    for other in (seg.withColumn("payload", F.lit(b"else")), seg.withColumn("offset", F.col("offset") + 9)):
+        with pytest.raises(Exception, match="BAD_OFFSET"):
+            tree.append_segments(other)
+    with open(dst / "big.bin", "r+b") as f:
+        f.truncate(150 * 1024 + 2)  # half of the segment is there
+    tree.append_segments(seg)
+    assert diff() == "IN_SYNC"
+    tree.make_entries(scan.filter("kind = 3").withColumn("root", F.lit(str(dst))))
     two = tree.scan_roots(spark, [(2, str(src / "sub")), (2, str(dst))], regex="txt$")
     assert {(r.stream_id, r.name) for r in two.collect()} == {(2, "small.txt"), (2, "empty")}
 
 
+def test_sinks_stay_below_their_root(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    os.symlink(tmp_path, root / "out")
+    chunk = lambda name: spark.createDataFrame([(1, name, 2, None, 0, bytearray(b"ab"))], "file_id long, name string, size long, file_checksum binary, offset long, payload binary")
+    for name in ("../escaped.txt", "/escaped.txt", "a/../../escaped.txt", "", "out/escaped.txt", "./x", "a/"):
+        with pytest.raises(Exception, match="UNSAFE_NAME"):
+            tree.write_files(spark, chunk(name), str(root))
+        with pytest.raises(Exception, match="UNSAFE_NAME"):
+            tree.append_segments(chunk(name).withColumn("root", F.lit(str(root))))
+        for kind in (2, 3):
+            with pytest.raises(Exception, match="UNSAFE_NAME"):
+                tree.make_entries(chunk(name).select(F.lit(str(root)).alias("root"), "name", F.lit(kind).alias("kind"), F.lit("x").alias("link_target")))
+    assert sorted(os.listdir(tmp_path)) == ["root"] and not set(os.listdir(root)) - {"out", tree.TEMP}
+
+
+def test_a_file_with_missing_or_wrong_chunks_is_not_committed(spark, tmp_path):
+    data = os.urandom(300)
+    rows = [(1, "a/whole", 300, bytearray(crc_bytes(data)), k, bytearray(data[k : k + 100])) for k in (0, 100, 200)]
+    make = lambda rows: spark.createDataFrame(rows, "file_id long, name string, size long, file_checksum binary, offset long, payload binary")
+    for bad in (rows[:2], rows[1:], [*rows, rows[1]], [(*rows[0][:5], bytearray(100)), *rows[1:]]):
+        with pytest.raises(Exception, match="CHECKSUM_MISMATCH"):
+            tree.write_files(spark, make(bad), str(tmp_path))
+        assert not (tmp_path / "a").exists()
+    tree.write_files(spark, make(rows), str(tmp_path))
+    assert (tmp_path / "a" / "whole").read_bytes() == data
+
+
 def test_capture_with_bad_frames(spark, tmp_path):
     q = lambda *v: struct.pack("<" + "q" * len(v), *v)
     blob = lambda b: struct.pack("<I", len(b)) + b

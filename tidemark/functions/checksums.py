@@ -98,6 +98,22 @@ def crc_value(col) -> Column:
     return F.conv(F.concat(*[F.hex(F.substring(col, i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("long")
 
 
+def _combined(values: pd.Series, lengths: pd.Series) -> tuple[bytes, int]:
+    """Checksum and length of parts in order: neighbours are combined pair by pair, all pairs at once."""
+    c = np.array([int.from_bytes(v, "little") for v in values], np.uint32)
+    n = np.array(lengths, np.int64)
+    while len(c) > 1:
+        if len(c) % 2:
+            c, n = np.append(c, np.uint32(0)), np.append(n, 0)
+        c, n = combine(c[::2], c[1::2], n[1::2]), n[::2] + n[1::2]
+    return (int(c[0]) if len(c) else 0).to_bytes(4, "little"), int(n.sum())
+
+
+def _combine_group(checksum: pd.Series, length: pd.Series, at: pd.Series) -> bytes:
+    order = np.argsort(at.to_numpy(), kind="stable")
+    return _combined(checksum.iloc[order], length.iloc[order])[0]
+
+
 def crc32c_combine(parts: DataFrame, keys: list[str], order: str, crc_col: str = "checksum", len_col: str = "len") -> DataFrame:
     """keys, checksum, len: the checksum of each group's parts in order, from their checksums and lengths.
 
@@ -107,11 +123,8 @@ def crc32c_combine(parts: DataFrame, keys: list[str], order: str, crc_col: str =
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        total, n = np.zeros(1, np.uint32), 0
-        for value, length in zip(pdf["checksum"], pdf["len"], strict=True):
-            total = combine(total, np.array([int.from_bytes(value, "little")], np.uint32), np.array([length]))
-            n += int(length)
-        return pdf[[*keys, "_part"]].head(1).assign(checksum=[int(total[0]).to_bytes(4, "little")], len=[n])
+        total, n = _combined(pdf["checksum"], pdf["len"])
+        return pdf[[*keys, "_part"]].head(1).assign(checksum=[total], len=[n])
 
     rows = parts.select(*keys, F.col(order).cast("long").alias("_at"), F.col(crc_col).alias("checksum"), F.col(len_col).cast("long").alias("len"))
     kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in keys)
@@ -149,9 +162,10 @@ def verify(payload, checksum) -> Column:
 
 
 def register_all(spark: SparkSession) -> None:
-    """SQL functions crc32c(binary), and the tree source and sink."""
+    """SQL functions crc32c(binary) and the aggregate crc32c_combine(checksum, len, order), and the tree source and sink."""
     from tidemark.sources import tree
 
     spark.udf.register("crc32c", F.pandas_udf(_crc32c, "binary"))
+    spark.udf.register("crc32c_combine", F.pandas_udf(_combine_group, "binary"))
     spark.dataSource.register(tree.TreeSource)
     spark.dataSource.register(tree.TreeSink)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame
 
     A stream's reports carry running values that don't fall. So the first report that is both after
     the send and high enough is the later of two: the first after it, and the first high enough. Two
-    windows over sends and reports together find them; no send is paired with more than one report.
+    windows over sends and reports together find them, each a running minimum from the far end; no send is
+    paired with more than one report. A session that starts again is a log of its own.
     """
     line = ["line_id"] if on_line else []
     s = sends.withColumn("_id", F.xxhash64(*line, *SEND_KEY, "sent_tick"))
@@ -24,12 +28,12 @@ def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame
     listed = reports.select(*line, "stream_id", "tick", F.inline("received_chunks"))
     by_chunk = s.filter(F.col("kind") == CHUNK).join(listed, [*line, "stream_id", "seq", "file_id", "chunk_index"]).filter("tick > sent_tick").select("_id", "tick")
 
-    def reached(who: DataFrame, need: str, value: str, keys: list[str]) -> DataFrame:
+    def reached(who: DataFrame, need: str, value: str, keys: list[str], reports: DataFrame = reports) -> DataFrame:
         """(_id, tick): the first report after the send with value >= need."""
         asks = who.select(*keys, F.col(need).alias("v"), F.lit(None).cast("long").alias("tick"), "_id", F.col("sent_tick").alias("at"))
         says = reports.select(*keys, F.col(value).alias("v"), "tick", F.lit(None).cast("long").alias("_id"), F.col("tick").alias("at"))
-        high = Window.partitionBy(*keys).orderBy("v").rangeBetween(0, Window.unboundedFollowing)
-        late = Window.partitionBy(*keys).orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+        high = Window.partitionBy(*keys).orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
+        late = Window.partitionBy(*keys).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
         both = asks.union(says).withColumn("t1", F.min("tick").over(high)).withColumn("t2", F.min("tick").over(late))
         return both.filter("_id is not null and t1 is not null and t2 is not null").select("_id", F.greatest("t1", "t2").alias("tick"))
 
@@ -38,11 +42,9 @@ def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame
     if on_line:
         ordered = reached(after.filter(F.col("kind").isin(CREATE, DATA, BEGIN, COMMIT)), "need", "next_seq", file)
     else:
-        ordered = reached(after, "need", "next_seq", ["stream_id"])
+        ordered = reached(after, "need", "next_seq", ["stream_id"], reports.filter("next_seq <> 0"))
     data = reached(s.filter((F.col("kind") == DATA) & (F.col("end_offset") != 0)), "end_offset", "reach", file)
-    done = ordered.union(data)
-    if on_line:
-        done = done.union(by_chunk)
+    done = ordered.union(data).union(by_chunk)
     done = done.groupBy("_id").agg(F.min("tick").alias("ack_tick"))
     return s.join(done, "_id", "left").drop("_id")
 
@@ -57,8 +59,8 @@ def match_acks(sends: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def release_sends(sends: DataFrame, acks: DataFrame) -> DataFrame:
-    """sends with ack_tick whatever the line: next_seq of the stream releases every kind (0 releases none), offsets release DATA of their file. Gives latency samples."""
-    return _first_report(sends, acks.filter("next_seq <> 0"), on_line=False)
+    """sends with ack_tick whatever the line: next_seq of the stream releases every kind (0 releases none), offsets release DATA of their file, lists release chunks. Gives latency samples."""
+    return _first_report(sends, acks, on_line=False)
 
 
 def latency_samples(released: DataFrame) -> DataFrame:
@@ -119,46 +121,71 @@ def lost_sends(matched: DataFrame, disconnects: DataFrame) -> DataFrame:
     s = matched.withColumn("_gone", F.lit(None).cast("long")).withColumn("_at", F.col("sent_tick"))
     d = disconnects.select("line_id", F.col("tick").alias("_gone"), F.col("tick").alias("_at"))
     every = s.unionByName(d, allowMissingColumns=True)
-    ahead = Window.partitionBy("line_id").orderBy("_at").rangeBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("line_id").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
     out = every.withColumn("lost_tick", F.min("_gone").over(ahead)).filter(F.col("_gone").isNull())
     return out.filter("lost_tick is not null and (ack_tick is null or ack_tick > lost_tick)").select(*cols, "lost_tick")
 
 
-def ack_batches(acks: DataFrame, batch: int = 20) -> DataFrame:
-    """Reports merged on lines that carry one stream each: line_id, stream_id, batch, arrival, next_seq, file_id, offset, durable_offset, received.
+def _reset_sums(rows: DataFrame, by: list[str], order: str, limit: int) -> DataFrame:
+    """rows (n) with batch: a running number that rises after the row that brings the sum of n since the last rise to limit.
+
+    Sorted partitions pass by in batches, so that a key's history needs no memory; a key is one task's.
+    """
 
-    Scalars are those of the latest report, received chunks add up; a batch ends with the report that brings them to ``batch``. acks may hold n_received or received_chunks.
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, current = None, 0, 0
+        for batch in batches:
+            out = []
+            for *own, n in zip(*(batch.column(c).to_pylist() for c in (*by, "n")), strict=True):
+                if own != key:
+                    key, total, current = own, 0, 0
+                out.append(current)
+                total += n
+                if limit and total >= limit:
+                    current, total = current + 1, 0
+            yield batch.append_column("batch", pa.array(out, pa.int64()))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long"
+    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(number, schema)
+
+
+def ack_batches(acks: DataFrame, batch: int = 20, coupled: bool = False) -> DataFrame:
+    """Merged reports: line_id, stream_id, batch, arrival, next_seq, file_id, offset, durable_offset, received.
+
+    Scalars are those of the latest report, received chunks add up. A stream's batch ends with the report that brings
+    its chunks to ``batch``, and the count starts anew. With ``coupled``, for lines that carry several streams, that
+    flush also ends the batches of the line's other streams. acks may hold n_received or received_chunks.
     """
     n = F.col("n_received") if "n_received" in acks.columns else F.size("received_chunks").cast("long")
-    keys = ["line_id", "stream_id"]
-    run = Window.partitionBy(*keys).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    # With one chunk a report (the usual case), a batch ends at each multiple; larger reports go by line.
-    rows = acks.withColumn("n", n).withColumn("batch", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / batch))
+    rows = acks.select("line_id", "stream_id", "arrival", "next_seq", "file_id", "offset", "durable_offset", n.cast("long").alias("n"))
+    rows = _coupled_sums(rows, batch) if coupled else _reset_sums(rows, ["line_id", "stream_id"], "arrival", batch)
     latest = [F.max_by(c, "arrival").alias(c) for c in ("next_seq", "file_id", "offset", "durable_offset")]
-    return rows.groupBy(*keys, "batch").agg(F.max("arrival").alias("arrival"), *latest, F.sum("n").alias("received"))
+    return rows.groupBy("line_id", "stream_id", "batch").agg(F.max("arrival").alias("arrival"), *latest, F.sum("n").alias("received"))
 
 
-def coupled_ack_batches(acks: DataFrame, batch: int = 20):
-    """As ack_batches for lines with several streams: a flush empties the pending report of every stream on its line.
+def _coupled_sums(rows: DataFrame, limit: int) -> DataFrame:
+    """As _reset_sums for each line, where every stream has its own sum and the first to reach limit resets all."""
 
-    A line's reports are folded in order of arrival in one task; lines are the unit of parallelism.
-    """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pending: dict[int, dict] = {}
-        out, number = [], 0
-        for r in pdf.sort_values("arrival").to_dict("records"):
-            held = pending.get(r["stream_id"])
-            total = (held["received"] if held else 0) + len(r["received_chunks"])
-            pending[r["stream_id"]] = {k: r[k] for k in ("line_id", "stream_id", "arrival", "next_seq", "file_id", "offset", "durable_offset")} | {"received": total}
-            if batch and total >= batch:
-                out += [p | {"batch": number} for p in pending.values()]
-                pending, number = {}, number + 1
-        out += [p | {"batch": number} for p in pending.values()]
-        return pd.DataFrame(out, columns=["line_id", "stream_id", "batch", "arrival", "next_seq", "file_id", "offset", "durable_offset", "received"])
-
-    return acks.groupBy("line_id").applyInPandas(fold, "line_id int, stream_id long, batch long, arrival long, next_seq long, file_id long, offset long, durable_offset long, received long")
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, sums, current = None, {}, 0
+        for batch in batches:
+            out = []
+            for own, stream, n in zip(*(batch.column(c).to_pylist() for c in ("line_id", "stream_id", "n")), strict=True):
+                if own != line:
+                    line, sums, current = own, {}, 0
+                out.append(current)
+                sums[stream] = sums.get(stream, 0) + n
+                if limit and sums[stream] >= limit:
+                    sums, current = {}, current + 1
+            yield batch.append_column("batch", pa.array(out, pa.int64()))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long"
+    return rows.repartition("line_id").sortWithinPartitions("line_id", "arrival").mapInArrow(number, schema)
+
+
+def coupled_ack_batches(acks: DataFrame, batch: int = 20) -> DataFrame:
+    """ack_batches for lines with several streams."""
+    return ack_batches(acks, batch, coupled=True)
 
 
 def stream_progress(accepted: DataFrame) -> DataFrame:

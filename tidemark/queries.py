@@ -263,7 +263,7 @@ select line_id, sent_tick, lost_tick from a where lost_tick is not null and (ack
 def lost_sends(spark, sf_dir):
     """Sends still open when their line disconnects; a line's next report acknowledges all."""
     ev = V.line_events(spark, sf_dir)
-    ahead = Window.partitionBy("line_id").orderBy("order").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("line_id").orderBy(F.desc("order")).rowsBetween(Window.unboundedPreceding, -1)
     sends = ev.withColumn("ack_tick", F.min(F.when(F.col("event") == "report", F.col("order"))).over(ahead)).filter("event = 'send'").select("line_id", F.col("order").alias("sent_tick"), "ack_tick")
     return A.lost_sends(sends, ev.filter("event = 'disconnect'").select("line_id", F.col("order").alias("tick"))).select("line_id", "sent_tick", "lost_tick")
 
@@ -334,9 +334,8 @@ def content_checksums(spark, sf_dir):
     return b.select("item_id", C.crc_value(C.crc32c(F.encode("text", "utf-8"))).alias("crc32c"))
 
 
-@_query()
 def content_checksums_utf8(spark, sf_dir):
-    """CRC32C of the UTF-8 bytes of every benchmark text, null as empty. DuckDB has no bytes of a character, so no SQL."""
+    """CRC32C of the UTF-8 bytes of every benchmark text, null as empty."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return b.select("item_id", C.crc_value(C.crc32c(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("crc32c"))
 

@@ -23,7 +23,7 @@ class Fields:
 
     def take(self, n: int) -> bytes:
         if self.at + n > len(self.body):
-            raise ValueError("truncated message body")
+            raise ValueError(f"a field needs {n} bytes, {len(self.body) - self.at} are left")
         self.at += n
         return self.body[self.at - n : self.at]
 
@@ -65,7 +65,7 @@ _LAYOUT = {
 def decode(kind: int, body: bytes) -> dict:
     """The fields of a message; raises ValueError where the body doesn't fit its type."""
     if kind not in _LAYOUT:
-        raise ValueError("unsupported message type")
+        raise ValueError(f"no message has type {kind}")
     f, out = Fields(body), {"msg_type": kind}
     for item in _LAYOUT[kind].split():
         name, code = item.split(":")
@@ -80,9 +80,9 @@ def decode(kind: int, body: bytes) -> dict:
     elif kind == 10:
         out["starts"] = f.many(lambda: {"stream_id": f.number("q"), "action": f.number("B"), "start_file_id": f.number("q"), "start_offset": f.number("q")})
     if f.at != len(body):
-        raise ValueError("trailing bytes in message body")
+        raise ValueError(f"{len(body) - f.at} bytes follow the last field")
     if "len" in out and out.pop("len") != len(out["payload"]):
-        raise ValueError("payload length mismatch")
+        raise ValueError("the payload is not as long as it says")
     return out
 
 
@@ -92,23 +92,23 @@ def frames(data: bytes) -> Iterator[tuple[int, dict | None, str | None]]:
     while at < len(data):
         try:
             if len(data) - at < HEADER:
-                raise EOFError("truncated frame header")
+                raise EOFError(f"{len(data) - at} bytes are left, a header has {HEADER}")
             magic, version, kind, header, n = struct.unpack_from("<IBBHI", data, at)
             if header != HEADER:
-                raise EOFError("unsupported header length")
+                raise EOFError(f"a header of {header} bytes, expected {HEADER}")
             if header + n > MOST:
-                raise EOFError("frame exceeds the cap")
+                raise EOFError(f"a frame of {header + n} bytes, at most {MOST} are allowed")
             if at + header + n > len(data):
-                raise EOFError("truncated frame")
+                raise EOFError(f"a body of {n} bytes, {len(data) - at - header} are left")
         except EOFError as e:
             yield at, None, str(e)
             return
         body = data[at + header : at + header + n]
         try:
             if magic != MAGIC:
-                raise ValueError("bad frame magic")
+                raise ValueError(f"a frame starts with {magic:#x}, expected {MAGIC:#x}")
             if version != VERSION:
-                raise ValueError("unsupported frame version")
+                raise ValueError(f"frame version {version}, expected {VERSION}")
             yield at, decode(kind, body), None
         except ValueError as e:
             yield at, None, str(e)

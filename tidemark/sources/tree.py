@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import stat
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 from tidemark.functions.checksums import TAIL, crc_bytes, crc32c
-from tidemark.operators.manifest import filter_names, identified, sequenced
+from tidemark.operators.manifest import filter_names, identified, sequenced_wide
 
 #: Name of the directory for unfinished files; scans never enter it.
 TEMP = ".tidemark-tmp"
@@ -57,7 +58,7 @@ class _TreeReader(DataSourceReader):
     """The driver lists the top level only; each of its directories is a partition, read by a task."""
 
     def __init__(self, options):
-        self.root, self.exclude = options["path"], tuple(filter(None, options.get("exclude", "").split(",")))
+        self.root, self.exclude = options["path"], tuple(filter(None, options.get("exclude", "").split("/")))
 
     def partitions(self):
         tops = [n for n, kind, *_ in listing(self.root, "", self.exclude, deep=False) if kind == 2]
@@ -71,7 +72,7 @@ class _TreeStream(SimpleDataSourceStreamReader):
     """Successive scans: each batch has the entries whose size or time changed since the last, by the newest change time."""
 
     def __init__(self, options):
-        self.root, self.exclude = options["path"], tuple(filter(None, options.get("exclude", "").split(",")))
+        self.root, self.exclude = options["path"], tuple(filter(None, options.get("exclude", "").split("/")))
 
     def initialOffset(self):
         return {"mtime": 0}
@@ -88,7 +89,7 @@ class _TreeStream(SimpleDataSourceStreamReader):
 
 
 class TreeSource(DataSource):
-    """spark.read.format("tree").option("exclude", "a,b").load(root); also readStream, for changes."""
+    """spark.read.format("tree").option("exclude", "a/b").load(root); also readStream, for changes."""
 
     @classmethod
     def name(cls):
@@ -110,10 +111,10 @@ def scan_tree(spark: SparkSession, root: str, stream_id: int, regex: str | None
     Names are filtered before any byte is read.
     """
     spark.dataSource.register(TreeSource)
-    rows = spark.read.format("tree").option("exclude", ",".join(exclude_top)).load(root).drop("mtime")
+    rows = spark.read.format("tree").option("exclude", "/".join(exclude_top)).load(root).drop("mtime")
     rows = filter_names(rows, regex) if regex else rows
     rows = rows.withColumns({"manifest_id": F.lit(1).cast("long"), "stream_id": F.lit(stream_id).cast("long"), "root": F.lit(root)})
-    rows = sequenced(identified(rows))
+    rows = sequenced_wide(identified(rows))
     rows = with_checksums(rows, max_len) if checksum else rows.withColumn("checksum", F.lit(None).cast("struct<algo:int,offset:bigint,len:bigint,value:binary>"))
     return rows.select("manifest_id", "stream_id", "root", "seq", "file_id", "kind", "name", "link_target", "size", "checksum")
 
@@ -191,13 +192,27 @@ def read_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.mapInArrow(read, ", ".join(f"`{c}` {t}" for c, t in ranges.dtypes) + ", payload binary")
 
 
+def _below(root: str, name: str) -> str:
+    """The path of a name below root. A name that leads elsewhere, by its parts or by a link on its way, is an error."""
+    parts = re.split("/+", name or "")
+    if not name or any(p in ("", ".", "..") or "\0" in p for p in parts):
+        raise ValueError(f"UNSAFE_NAME {name!r}")
+    path = root
+    for p in parts[:-1]:
+        path = os.path.join(path, p)
+        if os.path.islink(path):
+            raise ValueError(f"UNSAFE_NAME {name!r}: {path} is a link")
+    return os.path.join(root, name)
+
+
 class _Done(WriterCommitMessage):
-    def __init__(self, parts: list[tuple[str, str, int, bytes]]):
+    def __init__(self, parts: list[tuple]):
         self.parts = parts
 
 
 class _TreeWriter(DataSourceWriter):
-    """Chunks to files: tasks write their chunks into unfinished files; the commit verifies and renames."""
+    """Chunks to files: tasks write their chunks into unfinished files and return the checksums of the runs that
+    they wrote; the commit combines these and renames. The driver reads no file."""
 
     def __init__(self, options, schema):
         self.root, self.names = options["path"], [f.name for f in schema.fields]
@@ -206,37 +221,65 @@ class _TreeWriter(DataSourceWriter):
         os.makedirs(self.temp)
 
     def write(self, iterator):
-        done: dict[str, tuple[int, bytes]] = {}
+        done: dict[str, tuple[int, int, bytes, list]] = {}
         for row in iterator:
             r = row.asDict()
-            path = os.path.join(self.temp, f"{r['file_id']}.part")
-            fd = os.open(path, os.O_WRONLY | os.O_CREAT)
+            _below(self.root, r["name"])
+            fd = os.open(os.path.join(self.temp, f"{r['file_id']}.part"), os.O_WRONLY | os.O_CREAT)
             try:
                 os.pwrite(fd, r["payload"], r["offset"])
             finally:
                 os.close(fd)
-            done[r["name"]] = (r["file_id"], r["size"], r["file_checksum"])
+            runs = done.setdefault(r["name"], (r["file_id"], r["size"], r["file_checksum"], []))[3]
+            part = (r["offset"], len(r["payload"]), crc_bytes(r["payload"]))
+            if runs and sum(runs[-1][:2]) == part[0]:
+                runs[-1] = (runs[-1][0], runs[-1][1] + part[1], _joined(runs[-1][2], part[2], part[1]))
+            else:
+                runs.append(part)
         return _Done([(n, *v) for n, v in done.items()])
 
     def commit(self, messages):
-        wanted = {p[0]: p[1:] for m in messages if m for p in m.parts}
-        for name in wanted:
-            if os.path.lexists(os.path.join(self.root, name)):
+        wanted: dict[str, tuple[int, int, bytes, list]] = {}
+        for name, file_id, size, checksum, runs in (p for m in messages if m for p in m.parts):
+            wanted.setdefault(name, (file_id, size, checksum, []))[3].extend(runs)
+        for name, (file_id, size, checksum, runs) in wanted.items():
+            if os.path.lexists(_below(self.root, name)):
                 raise FileExistsError(f"FILE_EXISTS {name}")
-        for name, (file_id, size, checksum) in wanted.items():
-            part = os.path.join(self.temp, f"{file_id}.part")
-            with open(part, "rb") as f:
-                if os.path.getsize(part) != size or (checksum is not None and _file_crc(f, size) != bytes(checksum)):
-                    raise ValueError(f"CHECKSUM_MISMATCH {name}")
-        for name, (file_id, *_) in wanted.items():
-            os.makedirs(os.path.dirname(os.path.join(self.root, name)), exist_ok=True)
-            os.rename(os.path.join(self.temp, f"{file_id}.part"), os.path.join(self.root, name))
+            at, total = 0, b"\0\0\0\0"
+            for offset, n, crc in sorted(runs):
+                if offset != at:
+                    raise ValueError(f"CHECKSUM_MISMATCH {name}: bytes {at} to {offset} came twice or never")
+                at, total = at + n, _joined(total, crc, n)
+            whole = at == size == os.path.getsize(os.path.join(self.temp, f"{file_id}.part"))
+            if not whole or (checksum is not None and size and total != bytes(checksum)):
+                raise ValueError(f"CHECKSUM_MISMATCH {name}")
+        moved: list[tuple[str, str]] = []
+        try:
+            for name, (file_id, *_) in wanted.items():
+                path, part = _below(self.root, name), os.path.join(self.temp, f"{file_id}.part")
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                os.rename(part, path)
+                moved.append((part, path))
+        except OSError:
+            for part, path in reversed(moved):
+                os.rename(path, part)
+            raise
         shutil.rmtree(self.temp, ignore_errors=True)
 
     def abort(self, messages):
         shutil.rmtree(self.temp, ignore_errors=True)
 
 
+def _joined(first: bytes, then: bytes, n: int) -> bytes:
+    """The checksum of two runs of bytes from theirs; n is the length of the second."""
+    import numpy as np
+
+    from tidemark.functions.checksums import combine
+
+    a, b = (np.array([int.from_bytes(x, "little")], np.uint32) for x in (first, then))
+    return int(combine(a, b, np.array([n]))[0]).to_bytes(4, "little")
+
+
 class TreeSink(DataSource):
     """df.write.format("tree_sink").mode("append").save(root), df of (file_id, name, size, file_checksum, offset, payload)."""
 
@@ -252,37 +295,49 @@ class TreeSink(DataSource):
 
 
 def write_files(spark: SparkSession, chunks: DataFrame, root: str) -> None:
+    """Files from chunks (file_id, name, size, file_checksum, offset, payload). Chunks are dealt by file and offset, so
+    that a task returns one checksum for each of its files."""
     spark.dataSource.register(TreeSink)
-    chunks.select("file_id", "name", "size", "file_checksum", "offset", "payload").write.format("tree_sink").mode("append").save(root)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.select("file_id", "name", "size", "file_checksum", "offset", "payload").repartitionByRange(n, "file_id", "offset").sortWithinPartitions("file_id", "offset")
+    dealt.write.format("tree_sink").mode("append").save(root)
 
 
 def append_segments(segments: DataFrame) -> None:
-    """Appends segments (root, name, offset, payload) in order; each must start at its file's length."""
+    """Appends segments (root, name, offset, payload) in order; each must start at its file's length. Bytes of a segment
+    that are there already, as after a task that was lost, must be equal and aren't written again."""
 
     def append(rows) -> None:
         for r in rows:
-            path = os.path.join(r["root"], r["name"])
+            path, data, offset = _below(r["root"], r["name"]), bytes(r["payload"]), r["offset"]
             at = os.path.getsize(path) if os.path.exists(path) else 0
-            if at != r["offset"]:
-                raise ValueError(f"BAD_OFFSET {r['name']}: {r['offset']} at length {at}")
+            there = b""
+            if offset < at:
+                with open(path, "rb") as f:
+                    f.seek(offset)
+                    there = f.read(len(data))
+            if offset > at or data[: len(there)] != there:
+                raise ValueError(f"BAD_OFFSET {r['name']}: {offset} at length {at}")
             with open(path, "ab") as f:
-                f.write(r["payload"])
+                f.write(data[len(there) :])
 
     segments.repartition("root", "name").sortWithinPartitions("root", "name", "offset").foreachPartition(append)
 
 
 def make_entries(entries: DataFrame) -> None:
-    """Creates directories, then links, of entries (root, name, kind, link_target). A target that exists is an error, but for directories."""
+    """Creates directories, then links, of entries (root, name, kind, link_target). A target that exists is an error, but
+    for directories and for links that are as wanted, as after a task that was lost."""
 
     def directory(rows) -> None:
         for r in rows:
-            os.makedirs(os.path.join(r["root"], r["name"]), exist_ok=True)
+            os.makedirs(_below(r["root"], r["name"]), exist_ok=True)
 
     def link(rows) -> None:
         for r in rows:
-            path = os.path.join(r["root"], r["name"])
+            path = _below(r["root"], r["name"])
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            os.symlink(r["link_target"], path)
+            if not (os.path.islink(path) and os.readlink(path) == r["link_target"]):
+                os.symlink(r["link_target"], path)
 
     entries.filter("kind = 2").foreachPartition(directory)
     entries.filter("kind = 3").foreachPartition(link)
