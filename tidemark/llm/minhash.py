@@ -181,7 +181,8 @@ def difference_tables(open_: DataFrame, texts: DataFrame, percent: int, width: i
     is |D(x)| + |D(y)| - 2 * |D(x) & D(y)|. So, if g(x) + g(y) >= 0, both also link with the group's hub, the member
     of the largest g, and comparison with the hub is enough. Any other link has common differences; with these in
     the order of their frequency, the first common one stands at a place q with 2 * (100 + p) * (|D| - q) >= -g(x) - g(y)
-    in either list. Members are classed by g, and a list goes, as far as it must, to each class that it may meet:
+    in either list. Members are classed by g, and a list goes, as far as it must, to each class that it may meet and for
+    which the hub isn't enough:
     two documents that differ from the rest in their own ways never meet, however large the group is.
     """
     rows = stash(differences(settle(groups_of(open_)), texts, width), "differences")
@@ -191,14 +192,14 @@ def difference_tables(open_: DataFrame, texts: DataFrame, percent: int, width: i
     certain = alone.join(hubs, "c").filter("g + h.g >= 0 and label <> h.label").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
     step = hubs.select("c", F.expr(f"{100 + percent} * cast(ceil(mean / 50) as bigint)").alias("step"))
     classed = alone.join(step, "c").withColumn("cls", F.expr("floor(g / step)"))
-    classes = settle(classed.groupBy("c", "cls").agg(F.max("g").alias("top")).groupBy("c").agg(F.collect_list(F.struct("cls", "top")).alias("classes")).join(step, "c"))
+    classes = settle(classed.groupBy("c", "cls").agg(F.max("g").alias("top"), F.min("g").alias("bottom")).groupBy("c").agg(F.collect_list(F.struct("cls", "top", "bottom")).alias("classes")).join(step, "c"))
     listed = rows.filter("sh is not null")
     again = listed.groupBy("c", "sh").agg(F.count("*").alias("df")).filter("df > 1")
     held = listed.join(_sorted(again), ["c", "sh"])
     by_doc = Window.partitionBy("c", "rep", "v")
     ranked = held.withColumn("own", F.col("d") - F.count("*").over(by_doc)).withColumn("q", F.col("own") + F.row_number().over(by_doc.orderBy("df", "sh")) - 1)
     sent = ranked.join(classes, "c").withColumn("cls", F.expr("floor(g / step)"))
-    sent = sent.withColumn("left", F.expr(f"{2 * (100 + percent)} * (d - q)")).withColumn("to", F.explode(F.expr("filter(classes, k -> left + g + k.top >= 0)")))
+    sent = sent.withColumn("left", F.expr(f"{2 * (100 + percent)} * (d - q)")).withColumn("to", F.explode(F.expr("filter(classes, k -> left + g + k.top >= 0 and g + k.bottom < 0)")))
     sent = sent.select("c", "sh", F.least("cls", "to.cls").alias("low"), F.greatest("cls", "to.cls").alias("high"), "cls", "rep", "v", "n", "g", "left", *_BITS)
     return certain, stash(sent, "difference-tables")
 
@@ -208,9 +209,10 @@ _MEMBER = ["rep", "n", "label", "g", "left", *_BITS]
 
 
 def mixed_tables(tables: DataFrame, label: DataFrame) -> DataFrame:
-    """The difference tables whose members have several labels now, with these."""
+    """The difference tables whose members have several labels now, with these, if both of their classes have members."""
     now = tables.drop("label").join(label, "rep").select(*_TABLE, "cls", *_MEMBER)
-    several = now.groupBy(*_TABLE).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select(*_TABLE)
+    several = now.groupBy(*_TABLE).agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("cls").alias("k0"), F.max("cls").alias("k1"))
+    several = several.filter("l0 < l1 and k0 = low and k1 = high").select(*_TABLE)
     return stash(now.join(_sorted(several), _TABLE), "mixed-tables")
 
 
