@@ -13,6 +13,7 @@ from oracle import rows_of, sql_rows
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, chunkstore, lm, media, minhash, mixing, packing, quality, registry, ring, tokenstore, toxicity
+from tidemark.llm.common import words_of
 
 
 def words(t):
@@ -237,7 +238,7 @@ def test_scores_are_the_same_over_many_ranges_of_the_filter(spark, odd, monkeypa
     entries = spark.range(50_000).select(F.xxhash64("id").alias("key"), F.lit(1).cast("long").alias("n"))
     blocks, per, parts = lm.filter_ranges(entries, 2 * lm.BLOCK_BITS)
     parts = list(parts)
-    assert scores[0] == scores[1] and (blocks, per, len(parts)) == (7, 2, 4) and lm.filter_ranges(lm.counted(odd)[1])[0] > 2
+    assert scores[0] == scores[1] and (blocks, per, len(parts)) == (7, 2, 4) and lm.filter_ranges(lm.counted(odd).select("key", "n"))[0] > 2
     fill = np.unpackbits(np.concatenate(parts).view(np.uint8)).mean()  # three probes a level in eight bits
     assert 0.25 < fill < 0.34
     unseen = lm.Filter(np.concatenate(parts)).counts(lm.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64)))
@@ -250,6 +251,42 @@ def test_pairs_seen_once_count(spark):
     assert score[1] > score[3] + 0.2
 
 
+def test_scores_equal_brute_force(spark, sf, monkeypatch):
+    """The model's score from counts in a dictionary, quantised as the filter does; in a roomy filter hardly any false hit changes it."""
+    monkeypatch.setattr(lm, "BITS_PER_LEVEL", 100)
+    docs = documents(spark, sf)
+    train = docs.filter("doc_id % 3 <> 0")
+    one, two = Counter(), Counter()
+    for r in train.collect():
+        ws = [" ", *(w.decode() for w in words_of(r.text)), " "]
+        one.update(ws[1:])
+        two.update(zip(ws, ws[1:], strict=False))
+    level = lambda c: 0.0 if not c else lm._MIDDLE[np.searchsorted(lm._LOW, c, "right")]
+    total, distinct = sum(one.values()), len(one)
+    got = {r.doc_id: r.score for r in lm.scored(docs, train).collect()}
+    off = []
+    for r in docs.collect():
+        ws = [" ", *(w.decode() for w in words_of(r.text)), " "]
+        want = 0.0
+        for v, w in zip(ws, ws[1:], strict=False):
+            both, before = level(two[v, w]), level(one[v])
+            want += log10(0.85 * (level(one[w]) + 1) / (total + distinct + 1) + 0.15 * both / max(before, both, 1))
+        off.append(abs(got[r.doc_id] - want) / (len(ws) - 1))
+    assert np.mean(off) < 1e-4 and np.median(off) < 1e-9 and np.max(off) < 0.02
+
+
+def test_tokens(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "  a\tB\x0bb\r\nc ", "É\u00a0x a", " \n ", "one"]
+    t = lm.tokens_of(pa.array(texts, pa.string()))
+    at = 0
+    for text_, n in zip(texts, t.sizes, strict=True):
+        assert [t.words[k] for k in t.places[at : at + n]] == [*words_of(text_), lm.END]
+        at += n
+    assert at == len(t.places) and len(lm.tokens_of(pa.array([], pa.string())).places) == 0
+
+
 def test_model_beats_base_on_held_out_documents(spark):
     rows = lm.op5_log_frequency_bloom(spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

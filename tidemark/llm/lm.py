@@ -25,15 +25,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, documents, mix, remainder, sliced, stash, stash_path, words_of
+from tidemark.llm.common import bounded_batches, documents, mix, remainder, sliced, stash, stash_path
 
 END = b" "  # the end token: no word holds a blank
 BLOCK_BITS = 1 << 16
@@ -46,35 +48,32 @@ HEAD = 500_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-class _Vocabulary(dict):
-    """Numbers words as they come, and keeps their hashes; forgets all beyond a bound."""
+@dataclass
+class Tokens:
+    """The tokens of some texts, each text with its end: places in the distinct words, whose last is the end."""
 
-    def __init__(self, bound: int = 200_000):
-        super().__init__()
-        self.bound, self.words, self.hashes = bound, [], np.zeros(1024, np.uint64)
+    words: list[bytes]
+    hashes: np.ndarray
+    places: np.ndarray
+    sizes: np.ndarray
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self.words)
-        self.words.append(word)
-        if k == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(k, np.uint64)])
-        self.hashes[k] = xxhash.xxh3_64_intdigest(word)
-        return k
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-            self.words.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def tokens_of(texts: pa.Array) -> Tokens:
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = lists.flatten().dictionary_encode()
+    places = flat.indices.to_numpy() if len(flat) else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    words = flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    if b"" in words:  # before or after all words
+        filled = places != words.index(b"")
+        places, doc = places[filled], doc[filled]
+    n = np.bincount(doc, minlength=len(lists))
+    words.append(END)
+    return Tokens(words, hashes_of(words), np.insert(places, np.cumsum(n), len(words) - 1), n + 1)
 
 
-_WORDS = _Vocabulary()
-
-
-def tokens_of(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray]:
-    """Tokens of each text, end included, and their numbers."""
-    each = [[*words_of(t), END] for t in texts]
-    return each, np.array([len(w) for w in each], np.int64)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def pair_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,47 +84,34 @@ def pair_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix(before * _STEP + hashes)
 
 
-def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, n) and (key, n) of word pairs, over all training documents."""
+def counted(docs: DataFrame) -> DataFrame:
+    """key, word, n over all training documents: a row for each word, and one for each pair of words, without word."""
 
-    def unigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            pairs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            keys = np.concatenate([hashes_of(list(seen)), pairs])
+            word = pa.concat_arrays([pa.array(list(seen), pa.binary()), pa.nulls(len(pairs), pa.binary())])
+            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), word, pa.array(np.concatenate([np.fromiter(seen.values(), np.int64, len(seen)), n]))], ["key", "word", "n"])
             seen.clear()
+            held.clear()
             return out
 
-        for part in sliced(batches):
-            for text in part.column("text").to_pylist():
-                seen.update(words_of(text))
-            seen[END] += part.num_rows
-            if len(seen) > 500_000:
+        for part in sliced(batches, limit=1 << 22):
+            t = tokens_of(part.column("text"))
+            for word, n in zip(t.words, np.bincount(t.places, minlength=len(t.words)).tolist(), strict=True):
+                if n:
+                    seen[word] += n
+            held.append(pair_keys(t.hashes[t.places], t.sizes))
+            if len(seen) > 500_000 or sum(map(len, held)) > 4_000_000:
                 yield flush()
         if seen:
             yield flush()
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
-
-        for part in sliced(batches):
-            each, sizes = tokens_of(part.column("text").to_pylist())
-            number = _WORDS.of([w for ws in each for w in ws])
-            held.append(pair_keys(_WORDS.hashes[number], sizes))
-            if sum(map(len, held)) > 4_000_000:
-                yield flush()
-        if held:
-            yield flush()
-
-    text = docs.select(F.col("text").cast("string"))
-    words = text.mapInArrow(unigrams, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return words, text.mapInArrow(pairs, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
-
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
 
 class Filter:
@@ -195,30 +181,26 @@ def filter_ranges(entries: DataFrame, range_bits: int = RANGE_BITS) -> tuple[int
     after another. Each block is built in one task, of constant size."""
     levels = entries.agg(F.sum(F.floor(F.log("n") / math.log(BASE)) + 1)).first()[0] or 0
     blocks, per = max(1, -(-BITS_PER_LEVEL * int(levels) // BLOCK_BITS)), max(1, range_bits // BLOCK_BITS)
-    dealt = entries.withColumn("block", F.expr(f"pmod(shiftrightunsigned(key, 33), {blocks})")).repartition("block").sortWithinPartitions("block")
+    dealt = entries.withColumn("block", F.expr(f"pmod(shiftrightunsigned(key, 33), {blocks})")).repartition("block")
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bits = -1, np.zeros(BLOCK_BITS, bool)
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
+        """All blocks of a partition at once: they take less room than the entries that they come from."""
+        known: dict[int, int] = {}
+        bits = np.zeros(0, bool)
         for batch in batches:
-            own, keys = batch.column("block").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            names, at = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            at = np.array([known.setdefault(k, len(known)) for k in names.tolist()], np.int64)[at] * BLOCK_BITS
+            if len(known) * BLOCK_BITS > len(bits):
+                bits = np.concatenate([bits, np.zeros(max(len(bits), len(known) * BLOCK_BITS - len(bits)), bool)])
             top = np.searchsorted(_LOW, batch.column("n").to_numpy(), "right")
-            edges = np.flatnonzero(np.diff(own)) + 1
-            for a, b in zip([0, *edges], [*edges, len(own)], strict=True):
-                if b <= a:
-                    continue
-                if own[a] != at:
-                    if at >= 0:
-                        yield done()
-                    at, bits = int(own[a]), np.zeros(BLOCK_BITS, bool)
-                for level in range(1, int(top[a:b].max()) + 1):
-                    for place in Filter.places(keys[a:b][top[a:b] >= level], level):
-                        bits[place.astype(np.int64)] = True
-        if at >= 0:
-            yield done()
+            for level in range(1, int(top.max(initial=0)) + 1):
+                alive = top >= level
+                for place in Filter.places(keys[alive], level):
+                    bits[at[alive] + place.astype(np.int64)] = True
+        for k, name in enumerate(known):
+            block = np.packbits(bits[k * BLOCK_BITS : (k + 1) * BLOCK_BITS], bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([block], pa.binary())], ["block", "bits"])
 
     built = dealt.select("block", "key", "n").mapInArrow(build, "block long, bits binary")
     if blocks > per:  # built once, read range by range
@@ -244,29 +226,21 @@ def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int =
     ``range_bits`` bounds a broadcast, and changes no score.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    words, pairs = counted(train)
-    words = stash(words, "words")
+    with bounded_batches(spark):
+        counts = stash(counted(train), "ngrams")
+    words = counts.filter("word is not null").select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = {bytes(r["word"]): r["n"] for r in words.filter(F.col("n") * HEAD >= total).collect()}  # at most HEAD words
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in batch.column("word").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("n")], ["key", "n"])
-
-    entries = stash(words.mapInArrow(keyed, "key long, n long").union(pairs.filter(F.col("n") >= least)), "ngrams")
+    entries = counts.filter(F.col("word").isNotNull() | (F.col("n") >= least)).select("key", "n")
     blocks, per, filled = filter_ranges(entries, range_bits)
     ranges = [spark.sparkContext.broadcast(part) for part in filled]
     shared = spark.sparkContext.broadcast(head)
-    floor, end = math.log10(total + distinct + 1), np.uint64(xxhash.xxh3_64_intdigest(END))
+    floor = math.log10(total + distinct + 1)
 
     def read(part: pa.RecordBatch) -> tuple:
-        each, sizes = tokens_of(part.column("text").to_pylist())
-        number = _WORDS.of([w for ws in each for w in ws])
-        used, where = np.unique(number, return_inverse=True)  # each distinct word is looked up once
-        keys = np.concatenate([_WORDS.hashes[used], np.array([end]), pair_keys(_WORDS.hashes[number], sizes)])
-        return part.column("doc_id"), sizes, [_WORDS.words[k] for k in used], where.astype(np.int32), keys
+        t = tokens_of(part.column("text"))
+        both, which = np.unique(pair_keys(t.hashes[t.places], t.sizes), return_inverse=True)  # each distinct word and pair is looked up once
+        return part.column("doc_id"), t, which.astype(np.int32), np.concatenate([t.hashes, both])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {w: math.log10(n + 1) for w, n in shared.value.items()}
@@ -277,24 +251,25 @@ def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int =
             level = looked_up(np.concatenate([keys for *_, keys in waiting]), ranges, blocks, per)
             for *known, keys in waiting:
                 yield from rows_of(*known, _MIDDLE[level[: len(keys)]], logs, (part_id << 33) + at)
-                at, level = at + len(known[1]), level[len(keys) :]
+                at, level = at + len(known[1].sizes), level[len(keys) :]
             waiting.clear()
             tokens = 0
 
-        for part in sliced(batches):
+        for part in sliced(batches, limit=1 << 22):
             waiting.append(read(part))
-            tokens += len(waiting[-1][3])
+            tokens += len(waiting[-1][2])
             if len(ranges) == 1 or tokens >= GROUP:
                 yield from told()
         if waiting:
             yield from told()
 
-    def rows_of(ids: pa.Array, sizes: np.ndarray, used: list[bytes], where: np.ndarray, counts: np.ndarray, logs: dict[bytes, float], first: int) -> Iterator[pa.RecordBatch]:
-        own, both = counts[: len(used)][where], counts[len(used) + 1 :]
+    def rows_of(ids: pa.Array, t: Tokens, which: np.ndarray, counts: np.ndarray, logs: dict[bytes, float], first: int) -> Iterator[pa.RecordBatch]:
+        used, where, sizes = t.words, t.places, t.sizes
+        own, both = counts[: len(used)][where], counts[len(used) :][which]
         log = np.array([logs.get(w, -1.0) for w in used])[where]  # -1: not in the head
         starts = np.cumsum(sizes) - sizes
         before = np.roll(own, 1)
-        before[starts] = counts[len(used)]
+        before[starts] = counts[len(used) - 1]  # the end's
         p = (own + 1) / (total + distinct + 1)
         chance = np.log10(alone * p + (1 - alone) * both / np.maximum(np.maximum(before, both), 1))
         rare = log < 0
@@ -313,6 +288,8 @@ def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int =
 
     names = ["uid", "doc_id", "word", "times", "size", "log_sum", "n_head", "score"]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "uid long, doc_id long, word binary, times long, size long, log_sum double, n_head long, score double")
+    with bounded_batches(spark):
+        rows = stash(rows, "scores")
     # A document's own row has a word of its own that is no token, so it passes the join alone.
     met = rows.join(words.filter(F.col("n") * HEAD < total).withColumnRenamed("n", "c"), "word", "left")
     known = F.col("c").isNotNull().cast("long") * F.col("times")
