@@ -10,8 +10,8 @@ Keeping a line's first home leaves one document of a large group of copies, as l
 stages would.
 
 Defined cases: a null or blank text has no words and fails the base; a null source is a host of its
-own; rows that repeat a doc_id and text give equal rows, and count once for each line; a row
-without doc_id is judged as a document -1; other columns are ignored.
+own; rows that repeat a doc_id and text give equal rows, and count once for each line, as do several
+texts of one doc_id; rows without doc_id are one document where their texts are equal; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, settle
+from tidemark.llm.common import documents, settle, stash
 
 _BLANKS = "\t\n\x0b\x0c\r"
 
@@ -43,7 +43,7 @@ case when size(words) < 6 and size(array_distinct(words)) = size(words) then 0L
 def base_features(docs: DataFrame) -> DataFrame:
     """doc_id, source, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select("doc_id", F.col("source").cast("string"), text.alias("text"))
+    out = docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"))
     out = out.withColumn("words", _words(F.col("text")))
     out = out.withColumn("grams", F.expr("if(size(words) < 3, array(), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _BLANKS + " ", "") != "")
@@ -59,56 +59,78 @@ def base_features(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id (never null), _host and _text (a hash), which name a row's verdict."""
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = F.coalesce(F.col("doc_id").cast("long"), -F.pmod(text, F.lit(1 << 62)) - 2)
+    return docs.withColumns({"_id": own, "_host": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")), "_text": text})
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """id, host, line (hash), words, at, first (first place of the line in its document) for each line with a word."""
+    """_id, _host, _text, line (hash), words, at, first (first place of the line in its document) for each line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     clean = F.filter(F.transform(F.split(text, "\n"), lambda x: F.array_join(_words(F.lower(x)), " ")), lambda x: x != "")
     hashed = F.array_sort(F.transform(clean, lambda x, i: F.struct(F.xxhash64(x).alias("line"), i.alias("at"), F.size(F.split(x, " ")).alias("words"))))
-    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("host"), hashed.alias("s"))
+    out = _keyed(docs).select("_id", "_host", "_text", hashed.alias("s"))
     marked = F.transform("s", lambda x, i: F.struct(x["line"].alias("line"), x["at"].alias("at"), x["words"].alias("words"), ((i == 0) | (F.get(F.col("s"), i - 1)["line"] != x["line"])).alias("first")))
-    return out.select("id", "host", F.inline(marked))
+    return out.select("_id", "_host", "_text", F.inline(marked))
 
 
-def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """host, line, home for lines in more than max_docs documents of the host."""
-    return lines.filter("first").groupBy("host", "line").agg(F.count("*").alias("n"), F.min("id").alias("home")).filter(F.col("n") > max_docs).select("host", "line", "home")
+def removed_lines(docs: DataFrame, max_docs: int) -> DataFrame:
+    """_id, _host, _text, removed_words, gone (hashes of the removed lines) for documents that lose lines.
+
+    Lines with more than max_docs rows are few; only for these the distinct documents are counted."""
+    lines = lines_of(docs)
+    often = settle(lines.filter("first").groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("_host", "line"))
+    held = stash(lines.drop("first").join(often, ["_host", "line"]), "frequent-lines")
+    documents_ = held.select("_host", "line", "_id").distinct().groupBy("_host", "line").agg(F.count("*").alias("n"), F.min("_id").alias("home"))
+    frequent = documents_.filter(F.col("n") > max_docs).select("_host", "line", "home")
+    gone = held.join(frequent, ["_host", "line"]).filter("_id <> home").groupBy("_id", "_host", "_text").agg(F.collect_set(F.struct("at", "words", "line")).alias("g"))
+    # A set, so that a repeated row doesn't count twice.
+    return gone.select("_id", "_host", "_text", F.aggregate("g", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("removed_words"), F.array_distinct(F.transform("g", lambda x: x["line"])).alias("gone"))
 
 
 def line_frequency(docs: DataFrame, max_docs: int = 40, min_words: int = 50, min_share: int = 30) -> DataFrame:
     """The base features of each row of docs, with removed_words and kept."""
-    lines = lines_of(docs)
-    frequent = settle(frequent_lines(lines, max_docs))
-    removed = lines.join(frequent, ["host", "line"]).filter("id <> home").groupBy("id", "host")
-    removed = removed.agg(F.collect_set(F.struct("at", "words")).alias("gone")).select(
-        "id", F.col("host"), F.aggregate("gone", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("removed_words")
-    )  # a set, so that a repeated row doesn't count twice
-    rows = base_features(docs).drop("text")
-    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    out = rows.join(removed, ["id", "host"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    return _judged(docs, removed_lines(docs, max_docs), min_words, min_share).drop("_id", "_host", "_text")
+
+
+def _judged(docs: DataFrame, removed: DataFrame, min_words: int, min_share: int) -> DataFrame:
+    rows = base_features(docs)
+    rows = _keyed(rows).drop("text")
+    out = rows.join(removed.drop("gone"), ["_id", "_host", "_text"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed_words")
     kept = ~F.col("base_failed") & ((F.col("removed_words") == 0) | ((left >= min_words) & (100 * left >= min_share * F.col("n_words"))))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "removed_words")
+    return out.select("_id", "_host", "_text", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "removed_words")
+
+
+def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """docs with the removed lines taken out of text, and n_chars, where there is one, counted anew; the other columns stay as they are."""
+    columns = docs.columns
+    stay = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(F.array_join(_words(F.lower(x)), " "))))
+    joined = _keyed(docs).join(removed.select("_id", "_host", "_text", "gone"), ["_id", "_host", "_text"], "left")
+    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        joined = joined.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return joined.select(columns)
 
 
 def cleaned_texts(docs: DataFrame, max_docs: int = 40) -> DataFrame:
-    """docs with the frequent lines taken out of text; the other columns stay as they are."""
-    frequent = settle(frequent_lines(lines_of(docs), max_docs))
-    gone = lines_of(docs).join(frequent, ["host", "line"]).filter("id <> home").groupBy(F.col("id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
-    joined = keyed.join(gone, ["_id", "_host"], "left")
-    stay = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(F.array_join(_words(F.lower(x)), " "))), F.lit(False)))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(docs.columns)
+    """docs with the frequent lines taken out of text."""
+    return without_lines(docs, removed_lines(docs, max_docs))
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency(documents(spark, sf_dir))
 
 
-def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, max_docs: int = 40, min_words: int = 50, min_share: int = 30) -> DataFrame:
+    """Pipeline stage: documents that the rules reject go, and the others lose their frequent lines."""
+    removed = settle(removed_lines(docs, max_docs))
     # Settled first: a filter on the verdict would otherwise be pushed into the features and repeat them.
-    kept = settle(line_frequency(docs).select("doc_id", "kept")).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(docs.columns)
+    kept = settle(_judged(docs, removed, min_words, min_share).filter("kept").select("_id", "_host", "_text").distinct().join(removed.select("_id", "_host", "_text", "gone"), ["_id", "_host", "_text"], "left"))
+    return without_lines(_keyed(docs).join(kept.select("_id", "_host", "_text"), ["_id", "_host", "_text"], "left_semi").select(docs.columns), kept)
 
 
 QUERIES = {"op2_line_frequency": op2_line_frequency}
