@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each document, in an order shuffled by a hash of its id, gets a virtual finish time: the source's
+Each document, in an order shuffled by a hash of its id and text, gets a virtual finish time: the source's
 words up to and including it, divided by the source's target. A second round of a source's
 documents follows its first, so that a source can give up to ``most`` times its size. All rounds
 are then ordered by finish time over the whole table and cut where the words reach the budget.
@@ -9,13 +9,13 @@ Prefix sums are taken in two steps, over small sub-ranges and then inside each,
 source with most of the rows nor the global order meets in one task.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times; a null source is a source of
-its own, last in order; rows that repeat a doc_id are rows of their own, in the order of their
-sizes; a null doc_id sorts first; an empty table gives an empty result; other columns are ignored.
+its own, last in order; rows that repeat a doc_id are rows of their own, shuffled by id and text; a null
+doc_id is an empty one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, n_words, settle, stash
@@ -46,7 +46,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], percent: int, most: in
 
 def fair_queue(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of docs."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return _queued(docs, weights, percent, most).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def _name() -> Column:
+    """Hash of a row's id and text: only rows that repeat both share it."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _queued(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, nth and times (how often a row is taken)."""
+    key = _name()
     rows = docs.select("doc_id", F.col("source").cast("string"), n_words("text").alias("size"), key.alias("key"))
     rows = stash(rows.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * BUCKETS / 2**32)), "mix-rows")
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -80,7 +90,7 @@ def fair_queue(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), percent:
     done = rows.withColumn("full", F.when(F.col("size") > 0, full).otherwise(0))
     out = done.join(taken, done["source"].eqNullSafe(taken["source"]) & (done["key"] == taken["key"]) & (done["nth"] == taken["nth"]), "left")
     times = F.col("full") + F.coalesce("edge", F.lit(0))
-    return out.select("doc_id", done["source"], "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return out.select("doc_id", done["source"], done["key"], "size", "source_size", "target", done["nth"], times.cast("int").alias("times"))
 
 
 def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +99,19 @@ def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stays as often as the mix takes it, as repeated rows."""
-    taken = fair_queue(docs).filter("taken > 0").groupBy("doc_id", "size").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = taken.groupBy("doc_id").agg(F.max("_times").alias("_times")).withColumnRenamed("doc_id", "_id")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    among = Window.partitionBy("_source", "_key").orderBy("_nth")
+    taken = _queued(docs).filter("size > 0").select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"), F.col("key").alias("_key"), F.col("nth").alias("_nth"), F.col("times").alias("_times"))
+    taken = taken.withColumn("_k", F.row_number().over(among)).filter("_times > 0").drop("_nth")
+    rows = docs.withColumns({"_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")), "_key": _name()})
+    # Rows that repeat id, source and text are numbered by their other columns, so that each gets one of the group's counts.
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_source", "_key").orderBy(F.xxhash64(*docs.columns))))
+    return rows.join(taken, ["_source", "_key", "_k"]).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 QUERIES = {"op9_fair_queueing": op9_fair_queueing}
 SQL = {
     "op9_fair_queueing": r"""
-with d as (select doc_id, source, md5(coalesce(doc_id::varchar, '')) as key,
+with d as (select doc_id, source, md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key,
     len(list_filter(string_split(translate(coalesce(text, ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> ''))::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int]::double as w, 2 * source_size as most from s),
