@@ -10,7 +10,7 @@ nodes``, whatever the input), so the driver plans on counts; documents find thei
 from their place in their cell.
 
 Defined cases: a null or empty text has size 1; rows that repeat a doc_id share a place on the
-ring and are ordered by text checksum and size; a null doc_id has a place of its own; an empty
+ring and are ordered by text checksum and size; a row without doc_id has its text's place; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -77,7 +77,7 @@ def place(docs: DataFrame, shards: int = 16, nodes: int = 128, slack: float = 0.
     spark = docs.sparkSession
     edges = sorted({p + 1 for p, _ in ring(shards, nodes)} | {k * TOP // CELLS for k in range(CELLS + 1)})
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 32).alias("at"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)), 32).alias("at"))
     bounds = np.array(edges)
 
     def cells(at: pd.Series) -> pd.Series:
