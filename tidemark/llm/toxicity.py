@@ -34,6 +34,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ MARKED = "àáâäåæçèéêëíîñóôöøùúûüß"  # letters of their ow
 OTHERS, PER_LETTER = 12, 2  # symbols for the letters of other scripts, and how many stand for one
 EDGE = 27 + len(MARKED) + OTHERS  # stands before and after each word
 LETTERS = EDGE + 1
+_AT_ONCE = 50  # texts of which training makes letters at once
 _OFFSETS = [(0, *c) for c in itertools.combinations(range(1, SPAN), ORDER - 1)]
 
 
@@ -222,11 +224,23 @@ def mapped(some: Letters, keys: np.ndarray, into: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    table: np.ndarray
+    """Weights of some subsequences; all others have none."""
+
+    keys: np.ndarray
+    weights: np.ndarray
     bias: float
     slope: float
     shift: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        out = np.zeros(LETTERS**ORDER, np.float32)
+        out[self.keys] = self.weights
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}  # each worker makes its own
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         some = letters(texts)
         worst = np.full(len(texts), self.bias)
@@ -302,9 +316,8 @@ def _joined(words: list[bytes]) -> Letters:
 
 
 def train(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int = 4, ridge: float = 0.1) -> Model:
-    table = np.zeros(LETTERS**ORDER, np.float32)
     share = sum(toxic) / len(toxic) if toxic else 0.0
-    flat = Model(table, 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 40.0 if share == 1 else -40.0)
+    flat = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 40.0 if share == 1 else -40.0)
     if len(set(toxic)) < 2:
         return flat
     once: dict[tuple[int, int], str] = {}
@@ -312,14 +325,15 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int
         words = t.lower().split()
         once.setdefault((label, min((hash_of(w) for w in zip(words, words[1:], words[2:], strict=False)), default=hash_of(tuple(words)))), t)
     bad, clean = ([t for (label, _), t in once.items() if label == c] for c in (1, 0))
-    some = [letters(bad), letters(clean)]
+    some = [_letters(bad), _letters(clean)]
     if not all(len(x.words) for x in some):
         return flat
     n1, n0 = _shares(bad), _shares(clean)
-    value = np.log((n1 + np.float32(0.5)) / np.float32(len(bad) + 1)) - np.log((n0 + np.float32(0.5)) / np.float32(len(clean) + 1))
-    value[n1 < max(3, len(bad) // 200)] = 0
-    table[:] = np.maximum(value, 0) ** 2
-    del n1, n0, value
+    often = np.flatnonzero(n1 >= max(3, len(bad) // 200))
+    value = np.log((n1[often] + 0.5) / (len(bad) + 1)) - np.log((n0[often] + 0.5) / (len(clean) + 1))
+    del n1, n0
+    table = np.zeros(LETTERS**ORDER, np.float32)
+    table[often] = np.maximum(value, 0) ** 2
     first = [x.sums(weighed(x, table)) / x.norms() for x in some]
     chosen = [_worst(x, f) for x, f in zip(some, first, strict=True)]
     marks = _joined(list(dict.fromkeys(w for x, c in zip(some, chosen, strict=True) for w in _marks(x, c, weighed(x, table), landmarks // 2))))
@@ -346,10 +360,22 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int
             more = np.setdiff1d(chosen[1], against)
             against = np.concatenate([against, more])
             x = np.concatenate([x, mapped(some[1].only(more), keys, into)])
-    model = Model(table, float(w[-1]), 1.0, 0.0)
-    f = -np.log(1 / np.clip(model.scores(texts), 1e-12, 1 - 1e-12) - 1)
-    slope, shift = _platt(f, np.array(toxic))
-    return Model(table, float(w[-1]), slope, shift) if slope > 0 else flat
+    del table, x, some
+    model = Model(keys, (into @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+    p = np.concatenate([model.scores(texts[k : k + _AT_ONCE]) for k in range(0, len(texts), _AT_ONCE)])
+    slope, shift = _platt(-np.log(1 / np.clip(p, 1e-12, 1 - 1e-12) - 1), np.array(toxic))
+    return Model(keys, model.weights, model.bias, slope, shift) if slope > 0 else flat
+
+
+def _letters(texts: list[str]) -> Letters:
+    """As letters, some texts at a time, so that what is needed on the way stays small."""
+    parts = [letters(texts[k : k + _AT_ONCE]) for k in range(0, len(texts), _AT_ONCE)]
+    ahead = lambda sizes: np.cumsum([0, *sizes])[:-1].tolist()
+    codes, words = ahead(len(x.code) for x in parts), ahead(len(x.words) for x in parts)
+    return Letters(
+        np.concatenate([x.code for x in parts]), np.concatenate([x.words + k for x, k in zip(parts, codes, strict=True)]),
+        np.concatenate([x.sentences + k for x, k in zip(parts, words, strict=True)]), np.concatenate([x.owner + _AT_ONCE * k for k, x in enumerate(parts)]),
+    )
 
 
 def hash_of(words: tuple[str, ...]) -> int:
