@@ -531,3 +531,39 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     assert Counter(r.doc_id for r in got if r.piece == 0) == +taken
     packed(got, 2048)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_repeated_rows_count_once_for_a_line(spark):
+    rows = [(i, text(i, 60) + "\nA  shared line here", "s") for i in range(30)] + [(99, text(99, 60) + "\na shared line here", "s")] * 15
+    assert not any(r.removed_words for r in quality.line_frequency(make(spark, rows)).collect())
+    more = [(i, text(i, 60) + "\na shared line here", "s") for i in range(100, 110)] + [(None, text(i, 60) + "\na shared line here", "s") for i in range(200, 203)]
+    got = Counter((str(r.doc_id), r.removed_words) for r in quality.line_frequency(make(spark, rows + more)).collect())
+    assert got[("99", 4)] == 15 and got[("None", 4)] + got[("None", 0)] == 3 and sum(n for (_, w), n in got.items() if w == 0) == 1
+    docs = make(spark, rows + more)
+    kept = quality.drop_low_quality(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert kept.filter("text like '%shared line%'").count() == 1 and kept.filter("n_chars <> length(text)").count() == 0
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none, sf):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd, none):
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            n = out.count()
+            assert n == 0 if docs is none else 0 < n <= 2 * 11, name
+    assert {str(r.doc_id) for r in corpus_pipeline.STAGES[-1][1](spark, odd, sf).collect()} == {str(r.doc_id) for r in odd.collect()}
+
+
+def test_rows_that_repeat_an_id_are_mixed_each_by_its_count(spark):
+    rows = [(k % 7 if k % 2 else None, text(k % 11, 5 + k % 4), "ab"[k % 2]) for k in range(60)]
+    docs = make(spark, rows)
+    want = Counter()
+    for r in mixing.fair_queue(docs).collect():
+        want[r.source] += r.taken
+    got = Counter()
+    for r in mixing.mix_sources(spark, docs, "").collect():
+        got[r.source] += len(words(r.text))
+    assert got == want and sum(got.values()) > sum(len(words(t)) for _, t, _ in rows)

@@ -181,7 +181,7 @@ def filter_ranges(entries: DataFrame, range_bits: int = RANGE_BITS) -> tuple[int
     after another. Each block is built in one task, of constant size."""
     levels = entries.agg(F.sum(F.floor(F.log("n") / math.log(BASE)) + 1)).first()[0] or 0
     blocks, per = max(1, -(-BITS_PER_LEVEL * int(levels) // BLOCK_BITS)), max(1, range_bits // BLOCK_BITS)
-    dealt = entries.withColumn("block", F.expr(f"pmod(shiftrightunsigned(key, 33), {blocks})")).repartition("block")
+    dealt = entries.select("key", F.col("n").cast("long").alias("n")).repartition(F.expr(f"pmod(shiftrightunsigned(key, 33), {blocks})"))
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All blocks of a partition at once: they take less room than the entries that they come from."""
@@ -189,7 +189,7 @@ def filter_ranges(entries: DataFrame, range_bits: int = RANGE_BITS) -> tuple[int
         bits = np.zeros(0, bool)
         for batch in batches:
             keys = batch.column("key").to_numpy().view(np.uint64)
-            names, at = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            names, at = np.unique(Filter.block_of(keys, blocks).astype(np.int64), return_inverse=True)
             at = np.array([known.setdefault(k, len(known)) for k in names.tolist()], np.int64)[at] * BLOCK_BITS
             if len(known) * BLOCK_BITS > len(bits):
                 bits = np.concatenate([bits, np.zeros(max(len(bits), len(known) * BLOCK_BITS - len(bits)), bool)])
@@ -202,7 +202,7 @@ def filter_ranges(entries: DataFrame, range_bits: int = RANGE_BITS) -> tuple[int
             block = np.packbits(bits[k * BLOCK_BITS : (k + 1) * BLOCK_BITS], bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([block], pa.binary())], ["block", "bits"])
 
-    built = dealt.select("block", "key", "n").mapInArrow(build, "block long, bits binary")
+    built = dealt.mapInArrow(build, "block long, bits binary")
     if blocks > per:  # built once, read range by range
         path = stash_path(entries.sparkSession, "filter")
         built.withColumn("range", F.floor(F.col("block") / per)).write.partitionBy("range").parquet(path)
@@ -288,8 +288,6 @@ def scored(docs: DataFrame, train: DataFrame, alone: float = 0.85, least: int =
 
     names = ["uid", "doc_id", "word", "times", "size", "log_sum", "n_head", "score"]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "uid long, doc_id long, word binary, times long, size long, log_sum double, n_head long, score double")
-    with bounded_batches(spark):
-        rows = stash(rows, "scores")
     # A document's own row has a word of its own that is no token, so it passes the join alone.
     met = rows.join(words.filter(F.col("n") * HEAD < total).withColumnRenamed("n", "c"), "word", "left")
     known = F.col("c").isNotNull().cast("long") * F.col("times")
