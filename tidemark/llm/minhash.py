@@ -318,10 +318,16 @@ def op6_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each group of near-duplicates stays."""
+    """Pipeline stage: one document of each group of near-duplicates stays. Of rows that repeat its id and text, the one with the least hash
+    of all columns stays; different texts of that id all do, as each is the document. Rows without an id stay."""
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return with_id.select(docs.columns).union(docs.filter("doc_id is null"))
+    held = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    ids = held.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    repeated = ids.filter("_n > 1")
+    alone = held.join(ids.filter("_n = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
+    several = held.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+    one = several.groupBy("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return alone.union(one.select("_row.*")).union(docs.filter("doc_id is null"))
 
 
 QUERIES = {"op6_minhash_tensored": op6_minhash_tensored}

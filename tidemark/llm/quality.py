@@ -48,7 +48,7 @@ def base_features(docs: DataFrame) -> DataFrame:
     out = out.withColumn("grams", F.expr("if(size(words) < 3, array(), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _BLANKS + " ", "") != "")
     out = out.withColumn("filled", lines)
-    out = out.select(
+    computed = F.struct(
         "doc_id", "source", "text",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", _BLANKS + " ", "")).cast("long").alias("word_chars"),
@@ -56,6 +56,8 @@ def base_features(docs: DataFrame) -> DataFrame:
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
     )
+    # Filters aren't pushed through a generator, so a caller's filter on a verdict doesn't repeat the features.
+    out = out.select(F.inline(F.array(computed)))
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -128,8 +130,8 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, max_docs: int = 40, min_words: int = 50, min_share: int = 30) -> DataFrame:
     """Pipeline stage: documents that the rules reject go, and the others lose their frequent lines."""
     removed = settle(removed_lines(docs, max_docs))
-    # Settled first: a filter on the verdict would otherwise be pushed into the features and repeat them.
-    kept = settle(_judged(docs, removed, min_words, min_share).filter("kept").select("_id", "_host", "_text").distinct().join(removed.select("_id", "_host", "_text", "gone"), ["_id", "_host", "_text"], "left"))
+    kept = _judged(docs, removed, min_words, min_share).filter("kept").select("_id", "_host", "_text").distinct()
+    kept = settle(kept.join(removed.select("_id", "_host", "_text", "gone"), ["_id", "_host", "_text"], "left"))
     return without_lines(_keyed(docs).join(kept.select("_id", "_host", "_text"), ["_id", "_host", "_text"], "left_semi").select(docs.columns), kept)
 
 
