@@ -8,7 +8,8 @@ over the chain) for "good", weighted by their words, on the labels' scale by a l
 Only documents are labelled, so in training each line bears its document's label. The likelihood is
 maximised by limited-memory BFGS; each step's likelihood and gradient are summed by Spark over the
 training lines, which stay in the executors, and every document weighs as much as any other of its class. The
-penalty ``ridge`` keeps the weights of pairs finite, though labels never change inside a training document.
+penalty ``ridge``, ``pairs`` times as much for pairs of labels, keeps their weights small, though labels never change
+inside a training document, so that good and bad lines of one text are told apart.
 
 Training reads at most ``per_class`` labelled documents of either class (2,000 by default), the first by a
 hash of the id, and never those with crc32(doc_id) mod 4 = 2; the curve weighs them as the labels that could be read.
@@ -323,7 +324,7 @@ def _together(rows: list[dict]) -> Lines:
     return Lines(np.concatenate([p.features for p in parts]), np.concatenate([p.words for p in parts]), np.zeros(sum(sizes), np.int64), np.cumsum([0, *sizes[:-1]]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, ridge: float = 1e-3, steps: int = 60) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, ridge: float = 1e-3, pairs: float = 30, steps: int = 60) -> Model:
     """Lines and sums stay with Spark; the driver holds the ids of the sample, the weights, and a number a sampled document for the curve."""
     spark = docs.sparkSession
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").filter(remainder("_id", 4) != 2)
@@ -362,6 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, ridge: floa
 
     penalty = np.ones(SIZE)
     penalty[3 * WIDTH + 2] = 0
+    penalty[-4:] = pairs
 
     def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
         got = held.mapInArrow(summed(w), "value double, grad array<double>").collect()  # a row for each of the few partitions
