@@ -12,15 +12,15 @@ import stat
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tidemark.functions.checksums import TAIL, crc_bytes, crc32c
+from tidemark.functions.checksums import TAIL, crc_bytes
 from tidemark.operators.manifest import filter_names, identified, sequenced_wide
+from tidemark.sources.feed import TEMP
+from tidemark.sources.frontier import list_trees
 
-#: Name of the directory for unfinished files; scans never enter it.
-TEMP = ".tidemark-tmp"
 LISTING = "name string, kind int, link_target string, size bigint, mtime bigint"
 
 
@@ -68,28 +68,8 @@ class _TreeReader(DataSourceReader):
         yield from listing(partition.root, partition.under, self.exclude, partition.deep)
 
 
-class _TreeStream(SimpleDataSourceStreamReader):
-    """Successive scans: each batch has the entries whose size or time changed since the last, by the newest change time."""
-
-    def __init__(self, options):
-        self.root, self.exclude = options["path"], tuple(filter(None, options.get("exclude", "").split("/")))
-
-    def initialOffset(self):
-        return {"mtime": 0}
-
-    def _since(self, after: int, upto: int | None = None) -> list[tuple]:
-        return [r for r in listing(self.root, "", self.exclude) if r[4] > after and (upto is None or r[4] <= upto)]
-
-    def read(self, start):
-        rows = self._since(start["mtime"])
-        return iter(rows), {"mtime": max([start["mtime"], *(r[4] for r in rows)])}
-
-    def readBetweenOffsets(self, start, end):
-        return iter(self._since(start["mtime"], end["mtime"]))
-
-
 class TreeSource(DataSource):
-    """spark.read.format("tree").option("exclude", "a/b").load(root); also readStream, for changes."""
+    """spark.read.format("tree").option("exclude", "a/b").load(root). For changes see ``feed``, for trees of uneven shape ``frontier``."""
 
     @classmethod
     def name(cls):
@@ -101,39 +81,34 @@ class TreeSource(DataSource):
     def reader(self, schema):
         return _TreeReader(self.options)
 
-    def simpleStreamReader(self, schema):
-        return _TreeStream(self.options)
+
+def _scanned(spark: SparkSession, roots: list[tuple[int, str]], regex: str | None = None, exclude_top: tuple[str, ...] = (), checksum: bool = True, max_len: int = TAIL) -> DataFrame:
+    rows = list_trees(spark.createDataFrame(roots, "stream_id long, root string"), (TEMP, *exclude_top)).drop("mtime")
+    rows = filter_names(rows, regex) if regex else rows
+    rows = sequenced_wide(identified(rows.withColumn("manifest_id", F.lit(1).cast("long"))))
+    rows = with_checksums(rows, max_len) if checksum else rows.withColumn("checksum", F.lit(None).cast("struct<algo:int,offset:bigint,len:bigint,value:binary>"))
+    return rows.select("manifest_id", "stream_id", "root", "seq", "file_id", "kind", "name", "link_target", "size", "checksum")
 
 
-def scan_tree(spark: SparkSession, root: str, stream_id: int, regex: str | None = None, exclude_top: tuple[str, ...] = (), checksum: bool = True, max_len: int = TAIL) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, stream_id: int, **how) -> DataFrame:
     """A stream's manifest entries, in order, with checksums of their last max_len bytes. An absent root has none.
 
-    Names are filtered before any byte is read.
+    ``how``: regex (names are filtered before any byte is read), exclude_top, checksum, max_len.
     """
-    spark.dataSource.register(TreeSource)
-    rows = spark.read.format("tree").option("exclude", "/".join(exclude_top)).load(root).drop("mtime")
-    rows = filter_names(rows, regex) if regex else rows
-    rows = rows.withColumns({"manifest_id": F.lit(1).cast("long"), "stream_id": F.lit(stream_id).cast("long"), "root": F.lit(root)})
-    rows = sequenced_wide(identified(rows))
-    rows = with_checksums(rows, max_len) if checksum else rows.withColumn("checksum", F.lit(None).cast("struct<algo:int,offset:bigint,len:bigint,value:binary>"))
-    return rows.select("manifest_id", "stream_id", "root", "seq", "file_id", "kind", "name", "link_target", "size", "checksum")
+    return _scanned(spark, [(stream_id, root)], **how)
 
 
 def scan_roots(spark: SparkSession, roots: list[tuple[int, str]], base: str | None = None, **how) -> DataFrame:
-    """Entries of several roots (stream_id, root). Of equal stream ids the first is taken. Without roots, numeric directories of base are streams, else base is stream 9001."""
+    """Entries of several roots (stream_id, root), listed together. Of equal stream ids the first is taken. Without roots, numeric directories of base are streams, else base is stream 9001."""
     once: dict[int, str] = {}
     for stream_id, root in roots:
         once.setdefault(stream_id, root)
     if not once and base:
         dirs = [d for d in sorted(os.listdir(base)) if d.isdigit() and os.path.isdir(os.path.join(base, d))] if os.path.isdir(base) else []
         once = {int(d): os.path.join(base, d) for d in dirs} or {9001: base}
-    out = None
-    for stream_id in sorted(once):
-        one = scan_tree(spark, once[stream_id], stream_id, **how)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    if not once:
         raise ValueError("no roots are given")
-    return out
+    return _scanned(spark, sorted(once.items()), **how)
 
 
 def with_checksums(entries: DataFrame, max_len: int | None = TAIL) -> DataFrame:
@@ -341,13 +316,3 @@ def make_entries(entries: DataFrame) -> None:
 
     entries.filter("kind = 2").foreachPartition(directory)
     entries.filter("kind = 3").foreachPartition(link)
-
-
-def checksummed(chunks: DataFrame) -> DataFrame:
-    """chunks (payload) with their checksum."""
-    return chunks.withColumn("checksum", crc32c(F.col("payload")))
-
-
-def latest_scan(changes: DataFrame) -> DataFrame:
-    """The newest state of each path in a log of scans (name, mtime, ...)."""
-    return changes.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("mtime")))).filter("_k = 1").drop("_k")
