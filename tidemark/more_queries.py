@@ -12,6 +12,7 @@ from tidemark.functions import names as N
 from tidemark.operators import acks as A
 from tidemark.operators import diff as D
 from tidemark.operators import manifest as M
+from tidemark.operators.ranges import Ranges
 from tidemark.queries import _BOTH, _PLAN, _SRC, _diff, _query, content_checksums_utf8
 from tidemark.shared import settle, shared_folder
 
@@ -166,6 +167,37 @@ def merged_reports(spark, sf_dir):
     return A.ack_batches(acks, 40).select("line_id", "stream_id", "batch", "arrival", "next_seq", "received")
 
 
+_ARRIVALS = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
+_LINES = f"""with r as (select (l_suppkey % 100)::int as line_id, (l_orderkey % 3)::bigint as stream_id, row_number() over (partition by l_suppkey % 100 order by {_ARRIVALS}) as arrival, l_linenumber::bigint as next_seq, (l_quantity::bigint) % 9 as n, l_partkey % 13 = 0 as flush from lineitem),
+l as (select line_id, list({{'s': stream_id, 'n': n, 'f': flush, 'a': arrival, 't': [0::bigint, 0::bigint, 0::bigint], 'k': 0::bigint, 'ks': [0::bigint]}} order by arrival) as xs from r group by all),
+g as (select line_id, list_prepend({{'s': 0::bigint, 'n': 0::bigint, 'f': false, 'a': 0::bigint, 't': [0::bigint, 0::bigint, 0::bigint], 'k': 0::bigint, 'ks': []::bigint[]}}, xs) as xs from l),"""
+_FOLD = """f as (select line_id, list_reduce(xs, lambda p, b: {{'s': b.s, 'n': b.n, 'f': b.f, 'a': b.a,
+    't': case when p.f or list_max(p.t) >= 20 or {timer} then [case when b.s = 0 then b.n else 0 end, case when b.s = 1 then b.n else 0 end, case when b.s = 2 then b.n else 0 end]
+      else [p.t[1] + case when b.s = 0 then b.n else 0 end, p.t[2] + case when b.s = 1 then b.n else 0 end, p.t[3] + case when b.s = 2 then b.n else 0 end] end,
+    'k': p.k + case when p.a > 0 and (p.f or list_max(p.t) >= 20 or {timer}) then 1 else 0 end, 'ks': list_append(p.ks, p.k + case when p.a > 0 and (p.f or list_max(p.t) >= 20 or {timer}) then 1 else 0 end)}}).ks as ks from g)
+select r.line_id, r.stream_id, f.ks[r.arrival] as batch, max(r.arrival) as arrival, arg_max(r.next_seq, r.arrival) as next_seq, sum(r.n)::bigint as received from r join f using (line_id) group by all"""
+
+
+def _line_reports(spark, sf_dir):
+    """Reports of three streams on each of a hundred lines; one in thirteen follows a message after which the line is flushed."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = li.withColumn("line_id", (F.col("l_suppkey") % 100).cast("int"))
+    rows = Ranges(rows, ["line_id"], _ARRIVALS.split(", ")).with_running("arrival", "sum", F.lit(1).cast("long")).done()
+    return rows.select("line_id", (F.col("l_orderkey") % 3).alias("stream_id"), "arrival", F.col("l_linenumber").cast("long").alias("next_seq"), *[F.lit(1).cast("long").alias(c) for c in ("file_id", "offset", "durable_offset")], (F.col("l_quantity").cast("long") % 9).alias("n_received"), (F.col("l_partkey") % 13 == 0).alias("flush"))
+
+
+@_query(f"{_LINES} {_FOLD.format(timer='false')}")
+def coupled_reports(spark, sf_dir):
+    """Reports merged to batches of twenty on lines that carry several streams: a flush, by number or as asked for, ends all of a line's batches."""
+    return A.coupled_ack_batches(_line_reports(spark, sf_dir)).select("line_id", "stream_id", "batch", "arrival", "next_seq", "received")
+
+
+@_query(f"{_LINES} {_FOLD.format(timer='p.a // 7 <> b.a // 7')}")
+def timed_reports(spark, sf_dir):
+    """As coupled_reports, with a flush of every line at each seventh tick besides."""
+    return A.coupled_ack_batches(_line_reports(spark, sf_dir), interval=7).select("line_id", "stream_id", "batch", "arrival", "next_seq", "received")
+
+
 _HEX = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)"
 _TABLE = "t(i, c, k) as (select i, i::bigint, 0 from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 2197175160) else c >> 1 end, k + 1 from t where k < 8), tab as (select list(c order by i) as l from t where k = 8)"
 _CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {}), lambda a, x: xor(l[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)::bigint"

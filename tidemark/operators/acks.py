@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import Ranges
 from tidemark.schemas import MSG_TYPES, REASONS
+from tidemark.shared import settle
 
 SEND_KEY = ["stream_id", "file_id", "seq", "kind", "offset", "chunk_index"]
 CREATE, DATA, BEGIN, CHUNK, COMMIT = (MSG_TYPES[k] for k in ("CREATE", "DATA", "FILE_BEGIN", "CHUNK", "FILE_COMMIT"))
@@ -115,77 +117,83 @@ def unacked(sends: DataFrame, acked: DataFrame) -> DataFrame:
 def lost_sends(matched: DataFrame, disconnects: DataFrame) -> DataFrame:
     """Sends still open on a line when it disconnects: matched (with ack_tick) with lost_tick, the first disconnect after the send.
 
-    An as-of join by one window over sends and disconnects of a line, not by pairs.
+    An as-of join by one running minimum over sends and disconnects of a line, not by pairs.
     """
     cols = matched.columns
     s = matched.withColumn("_gone", F.lit(None).cast("long")).withColumn("_at", F.col("sent_tick"))
     d = disconnects.select("line_id", F.col("tick").alias("_gone"), F.col("tick").alias("_at"))
     every = s.unionByName(d, allowMissingColumns=True)
-    ahead = Window.partitionBy("line_id").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
-    out = every.withColumn("lost_tick", F.min("_gone").over(ahead)).filter(F.col("_gone").isNull())
+    # From the latest on; of equal ticks the sends come first, so that none sees a disconnect of its own tick.
+    every = every.withColumns({"_last": F.col("_gone").isNotNull(), "_tie": F.xxhash64(*cols)})
+    out = Ranges(every, ["line_id"], ["-_at", "_last", "_tie"]).with_running("lost_tick", "min", F.col("_gone")).done().filter(F.col("_gone").isNull())
     return out.filter("lost_tick is not null and (ack_tick is null or ack_tick > lost_tick)").select(*cols, "lost_tick")
 
 
-def _reset_sums(rows: DataFrame, by: list[str], order: str, limit: int) -> DataFrame:
-    """rows (n) with batch: a running number that rises after the row that brings the sum of n since the last rise to limit.
-
-    Sorted partitions pass by in batches, so that a key's history needs no memory; a key is one task's.
-    """
-
-    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, current = None, 0, 0
-        for batch in batches:
-            out = []
-            for *own, n in zip(*(batch.column(c).to_pylist() for c in (*by, "n")), strict=True):
-                if own != key:
-                    key, total, current = own, 0, 0
-                out.append(current)
-                total += n
-                if limit and total >= limit:
-                    current, total = current + 1, 0
-            yield batch.append_column("batch", pa.array(out, pa.int64()))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long"
-    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(number, schema)
-
-
-def ack_batches(acks: DataFrame, batch: int = 20, coupled: bool = False) -> DataFrame:
+def ack_batches(acks: DataFrame, batch: int = 20, coupled: bool = False, interval: int | None = None) -> DataFrame:
     """Merged reports: line_id, stream_id, batch, arrival, next_seq, file_id, offset, durable_offset, received.
 
     Scalars are those of the latest report, received chunks add up. A stream's batch ends with the report that brings
-    its chunks to ``batch``, and the count starts anew. With ``coupled``, for lines that carry several streams, that
-    flush also ends the batches of the line's other streams. acks may hold n_received or received_chunks.
+    its chunks to ``batch`` (0: never), with a report whose ``flush`` is true, if acks have that column (those that follow CREATE, BEGIN and
+    COMMIT), and with the last one before a multiple of ``interval`` in arrival; then all counts start anew. With ``coupled``, for lines that carry several streams, a
+    flush ends the batches of all the line's streams. Within a line, reports of equal arrival come by stream. acks may hold n_received or received_chunks.
     """
-    n = F.col("n_received") if "n_received" in acks.columns else F.size("received_chunks").cast("long")
-    rows = acks.select("line_id", "stream_id", "arrival", "next_seq", "file_id", "offset", "durable_offset", n.cast("long").alias("n"))
-    rows = _coupled_sums(rows, batch) if coupled else _reset_sums(rows, ["line_id", "stream_id"], "arrival", batch)
+    n = F.col("n_received") if "n_received" in acks.columns else F.size("received_chunks")
+    flush = F.coalesce("flush", F.lit(False)) if "flush" in acks.columns else F.lit(False)
+    rows = acks.select("line_id", "stream_id", "arrival", "next_seq", "file_id", "offset", "durable_offset", n.cast("long").alias("n"), flush.alias("_flush"))
+    rows = _numbered(rows, ["line_id"] if coupled else ["line_id", "stream_id"], batch, interval)
     latest = [F.max_by(c, "arrival").alias(c) for c in ("next_seq", "file_id", "offset", "durable_offset")]
     return rows.groupBy("line_id", "stream_id", "batch").agg(F.max("arrival").alias("arrival"), *latest, F.sum("n").alias("received"))
 
 
-def _coupled_sums(rows: DataFrame, limit: int) -> DataFrame:
-    """As _reset_sums for each line, where every stream has its own sum and the first to reach limit resets all."""
+def _numbered(rows: DataFrame, keys: list[str], limit: int, interval: int | None) -> DataFrame:
+    """rows with batch: how many flushes of the key come before each.
 
-    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line, sums, current = None, {}, 0
-        for batch in batches:
-            out = []
-            for own, stream, n in zip(*(batch.column(c).to_pylist() for c in ("line_id", "stream_id", "n")), strict=True):
-                if own != line:
-                    line, sums, current = own, {}, 0
-                out.append(current)
-                sums[stream] = sums.get(stream, 0) + n
-                if limit and sums[stream] >= limit:
-                    sums, current = {}, current + 1
-            yield batch.append_column("batch", pa.array(out, pa.int64()))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long"
-    return rows.repartition("line_id").sortWithinPartitions("line_id", "arrival").mapInArrow(number, schema)
-
-
-def coupled_ack_batches(acks: DataFrame, batch: int = 20) -> DataFrame:
+    No row waits for the one before: where a batch that starts at a row ends is the least place, from there on, at which
+    some stream's running sum has risen by limit since a row of its own, or a flush is asked for. So each flush points to the next, and
+    the chain from the first on is marked by doubling these pointers.
+    """
+    streams, order = ["line_id", "stream_id"], ["arrival", "stream_id"]
+    ranges = Ranges(rows, streams, order).with_running("_upto", "sum", F.col("n"))
+    if keys != streams:
+        ranges = Ranges(ranges.done(), keys, order)
+    ranges.with_running("_at", "sum", F.lit(1).cast("long"))
+    if interval:
+        tick = F.floor(F.col("arrival") / interval)
+        ranges.with_running("_next", "last", tick, before=True, back=True)
+        ranges.rows = ranges.rows.withColumn("_flush", F.col("_flush") | F.coalesce(F.col("_next") != tick, F.lit(False))).drop("_next")
+    ranges.kept()
+    ends = ranges.rows.select(*keys, "_at", F.when(F.col("_flush"), F.col("_at")).alias("_end"))
+    if limit:
+        # The first place of the stream with a sum of at least what a row needs: a running minimum from the largest sum down.
+        says = ranges.rows.select(*streams, F.col("_upto").alias("v"), F.lit(0).alias("asks"), F.col("_at").alias("place"), F.lit(None).cast("long").alias("_at"))
+        asks = ranges.rows.select(*streams, F.col("_upto") - F.col("n") + limit, F.lit(1), F.lit(None).cast("long"), "_at")
+        found = Ranges(says.union(asks), streams, ["-v", "asks"]).with_running("_end", "min", F.col("place")).done()
+        ends = ends.union(found.filter("asks = 1").select(*keys, "_at", "_end"))
+    following = Ranges(ends, keys, ["_at"]).with_running("to", "min", F.col("_end"), back=True).done()
+    # A batch starts after place 0 or after a flush; to is where it ends.
+    jumps = following.filter("to is not null").select(*keys, (F.col("_at") - 1).alias("node"), "to").groupBy(*keys, "node").agg(F.min("to").alias("to"))
+    flushes = _chain(settle(jumps), keys)
+    marked = ranges.rows.join(flushes.withColumn("_hit", F.lit(1).cast("long")), [*keys, "_at"], "left")
+    ranges.rows = marked
+    return ranges.with_running("batch", "sum", F.coalesce("_hit", F.lit(0)), before=True).done().withColumn("batch", F.coalesce("batch", F.lit(0).cast("long")))
+
+
+def _chain(jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _at: the nodes that each key's chain of jumps (keys, node, to) visits from node 0 on. Every round doubles the part of the chain that is known and the
+    length of the jumps, so rounds grow with the log of the longest chain."""
+    reached = jumps.filter("node = 0").select(*keys, F.col("to").alias("_at"))
+    while True:
+        more = settle(reached.join(jumps.withColumnRenamed("node", "_at"), [*keys, "_at"]).select(*keys, F.col("to").alias("_at")))
+        if more.isEmpty():
+            return reached
+        reached = reached.union(more)
+        second = jumps.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
+        jumps = settle(jumps.join(second, [*keys, "to"]).select(*keys, "node", F.col("far").alias("to")))
+
+
+def coupled_ack_batches(acks: DataFrame, batch: int = 20, interval: int | None = None) -> DataFrame:
     """ack_batches for lines with several streams."""
-    return ack_batches(acks, batch, coupled=True)
+    return ack_batches(acks, batch, coupled=True, interval=interval)
 
 
 def stream_progress(accepted: DataFrame) -> DataFrame:
@@ -208,30 +216,43 @@ def attempts(sends: DataFrame, max_retries: int) -> DataFrame:
 
 def escalation(events: DataFrame, by: str, limit: int = 3) -> DataFrame:
     """events (by, order, recovery, progress) with attempt and final: recoveries since the last progress; one past the limit is final."""
-    upto = Window.partitionBy(by).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("epoch", F.sum(F.col("progress").cast("int")).over(upto))
-    inner = Window.partitionBy(by, "epoch").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("attempt", F.sum(F.col("recovery").cast("int")).over(inner)).withColumn("final", F.col("recovery") & (F.col("attempt") > limit))
+    rows = Ranges(events, [by], ["order"]).with_running("_all", "sum", F.col("recovery").cast("int"))
+    rows = rows.with_running("_then", "max", F.when(F.col("progress"), F.col("_all") - F.col("recovery").cast("int"))).done()
+    rows = rows.withColumn("attempt", F.col("_all") - F.coalesce("_then", F.lit(0))).drop("_all", "_then")
+    return rows.withColumn("final", F.col("recovery") & (F.col("attempt") > limit))
 
 
 def smoothed_timeout(samples: DataFrame, by: list[str], fallback: int = 100) -> DataFrame:
     """by, srtt, rttvar, timeout from samples (by, order, x): a fold in order of ``order``, in whole numbers.
 
-    A fold can't be split, so a key's samples are one array; cut long histories into sessions beforehand.
+    A step depends on the rounded result of the one before, so a key's samples pass one task; they pass it sorted, in
+    Arrow batches, and only the running state is held, however many there are.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("order"), F.col("x").cast("long").alias("x")))), lambda s: s["x"])
-    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("v"))
-    div = lambda a, n: F.floor(a / n)  # noqa: E731  exact for the sizes of ticks
-
-    def step(acc, x):
-        first = acc["s"] == 0
-        v = F.greatest(F.lit(1), div(3 * acc["v"] + F.abs(acc["s"] - x), 4))
-        s = F.greatest(F.lit(1), div(7 * acc["s"] + x, 8))
-        return F.struct(F.when(first, x).otherwise(s).cast("long").alias("s"), F.when(first, F.greatest(F.lit(1), div(x, 2))).otherwise(v).cast("long").alias("v"))
-
-    out = samples.groupBy(*by).agg(F.aggregate(ordered, start, step).alias("a"))
-    timeout = F.least(F.greatest(F.col("a.s") + F.greatest(F.lit(1), 4 * F.col("a.v")), F.lit(fallback // 2)), F.lit(fallback * 8))
-    return out.select(*by, F.col("a.s").alias("srtt"), F.col("a.v").alias("rttvar"), timeout.cast("long").alias("timeout"))
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, s, v = None, 0, 0
+        for batch in batches:
+            done = []
+            for *own, x in zip(*(batch.column(c).to_pylist() for c in (*by, "x")), strict=True):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, s, v))
+                    key, s, v = own, 0, 0
+                if s == 0:
+                    s, v = x, max(1, x // 2)
+                else:
+                    s, v = max(1, (7 * s + x) // 8), max(1, (3 * v + abs(s - x)) // 4)
+            yield folded(done)
+        yield folded([] if key is None else [(*key, s, v)])
+
+    rows = samples.select(*by, "order", F.col("x").cast("long").alias("x"))
+    sorted_ = rows.repartition(*by).sortWithinPartitions(*by, "order").select(*by, "x")
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    schema = pa.schema([*((c, kinds[t]) for c, t in sorted_.dtypes if c in by), ("srtt", pa.int64()), ("rttvar", pa.int64())])
+    folded = lambda done: pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema)
+    out = sorted_.mapInArrow(fold, ", ".join(f"`{c}` {t}" for c, t in sorted_.dtypes if c in by) + ", srtt long, rttvar long")
+    timeout = F.least(F.greatest(F.col("srtt") + F.greatest(F.lit(1), 4 * F.col("rttvar")), F.lit(fallback // 2)), F.lit(fallback * 8))
+    return out.withColumn("timeout", timeout.cast("long"))
 
 
 def all_complete(streams: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import entry_id
+from tidemark.operators.ranges import Ranges
 from tidemark.schemas import ENTRIES
-from tidemark.shared import settle
 
 
 def entry_order() -> list[Column]:
@@ -30,19 +30,10 @@ def sequenced(entries: DataFrame) -> DataFrame:
 
 
 def sequenced_wide(entries: DataFrame, partitions: int | None = None) -> DataFrame:
-    """As sequenced, for streams of any size: a range sort of all entries, then counts of the ranges before.
-
-    The sorted entries are kept in the shared folder, as ranges are sampled and may differ if they are made again.
-    """
-    n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("stream_id"), *entry_order()]
-    ranged = entries.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    inner = Window.partitionBy("stream_id", "_p").orderBy(*entry_order())
-    ranged = settle(ranged.withColumn("_k", F.row_number().over(inner)))
-    before = Window.partitionBy("_s").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(F.col("stream_id").alias("_s"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return ranged.join(counts, (F.col("stream_id") == F.col("_s")) & (F.col("_p") == F.col("_q"))).withColumn("seq", (F.col("_before") + F.col("_k")).cast("long")).select(*entries.columns, *([] if "seq" in entries.columns else ["seq"]))
+    """As sequenced, for streams of any size: ranges of all entries in order, and counts of the ranges before."""
+    ranked = entries.withColumns({f"_o{i}": c for i, c in enumerate(entry_order())})
+    ranges = Ranges(ranked, ["stream_id"], ["_o0", "_o1", "_o2"], partitions).with_running("seq", "sum", F.lit(1).cast("long"))
+    return ranges.done().select(*entries.columns, *([] if "seq" in entries.columns else ["seq"]))
 
 
 def manifest_order(entries: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tidemark.operators import diff as D
 from tidemark.operators import gaps as G
 from tidemark.operators import lines as L
 from tidemark.operators import manifest as M
+from tidemark.operators.ranges import Ranges
 from tidemark.plans import transfer as T
 from tidemark.schemas import is_recoverable, with_names
 from tidemark.shared import settle
@@ -57,7 +58,7 @@ def manifest_ids(spark, sf_dir):
 @_query(f"{_SRC} select stream_id, file_id, seq from src")
 def manifest_sequence(spark, sf_dir):
     """Entries numbered in scan order, by a range sort, so that a stream may have any number of them."""
-    return M.sequenced_wide(V.src_entries(spark, sf_dir)).select("stream_id", "file_id", "seq")
+    return M.sequenced_wide(V.unsequenced(spark, sf_dir)).select("stream_id", "file_id", "seq")
 
 
 @_query(f"{_SRC} select stream_id, 1 as kind, count(*) as entries, sum(size)::bigint as bytes from src group by stream_id union all select stream_id, null, count(*), sum(size)::bigint from src group by stream_id union all select null, null, count(*), sum(size)::bigint from src")
@@ -263,8 +264,8 @@ select line_id, sent_tick, lost_tick from a where lost_tick is not null and (ack
 def lost_sends(spark, sf_dir):
     """Sends still open when their line disconnects; a line's next report acknowledges all."""
     ev = V.line_events(spark, sf_dir)
-    ahead = Window.partitionBy("line_id").orderBy(F.desc("order")).rowsBetween(Window.unboundedPreceding, -1)
-    sends = ev.withColumn("ack_tick", F.min(F.when(F.col("event") == "report", F.col("order"))).over(ahead)).filter("event = 'send'").select("line_id", F.col("order").alias("sent_tick"), "ack_tick")
+    reports = Ranges(ev, ["line_id"], ["order"]).with_running("ack_tick", "min", F.when(F.col("event") == "report", F.col("order")), before=True, back=True).done()
+    sends = reports.filter("event = 'send'").select("line_id", F.col("order").alias("sent_tick"), "ack_tick")
     return A.lost_sends(sends, ev.filter("event = 'disconnect'").select("line_id", F.col("order").alias("tick"))).select("line_id", "sent_tick", "lost_tick")
 
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.manifest import identified, sequenced
+from tidemark.operators.manifest import identified, sequenced_wide
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def src_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of documents: a stream for each language, names source/doc_id.txt. The checksum is MD5 here, as DuckDB has it too."""
+def unsequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of documents: a stream for each language, names source/doc_id.txt. The checksum is MD5 here, as DuckDB has it too."""
     docs = _table(spark, sf_dir, "documents")
     langs = Window.orderBy("lang")
     streams = docs.select("lang").distinct().withColumn("stream_id", (9000 + F.row_number().over(langs)).cast("long"))
@@ -23,13 +23,18 @@ def src_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length(text).cast("long").alias("size"),
         F.struct(F.lit(1).alias("algo"), F.lit(0).cast("long").alias("offset"), F.octet_length(text).cast("long").alias("len"), F.unhex(F.md5(text)).alias("value")).alias("checksum"),
     )
-    return sequenced(identified(rows))
+    return identified(rows)
+
+
+def src_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These entries as a manifest, with their sequence numbers."""
+    return sequenced_wide(unsequenced(spark, sf_dir))
 
 
 def dst_entries(src: DataFrame) -> DataFrame:
     """The receiver's manifest: the first stream equal, the second without its last fifth, the third so too with its last file halved, the fourth without its middle entry."""
-    n = Window.partitionBy("stream_id")
-    rows = src.withColumn("n", F.count("*").over(n)).withColumn("kept", F.floor(F.col("n") * 4 / 5))
+    counts = src.groupBy("stream_id").agg(F.count("*").alias("n"))
+    rows = src.join(counts, "stream_id").withColumn("kept", F.floor(F.col("n") * 4 / 5)).select(*src.columns, "n", "kept")
     which = (F.col("stream_id") - 9001) % 4
     middle = F.floor(F.col("n") / 2) + 1
     rows = rows.filter((which == 0) | (which.isin(1, 2) & (F.col("seq") <= F.col("kept"))) | ((which == 3) & (F.col("seq") != middle)))
