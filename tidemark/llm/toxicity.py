@@ -33,7 +33,7 @@ import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -176,28 +176,28 @@ def letters(texts: list[str | None]) -> Letters:
     return Letters(edged, starts + 2 * np.arange(len(starts)), sentences, text[sentences])
 
 
-def subsequences(some: Letters) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each choice of gaps: places where it stays in one word, their subsequences, the weight."""
+def subsequences(some: Letters, letters_: int = LETTERS) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each choice of gaps: places where it stays in one word, their subsequences of so many letters, the weight."""
     room = some.room()
     for offsets in _OFFSETS:
         at = np.flatnonzero(room > offsets[-1])
         key = np.zeros(len(at), np.int32)
         for o in offsets:
-            key = key * LETTERS + some.code[at + o]
+            key = key * letters_ + some.code[at + o]
         yield at, key, DECAY ** (offsets[-1] + 1)
 
 
-def weighed(some: Letters, table: np.ndarray) -> np.ndarray:
+def weighed(some: Letters, table: np.ndarray, letters_: int = LETTERS) -> np.ndarray:
     """The table's weights of the subsequences that start at each letter."""
     total = np.zeros(len(some.code), np.float32)
-    for at, key, weight in subsequences(some):
+    for at, key, weight in subsequences(some, letters_):
         total[at] += table[key] * np.float32(weight)
     return total
 
 
-def sentence_scores(some: Letters, table: np.ndarray) -> np.ndarray:
+def sentence_scores(some: Letters, table: np.ndarray, letters_: int = LETTERS) -> np.ndarray:
     """The inner product of the table and each sentence's features."""
-    return some.sums(weighed(some, table)) / some.norms()
+    return some.sums(weighed(some, table, letters_)) / some.norms()
 
 
 def features(some: Letters, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,10 +233,15 @@ class Model:
     shift: float
 
     @cached_property
-    def table(self) -> np.ndarray:
-        out = np.zeros(LETTERS**ORDER, np.float32)
-        out[self.keys] = self.weights
-        return out
+    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """A number for each letter, 0 for those in no subsequence that has a weight; the weights by these numbers; and their count."""
+        digits = self.keys[:, None] // LETTERS ** np.arange(ORDER)[::-1] % LETTERS
+        used = np.unique(digits)
+        rank = np.zeros(LETTERS, np.int32)
+        rank[used] = np.arange(1, len(used) + 1)
+        out = np.zeros((len(used) + 1) ** ORDER, np.float32)
+        out[rank[digits] @ (len(used) + 1) ** np.arange(ORDER)[::-1]] = self.weights
+        return rank, out, len(used) + 1
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "table"}  # each worker makes its own
@@ -246,7 +251,8 @@ class Model:
         worst = np.full(len(texts), self.bias)
         if len(some.owner):
             first = np.flatnonzero(np.diff(some.owner, prepend=-1))
-            worst[some.owner[first]] = np.maximum.reduceat(sentence_scores(some, self.table), first) + self.bias
+            rank, table, count = self.table
+            worst[some.owner[first]] = np.maximum.reduceat(sentence_scores(replace(some, code=rank[some.code]), table, count), first) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
@@ -399,7 +405,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1000, name: str
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled(docs, labels, per_class)))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
+        for part in sliced(batches, limit=1 << 19):
             yield part.append_column(name, pa.array(model.value.scores(part.column("text").to_pylist())))
 
     return docs.mapInArrow(score, StructType(list(docs.schema.fields)).add(name, DoubleType()))
