@@ -31,6 +31,19 @@ def test_column_combine_tail_and_verify(spark):
     assert (row.algo, row.offset, row.len, row.ok) == (1, 600, 100, True) and bytes(row.value) == C.crc_bytes(data[600:700])
 
 
+def test_shifted_checksums_of_parts_make_up_the_whole(spark):
+    data, rows, at = os.urandom(90_000), [], 0
+    for n in (0, 1, 2, 255, 256, 70_000, 0, 19_486):
+        rows.append((1, at, bytearray(data[at : at + n]), n))
+        at += n
+    df = spark.createDataFrame(rows, "f int, at long, p binary, len long").repartition(5)
+    parts = df.select("f", "len", C.crc_value(C.crc32c(F.col("p"))).alias("v"), (F.lit(at) - F.col("at") - F.col("len")).alias("after"))
+    got = C.crc32c_of_parts(parts, ["f"], F.col("v"), F.col("after")).first()
+    assert at == len(data) and bytes(got.checksum) == C.crc_bytes(data) and got.len == at
+    far = spark.range(1).select(C.shifted(F.lit(0x12345678), F.lit(1 << 40)).alias("v")).first().v
+    assert far == int(C._apply(C._zeros(40), np.array([0x12345678], np.uint32))[0])
+
+
 @pytest.mark.parametrize("checksum, ok", [((0, 0, 0, b""), True), ((0, 0, 3, b""), False), ((1, 0, 9, b"abcd"), False), ((1, 0, 5, b"abcd"), False)])
 def test_verify_rules(spark, checksum, ok):
     df = spark.createDataFrame([(bytearray(b"hello"), checksum)], "p binary, c struct<algo:int,offset:long,len:long,value:binary>")

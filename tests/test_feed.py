@@ -91,3 +91,18 @@ def test_a_directory_with_many_names_is_read_by_many_tasks(spark, tmp_path):
     listed = frontier.list_trees(roots, per_task=200)
     assert listed.rdd.getNumPartitions() == 15 and listed.count() == 3000
     assert tree.scan_tree(spark, str(tmp_path), 1, regex="n1.$").count() == 10
+
+
+def test_a_large_file_is_read_in_ranges(spark, tmp_path):
+    from tidemark.functions.checksums import crc_bytes
+
+    data = bytes((5 + 31 * i) % 251 for i in range(100_001))
+    (tmp_path / "big").write_bytes(data)
+    (tmp_path / "small").write_bytes(b"x")
+    (tmp_path / "empty").touch()
+    (tmp_path / "dir").mkdir()
+    entries = tree.scan_tree(spark, str(tmp_path), 1, checksum=False)
+    for most, tail in ((None, data), (70_000, data[-70_000:]), (10, data[-10:])):
+        got = {r.name: r.checksum for r in tree.with_checksums(entries, most, step=999).collect()}
+        assert bytes(got["big"].value) == crc_bytes(tail) and (got["big"].offset, got["big"].len) == (len(data) - len(tail), len(tail))
+        assert bytes(got["small"].value) == crc_bytes(b"x") and got["empty"].algo == got["dir"].algo == 0 and len(got) == 4

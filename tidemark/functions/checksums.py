@@ -6,13 +6,15 @@ lanes advance together in numpy, and lanes are put together as parts are (``comb
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import Ranges
+
 _POLY = 0x82F63B78
 LANE = 256
 TAIL = 4 << 20
@@ -114,24 +116,46 @@ def _combine_group(checksum: pd.Series, length: pd.Series, at: pd.Series) -> byt
     return _combined(checksum.iloc[order], length.iloc[order])[0]
 
 
+@lru_cache(1)
+def _shifts() -> str:
+    """For each power of two zero bytes, each of a checksum's eight nibbles and each of its values: the effect on the register; as text, which Spark turns into one constant."""
+    nibbles = np.arange(16, dtype=np.uint32)
+    return ",".join(str(v) for k in range(48) for at in range(8) for v in _apply(_zeros(k), nibbles << np.uint32(4 * at)).tolist())
+
+
+def shifted(value: Column, zeros: Column) -> Column:
+    """What a part's checksum (a number) amounts to in the whole's, if ``zeros`` bytes follow it. The whole's checksum is the exclusive or of
+    these over all its parts, in any order: an aggregate that Spark sums before it shuffles."""
+    table = F.split(F.lit(_shifts()), ",").cast("array<bigint>")
+    bits = F.when(zeros > 0, F.sequence(F.lit(0), F.length(F.bin(zeros)) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(register: Column, k: Column) -> Column:
+        images = [F.get(table, (k * 8 + at) * 16 + F.shiftright(register, 4 * at).bitwiseAND(F.lit(15)).cast("int")) for at in range(8)]
+        return F.when(F.getbit(zeros, k) == 1, reduce(lambda a, b: a.bitwiseXOR(b), images)).otherwise(register)
+
+    return F.aggregate(bits, value.cast("long"), step)
+
+
+def value_bytes(value: Column) -> Column:
+    """An unsigned number of 32 bits as four little-endian bytes."""
+    text = F.lpad(F.hex(value), 8, "0")
+    return F.unhex(F.concat(*[F.substring(text, at, 2) for at in (7, 5, 3, 1)]))
+
+
 def crc32c_combine(parts: DataFrame, keys: list[str], order: str, crc_col: str = "checksum", len_col: str = "len") -> DataFrame:
     """keys, checksum, len: the checksum of each group's parts in order, from their checksums and lengths.
 
-    As combining is associative, ranges of 1,024 parts combine first, then ranges of ranges: no task
-    holds more parts of one file than that, however long the file.
+    The bytes after each part are running sums over ranges, so a file of very many parts is many tasks'.
     """
+    rows = parts.select(*keys, F.col(order).alias("_at"), crc_value(F.col(crc_col)).alias("_crc"), F.col(len_col).cast("long").alias("len"))
+    after = Ranges(rows, keys, ["_at"]).with_running("_after", "sum", F.col("len"), before=True, back=True).done()
+    return crc32c_of_parts(after, keys, F.col("_crc"), F.coalesce("_after", F.lit(0).cast("long")))
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        total, n = _combined(pdf["checksum"], pdf["len"])
-        return pdf[[*keys, "_part"]].head(1).assign(checksum=[total], len=[n])
-
-    rows = parts.select(*keys, F.col(order).cast("long").alias("_at"), F.col(crc_col).alias("checksum"), F.col(len_col).cast("long").alias("len"))
-    kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in keys)
-    for shift in (1 << 10, 1 << 20, 1 << 40):
-        rows = rows.withColumn("_part", F.floor(F.col("_at") / shift)).groupBy(*keys, "_part").applyInPandas(fold, f"{kinds}, _part long, checksum binary, len long")
-        rows = rows.withColumn("_at", F.col("_part") * shift).drop("_part")
-    return rows.drop("_at")
+def crc32c_of_parts(parts: DataFrame, keys: list[str], value: Column, after: Column) -> DataFrame:
+    """keys, checksum, len of the parts (len) of each group, of which the checksum's value and the bytes after them are known."""
+    out = parts.groupBy(*keys).agg(F.bit_xor(shifted(value, after)).alias("_value"), F.sum("len").alias("len"))
+    return out.select(*keys, value_bytes(F.col("_value")).alias("checksum"), "len")
 
 
 def checksum_eq(a, b) -> Column:

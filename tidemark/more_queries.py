@@ -13,7 +13,7 @@ from tidemark.operators import acks as A
 from tidemark.operators import diff as D
 from tidemark.operators import manifest as M
 from tidemark.operators.ranges import Ranges
-from tidemark.queries import _BOTH, _PLAN, _SRC, _diff, _query, content_checksums_utf8
+from tidemark.queries import _BOTH, _CRC, _HEX, _PLAN, _SRC, _TABLE, _diff, _query, content_checksums_utf8
 from tidemark.shared import settle, shared_folder
 
 
@@ -198,9 +198,6 @@ def timed_reports(spark, sf_dir):
     return A.coupled_ack_batches(_line_reports(spark, sf_dir), interval=7).select("line_id", "stream_id", "batch", "arrival", "next_seq", "received")
 
 
-_HEX = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)"
-_TABLE = "t(i, c, k) as (select i, i::bigint, 0 from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 2197175160) else c >> 1 end, k + 1 from t where k < 8), tab as (select list(c order by i) as l from t where k = 8)"
-_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {}), lambda a, x: xor(l[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)::bigint"
 UTF8_SQL = f"with recursive {_TABLE}, b as (select item_id, {_HEX.format('''coalesce(text, '')''')} as bytes from benchmark) select item_id, {_CRC.format('bytes')} as crc32c from b, tab"
 
 _query(UTF8_SQL)(content_checksums_utf8)

@@ -326,13 +326,17 @@ def mount_paths(spark, sf_dir):
     return p.select("page_id", N.mounted_root(F.lit("/mnt"), "path").alias("root"))
 
 
-@_query("""with recursive t(i, c, k) as (select i, i::bigint, 0 from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 2197175160) else c >> 1 end, k + 1 from t where k < 8), tab as (select list(c order by i) as l from t where k = 8),
-b as (select item_id, text, list_transform(range(1, length(coalesce(text, '')) + 1), lambda i: ascii(text[i])::bigint) as bytes from benchmark)
-select item_id, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, x: xor(l[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)::bigint as crc32c from b, tab where strlen(text) = length(text)""")
+_TABLE = "t(i, c, k) as (select i, i::bigint, 0 from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 2197175160) else c >> 1 end, k + 1 from t where k < 8), tab as (select list(c order by i) as l from t where k = 8)"
+_HEX = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {}), lambda a, x: xor(l[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)::bigint"
+_TEXT = "coalesce(text, '')"
+
+
+@_query(f"with recursive {_TABLE}, b as (select conv_id, turn, {_HEX.format(_TEXT)} as bytes from conversations) select conv_id, turn, {_CRC.format('bytes')} as crc32c from b, tab")
 def content_checksums(spark, sf_dir):
-    """CRC32C of benchmark texts in ASCII, as its SQL has it; content_checksums_utf8 has all."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(F.octet_length("text") == F.length("text"))
-    return b.select("item_id", C.crc_value(C.crc32c(F.encode("text", "utf-8"))).alias("crc32c"))
+    """CRC32C of the UTF-8 bytes of every turn, null as empty."""
+    b = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return b.select("conv_id", "turn", C.crc_value(C.crc32c(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("crc32c"))
 
 
 def content_checksums_utf8(spark, sf_dir):
@@ -341,29 +345,27 @@ def content_checksums_utf8(spark, sf_dir):
     return b.select("item_id", C.crc_value(C.crc32c(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("crc32c"))
 
 
-@_query("""select source, count(*) as parts, sum(strlen(coalesce(text, '')))::bigint as len, true as combined_equals_whole from documents group by source""")
+@_query(f"with recursive {_TABLE}, b as (select source, count(*) as parts, string_agg({_TEXT}, '' order by doc_id) as whole from documents group by source), h as (select source, parts, strlen(whole)::bigint as len, {_HEX.format('whole')} as bytes from b) select source, parts, len, {_CRC.format('bytes')} as crc32c from h, tab")
 def file_checksums(spark, sf_dir):
-    """CRC32C of each source's documents, one after another, from the documents' own; two ways of cutting them give the same."""
+    """CRC32C of each source's documents, one after another, from checksums of the halves of each."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("payload"))
-    whole = rows.select("source", F.col("doc_id").alias("at"), C.crc32c(F.col("payload")).alias("checksum"), F.octet_length("payload").alias("len"))
     half = F.floor(F.octet_length("payload") / 2).cast("int")
     cut = rows.select("source", "doc_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.substring("payload", F.lit(1), half).alias("b")), F.struct(F.lit(1).alias("k"), F.substring("payload", half + 1, F.octet_length("payload")).alias("b")))).alias("s"))
     cut = cut.select("source", (F.col("doc_id") * 2 + F.col("s.k")).alias("at"), C.crc32c(F.col("s.b")).alias("checksum"), F.octet_length("s.b").alias("len"))
-    a = C.crc32c_combine(whole, ["source"], "at")
-    b = C.crc32c_combine(cut, ["source"], "at").select("source", F.col("checksum").alias("other"), F.col("len").alias("other_len"))
-    n = whole.groupBy("source").agg(F.count("*").alias("parts"))
-    return a.join(b, "source").join(n, "source").select("source", "parts", "len", ((F.col("checksum") == F.col("other")) & (F.col("len") == F.col("other_len"))).alias("combined_equals_whole"))
+    n = rows.groupBy("source").agg(F.count("*").alias("parts"))
+    return C.crc32c_combine(cut, ["source"], "at").join(n, "source").select("source", "parts", "len", C.crc_value(F.col("checksum")).alias("crc32c"))
 
 
-@_query(f"select doc_id, md5(coalesce(text, '')) as md5, (strlen(coalesce(text, '')) + {SIZE - 1}) // {SIZE} as chunks, true as verified from documents where strlen(text) > 0")
+@_query(f"select doc_id, md5({_TEXT}) as md5, (strlen({_TEXT}) + {SIZE - 1}) // {SIZE} as chunks, (strlen({_TEXT}) + {SIZE - 1}) // {SIZE} as verified from documents")
 def chunk_roundtrip(spark, sf_dir):
-    """Documents cut into checksummed chunks, shuffled, and put together again."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.octet_length("text") > 0).select(F.lit(1).cast("long").alias("stream_id"), F.lit(1).cast("long").alias("seq"), F.col("doc_id").alias("file_id"), F.encode("text", "utf-8").alias("payload"))
-    chunks = T.chunk_payloads(rows, SIZE)
-    ok = chunks.withColumn("ok", C.crc32c(F.col("payload")) == F.col("checksum"))
-    parts = F.array_sort(F.collect_list(F.struct("chunk_index", F.hex("payload").alias("hex"), "ok")))
-    whole = ok.groupBy("file_id").agg(parts.alias("p"))
-    return whole.select(F.col("file_id").alias("doc_id"), F.md5(F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), ""))).alias("md5"), F.size("p").cast("long").alias("chunks"), F.forall("p", lambda x: x["ok"]).alias("verified"))
+    """Documents cut into checksummed chunks, shuffled, and put together again; an empty one has no chunks. verified counts the chunks whose payload has their checksum."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit(1).cast("long").alias("stream_id"), F.lit(1).cast("long").alias("seq"), F.col("doc_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("payload"))
+    chunks = settle(T.chunk_payloads(rows, SIZE))
+    checked = chunks.select("file_id", (C.crc32c(F.col("payload")) == F.col("checksum")).alias("ok"))
+    counts = checked.groupBy("file_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("ok")).alias("verified"))
+    whole = T.assemble(chunks).select("file_id", F.md5("payload").alias("md5")).join(counts, "file_id")
+    found, zero = rows.select("file_id").join(whole, "file_id", "left"), F.lit(0).cast("long")
+    return found.select(F.col("file_id").alias("doc_id"), F.coalesce("md5", F.md5(F.lit(b""))).alias("md5"), F.coalesce("chunks", zero).alias("chunks"), F.coalesce("verified", zero).alias("verified"))
 
 
 @_query()

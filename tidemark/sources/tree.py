@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tidemark.functions.checksums import TAIL, crc_bytes
+from tidemark.functions.checksums import TAIL, crc32c_of_parts, crc_bytes
 from tidemark.operators.manifest import filter_names, identified, sequenced_wide
 from tidemark.sources.feed import TEMP
 from tidemark.sources.frontier import list_trees
@@ -111,42 +111,44 @@ def scan_roots(spark: SparkSession, roots: list[tuple[int, str]], base: str | No
     return _scanned(spark, sorted(once.items()), **how)
 
 
-def with_checksums(entries: DataFrame, max_len: int | None = TAIL) -> DataFrame:
-    """entries (root, name, kind, size) with the checksum of each file's last max_len bytes (None: whole), in chunks of bounded size; algorithm 0 when empty."""
-    columns = entries.columns
+def with_checksums(entries: DataFrame, max_len: int | None = TAIL, step: int = 8 << 20) -> DataFrame:
+    """entries (root, name, kind, size) with the checksum of each file's last max_len bytes (None: whole); algorithm 0 when empty.
+
+    Files are read in ranges of ``step`` bytes, dealt out evenly, whose checksums combine: a large file is many tasks'.
+    """
+    files = entries.filter("kind = 1 and size > 0").select("root", "name", "size").distinct()
+    first = F.greatest(F.col("size") - max_len, F.lit(0)).cast("long") if max_len else F.lit(0).cast("long")
+    ranges = files.withColumn("offset", F.explode(F.sequence(first, F.col("size") - 1, F.lit(step).cast("long"))))
+    ranges = ranges.withColumn("len", F.least(F.lit(step), F.col("size") - F.col("offset")).cast("long"))
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("algo", pa.int32()), ("offset", pa.int64()), ("len", pa.int64()), ("value", pa.binary())])
         for batch in batches:
-            out = []
-            for root, name, k, size in zip(*(batch.column(c).to_pylist() for c in ("root", "name", "kind", "size")), strict=True):
-                n = min(size, max_len or size) if k == 1 else 0
-                value = b""
-                if n:
-                    with open(os.path.join(root, name), "rb") as f:
-                        f.seek(size - n)
-                        value = _file_crc(f, n)
-                out.append({"algo": 1 if n else 0, "offset": size - n if n else 0, "len": n, "value": value})
-            yield batch.append_column("checksum", pa.array(out, kind)) if batch.num_rows else batch.append_column("checksum", pa.array([], kind))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in entries.dtypes) + ", checksum struct<algo:int,offset:bigint,len:bigint,value:binary>"
-    return entries.select(*columns).mapInArrow(add, schema)
-
-
-def _file_crc(f, n: int, step: int = 4 << 20) -> bytes:
-    import numpy as np
-
-    from tidemark.functions.checksums import combine
-
-    total = np.zeros(1, np.uint32)
-    while n:
-        block = f.read(min(step, n))
+            found = []
+            for root, name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("root", "name", "offset", "len")), strict=True):
+                with open(os.path.join(root, name), "rb") as f:
+                    f.seek(offset)
+                    found.append(int.from_bytes(_read_crc(f, length), "little"))
+            yield batch.append_column("value", pa.array(found, pa.int64()))
+
+    schema = "root string, name string, size bigint, offset bigint, len bigint, value bigint"
+    read = ranges.repartition(n, "root", "name", "offset").mapInArrow(add, schema)
+    whole = crc32c_of_parts(read, ["root", "name", "size"], F.col("value"), F.col("size") - F.col("offset") - F.col("len"))
+    whole = whole.select(F.col("root").alias("_root"), F.col("name").alias("_name"), F.col("checksum").alias("_value"), F.col("len").alias("_len"), F.col("size").alias("_size"))
+    joined = entries.join(whole, (F.col("root") == F.col("_root")) & (F.col("name") == F.col("_name")) & (F.col("size") == F.col("_size")) & (F.col("kind") == 1), "left")
+    there, zero = F.col("_value").isNotNull(), F.lit(0).cast("long")
+    checksum = F.struct(F.when(there, 1).otherwise(0).alias("algo"), F.when(there, F.col("size") - F.col("_len")).otherwise(zero).alias("offset"), F.when(there, F.col("_len")).otherwise(zero).alias("len"), F.coalesce("_value", F.lit(b"")).alias("value"))
+    return joined.withColumn("checksum", checksum).select(*[c for c in entries.columns if c != "checksum"], "checksum")
+
+
+def _read_crc(f, n: int, step: int = 1 << 20) -> bytes:
+    total, done = b"\0\0\0\0", 0
+    while done < n:
+        block = f.read(min(step, n - done))
         if not block:
             raise OSError("a file ended before its size")
-        part = np.array([int.from_bytes(crc_bytes(block), "little")], np.uint32)
-        total = combine(total, part, np.array([len(block)]))
-        n -= len(block)
-    return int(total[0]).to_bytes(4, "little")
+        total, done = _joined(total, crc_bytes(block), len(block)), done + len(block)
+    return total
 
 
 def read_ranges(ranges: DataFrame) -> DataFrame:
