@@ -65,16 +65,20 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that one slice holds about ``limit`` bytes of ``column``, at least one row."""
+    """Cuts record batches so that one slice holds about ``limit`` bytes of ``column``, at least one row. Between batches, Arrow gives
+    back what memory it keeps for later: workers live on from stage to stage."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        pa.default_memory_pool().release_unused()
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = np.cumsum(sizes) // limit
         edges = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(text: str | None) -> list[bytes]:
