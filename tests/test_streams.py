@@ -201,3 +201,52 @@ def test_capture_with_bad_frames(spark, tmp_path):
     rows = messages.orderBy("arrival").collect()
     assert [r.msg_type for r in rows] == [3, 8, 5, 2, 9, 6] and rows[1].payload == b"xy" and rows[2].missing_ranges[0].last == 4 and rows[3].streams[0].entries[0].name == "n" and rows[5].reason == 4
     assert quarantine.filter("path like '%a.cap'").count() == 5 and quarantine.filter("path like '%b.cap'").count() >= 1
+
+
+def _capture(r, n, largest):
+    """Frames of chunks, among them bad bodies and payloads that hold what looks like headers."""
+    q = lambda *v: struct.pack("<" + "q" * len(v), *v)
+    head = lambda kind, n_, magic=capture.MAGIC: struct.pack("<IBBHI", magic, 1, kind, 12, n_)
+    out = []
+    for k in range(n):
+        payload = r.randbytes(r.randrange(largest)) + head(9, r.randrange(2 * largest)) * r.randrange(3) + r.randbytes(r.randrange(20))
+        body = q(1, 2, k, 0, 0) + struct.pack("<II", len(payload), len(payload)) + b"\0\1" + struct.pack("<I", 4) + b"abcd" + struct.pack("<I", len(payload)) + payload
+        out.append(head(8, len(body), r.choice([capture.MAGIC] * 9 + [5])) + body[: len(body)])
+    return b"".join(out)
+
+
+def test_ranges_of_a_capture_begin_where_a_serial_parse_does():
+    import random
+
+    r = random.Random(8)
+    whole = _capture(r, 60, 300)
+    broken = bytearray(whole)
+    broken[len(whole) // 2 : len(whole) // 2 + 40] = r.randbytes(40)
+    for data in (whole, bytes(broken), whole[:-5], whole + b"\1" * 30, r.randbytes(3000), b"", b"x"):
+        want = list(capture.frames(data))
+        for step in (64, 500, 4096):
+            leads = dict(p for start in range(0, len(data), step) for p in capture.exits(data[start : start + step + capture.HEADER], start, step, len(data)))
+            got, at = [], 0 if data else None
+            while at is not None:
+                start = at - at % step
+                got += list(capture.frames(data[at:], at, start + step, at, len(data)))
+                at = leads.get(at)
+            assert got == want, step
+
+
+def test_a_large_capture_is_parsed_in_ranges(spark, tmp_path):
+    import random
+
+    r = random.Random(9)
+    data = _capture(r, 60, 200_000)
+    broken = data[: 4 << 20] + r.randbytes(4000) + data[(4 << 20) + 4000 :]
+    (tmp_path / "a.cap").write_bytes(data)
+    (tmp_path / "b.cap").write_bytes(broken)
+    (tmp_path / "c.cap").write_bytes(b"")
+    messages, quarantine = capture.read_capture(spark, f"{tmp_path}/*.cap", step=1 << 20)
+    for name, raw in (("a", data), ("b", broken)):
+        want = list(capture.frames(raw))
+        got = {x.arrival: x.file_id for x in messages.filter(f"path like '%{name}.cap'").select("arrival", "file_id").collect()}
+        assert got == {k: m["file_id"] for k, (_, m, _) in enumerate(want) if m}
+        bad = {(x.arrival, x.at, x.error) for x in quarantine.filter(f"path like '%{name}.cap'").collect()}
+        assert bad == {(k, at, e) for k, (at, _, e) in enumerate(want) if e} and bad

@@ -8,9 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import Ranges
+from tidemark.operators.ranges import Ranges, chain
 from tidemark.schemas import MSG_TYPES, REASONS
-from tidemark.shared import settle
 
 SEND_KEY = ["stream_id", "file_id", "seq", "kind", "offset", "chunk_index"]
 CREATE, DATA, BEGIN, CHUNK, COMMIT = (MSG_TYPES[k] for k in ("CREATE", "DATA", "FILE_BEGIN", "CHUNK", "FILE_COMMIT"))
@@ -172,25 +171,12 @@ def _numbered(rows: DataFrame, keys: list[str], limit: int, interval: int | None
     following = Ranges(ends, keys, ["_at"]).with_running("to", "min", F.col("_end"), back=True).done()
     # A batch starts after place 0 or after a flush; to is where it ends.
     jumps = following.filter("to is not null").select(*keys, (F.col("_at") - 1).alias("node"), "to").groupBy(*keys, "node").agg(F.min("to").alias("to"))
-    flushes = _chain(settle(jumps), keys)
+    flushes = chain(jumps, keys)
     marked = ranges.rows.join(flushes.withColumn("_hit", F.lit(1).cast("long")), [*keys, "_at"], "left")
     ranges.rows = marked
     return ranges.with_running("batch", "sum", F.coalesce("_hit", F.lit(0)), before=True).done().withColumn("batch", F.coalesce("batch", F.lit(0).cast("long")))
 
 
-def _chain(jumps: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, _at: the nodes that each key's chain of jumps (keys, node, to) visits from node 0 on. Every round doubles the part of the chain that is known and the
-    length of the jumps, so rounds grow with the log of the longest chain."""
-    reached = jumps.filter("node = 0").select(*keys, F.col("to").alias("_at"))
-    while True:
-        more = settle(reached.join(jumps.withColumnRenamed("node", "_at"), [*keys, "_at"]).select(*keys, F.col("to").alias("_at")))
-        if more.isEmpty():
-            return reached
-        reached = reached.union(more)
-        second = jumps.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
-        jumps = settle(jumps.join(second, [*keys, "to"]).select(*keys, "node", F.col("far").alias("to")))
-
-
 def coupled_ack_batches(acks: DataFrame, batch: int = 20, interval: int | None = None) -> DataFrame:
     """ack_batches for lines with several streams."""
     return ack_batches(acks, batch, coupled=True, interval=interval)

@@ -5,11 +5,16 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.operators.ranges import chain
 from tidemark.schemas import MESSAGES
+from tidemark.shared import settle, written
 
 # The frame header.
 MAGIC, VERSION, HEADER, MOST = 0x59495359, 1, 12, 1 << 20
@@ -86,52 +91,123 @@ def decode(kind: int, body: bytes) -> dict:
     return out
 
 
-def frames(data: bytes) -> Iterator[tuple[int, dict | None, str | None]]:
-    """(offset, message, error) of each frame. A body that fails is one bad frame; a header that fails ends the capture, as what follows can't be told."""
-    at = 0
-    while at < len(data):
+def frame_size(head: bytes, left: int) -> int:
+    """Bytes of the frame that starts with ``head``, of ``left`` bytes to the capture's end. EOFError where that can't be told, and so nothing after it."""
+    if left < HEADER:
+        raise EOFError(f"{left} bytes are left, a header has {HEADER}")
+    header, n = struct.unpack_from("<HI", head, 6)
+    if header != HEADER:
+        raise EOFError(f"a header of {header} bytes, expected {HEADER}")
+    if header + n > MOST:
+        raise EOFError(f"a frame of {header + n} bytes, at most {MOST} are allowed")
+    if header + n > left:
+        raise EOFError(f"a body of {n} bytes, {left - header} are left")
+    return header + n
+
+
+def frames(data: bytes, at: int = 0, upto: int | None = None, base: int = 0, size: int | None = None) -> Iterator[tuple[int, dict | None, str | None]]:
+    """(offset, message, error) of each frame that starts in [at, upto). A body that fails is one bad frame; a header that fails ends the capture, as what
+    follows can't be told. ``data`` are the bytes from ``base`` on of a capture of ``size``, and hold the last of these frames whole."""
+    size = len(data) if size is None else size
+    while at < (size if upto is None else min(upto, size)):
+        head = data[at - base : at - base + HEADER]
         try:
-            if len(data) - at < HEADER:
-                raise EOFError(f"{len(data) - at} bytes are left, a header has {HEADER}")
-            magic, version, kind, header, n = struct.unpack_from("<IBBHI", data, at)
-            if header != HEADER:
-                raise EOFError(f"a header of {header} bytes, expected {HEADER}")
-            if header + n > MOST:
-                raise EOFError(f"a frame of {header + n} bytes, at most {MOST} are allowed")
-            if at + header + n > len(data):
-                raise EOFError(f"a body of {n} bytes, {len(data) - at - header} are left")
+            n = frame_size(head, size - at)
         except EOFError as e:
             yield at, None, str(e)
             return
-        body = data[at + header : at + header + n]
         try:
+            magic, version, kind = struct.unpack_from("<IBB", head)
             if magic != MAGIC:
                 raise ValueError(f"a frame starts with {magic:#x}, expected {MAGIC:#x}")
             if version != VERSION:
                 raise ValueError(f"frame version {version}, expected {VERSION}")
-            yield at, decode(kind, body), None
+            yield at, decode(kind, data[at - base + HEADER : at - base + n]), None
         except ValueError as e:
             yield at, None, str(e)
-        at += header + n
-
-
-def read_capture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(messages, quarantine) of capture files; one file is one partition, frames are numbered in it."""
+        at += n
+
+
+def exits(data: bytes, start: int, step: int, size: int) -> Iterator[tuple[int, int]]:
+    """(entry, exit) of the range of ``step`` bytes at ``start``: where the frames lead that would start at each place at which an earlier range's frames can end.
+
+    ``data`` are the range's bytes and a header's more. A place is followed to the first frame beyond the range; places
+    that lead to no frame, or to the capture's end, are left out.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    n = min(step, size - start)
+    m = max(0, min(n, len(raw) - HEADER + 1))  # places with a whole header
+    high = MOST >> 16  # the length's two upper bytes are this at most
+    places = np.flatnonzero((raw[6 : 6 + m] == HEADER) & (raw[7 : 7 + m] == 0) & (raw[10 : 10 + m] <= high) & (raw[11 : 11 + m] == 0))
+    sizes = HEADER + sum(raw[places + 8 + k].astype(np.int64) << (8 * k) for k in range(4))
+    fits = (sizes <= MOST) & (places + sizes <= size - start)
+    places, after = places[fits], (places + sizes)[fits].tolist()
+    leads: dict[int, int] = {}
+    for at, to in zip(reversed(places.tolist()), reversed(after), strict=True):
+        out = to if to >= n else leads.get(to, -1)
+        if out >= 0:
+            leads[at] = out
+    for at, to in leads.items():
+        if (at == 0 if start == 0 else at < MOST) and start + to < size:
+            yield start + at, start + to
+
+
+class _Files:
+    """Bytes of files by their URI, the last one kept open."""
+
+    def __init__(self):
+        self.uri, self.file = None, None
+
+    def read(self, uri: str, offset: int, n: int) -> bytes:
+        if uri != self.uri:
+            system, path = fs.FileSystem.from_uri(uri)
+            self.uri, self.file = uri, system.open_input_file(path)
+        return self.file.read_at(n, offset)
+
+
+def read_capture(spark: SparkSession, path: str, step: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """(messages, quarantine) of capture files, frames numbered in each, as a parse from its first byte on gives them.
+
+    A capture is read in ranges of ``step`` bytes (a frame's limit at least). As nothing marks a frame's start, a first pass finds, for every place of a range at which a frame
+    may start, the place in a later range to which the chain of lengths leads from there; the chain from the first byte on, followed by doubling,
+    says where each range really begins, and a second pass decodes it.
+    """
+    if step < MOST:
+        raise ValueError(f"a range has {MOST} bytes at least")
     wanted = spark.createDataFrame([], MESSAGES)
     names = [f.name for f in wanted.schema.fields if f.name not in ("arrival", "line_id")]
-    schema = f"path string, arrival bigint, at bigint, error string, {MESSAGES.split(', ', 2)[2]}"
-    kinds = spark.createDataFrame([], schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = f"path string, start bigint, k bigint, at bigint, error string, {MESSAGES.split(', ', 2)[2]}"
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    rows_of = lambda batch: batch.to_pylist()  # noqa: E731  a few numbers for each range
 
-    arrow = to_arrow_schema(kinds.schema)
+    def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files()
+        for row in (r for batch in batches for r in rows_of(batch)):
+            found = list(exits(files.read(row["path"], row["start"], step + HEADER), row["start"], step, row["length"]))
+            yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(found), pa.string()), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=["path", "node", "to"])
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [{"path": path, "arrival": i, "at": at, "error": error, **(m or {})} for i, (at, m, error) in enumerate(frames(content))]
-                for a in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_pylist(rows[a : a + 1000], schema=arrow)
-
-    parsed = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, schema)
-    messages = parsed.filter("error is null").select("path", "arrival", *names)
-    return messages, parsed.filter("error is not null").select("path", "arrival", "at", "error")
+        files = _Files()
+        for row in (r for batch in batches for r in rows_of(batch)):
+            upto = row["start"] + step
+            data = files.read(row["path"], row["at"], upto + MOST - row["at"])
+            held, size = [], 0
+            for k, (at, message, error) in enumerate(frames(data, row["at"], upto, row["at"], row["length"])):
+                held.append({"path": row["path"], "start": row["start"], "k": k, "at": at, "error": error, **(message or {})})
+                size += len((message or {}).get("payload") or b"") + 1000
+                if size > 16 << 20:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = settle(spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0"))
+    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))))
+    jumps = ranges.repartition(n, "path", "start").mapInArrow(follow, "path string, node bigint, to bigint")
+    entries = chain(jumps, ["path"]).withColumnRenamed("_at", "at").union(files.select("path", F.lit(0).cast("long")))
+    entries = entries.join(files, "path").withColumn("start", F.col("at") - F.col("at") % step)
+    parsed = written(entries.repartition(n, "path", "start").mapInArrow(parse, schema), "capture")
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = parsed.groupBy("path", "start").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = parsed.join(counts, ["path", "start"]).withColumn("arrival", F.col("before") + F.col("k"))
+    return numbered.filter("error is null").select("path", "arrival", *names), numbered.filter("error is not null").select("path", "arrival", "at", "error")
