@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksums import crc, crc_bytes
 from tidemark.operators.diff import manifest_diff
 from tidemark.schemas import MSG_TYPES, REASONS
-from tidemark.sources import capture, tree
+from tidemark.sources import capture, sink, tree
 from tidemark.streaming import apply as AP
 from tidemark.streaming import flows as FL
 
@@ -123,32 +123,32 @@ def test_tree_copy_until_in_sync(spark, tmp_path):
     assert scan.filter("name = '.dot'").first().checksum.algo == 0
     diff = lambda: manifest_diff(scan, tree.scan_tree(spark, str(dst), 1)).first().outcome
     assert diff() == "CREATE" and tree.scan_tree(spark, str(tmp_path / "none"), 1).count() == 0
-    tree.make_entries(scan.withColumn("root", F.lit(str(dst))))
+    sink.make_entries(scan.withColumn("root", F.lit(str(dst))))
     files = scan.filter("kind = 1")
     full = tree.with_checksums(files.select("root", "name", "kind", "size", "file_id"), None)
     ranges = full.withColumn("offset", F.explode(F.expr("sequence(0L, greatest(size - 1, 0L), 65536L)"))).withColumn("len", F.least(F.lit(65536), F.col("size") - F.col("offset")))
     chunks = tree.read_ranges(ranges).withColumn("file_checksum", F.when(F.col("size") > 0, F.col("checksum.value")))
-    tree.write_files(spark, chunks.repartition(3), str(dst))
+    sink.write_files(spark, chunks.repartition(3), str(dst))
     assert diff() == "IN_SYNC" and (dst / "big.bin").read_bytes() == (src / "big.bin").read_bytes() and os.readlink(dst / "sub" / "link") == "small.txt"
     with pytest.raises(Exception, match="FILE_EXISTS"):
-        tree.write_files(spark, chunks, str(dst))
+        sink.write_files(spark, chunks, str(dst))
     with open(src / "big.bin", "ab") as f:
         f.write(b"more")
     scan = tree.scan_tree(spark, str(src), 1)
     seg = spark.createDataFrame([(str(dst), "big.bin", 150 * 1024, bytearray(b"more"))], "root string, name string, offset long, payload binary")
     assert diff() == "RESUME"
-    tree.append_segments(seg)
+    sink.append_segments(seg)
     assert diff() == "IN_SYNC"
-    tree.append_segments(seg)  # again, as by a task that was lost: nothing is written twice
+    sink.append_segments(seg)  # again, as by a task that was lost: nothing is written twice
     assert diff() == "IN_SYNC"
     for other in (seg.withColumn("payload", F.lit(b"else")), seg.withColumn("offset", F.col("offset") + 9)):
         with pytest.raises(Exception, match="BAD_OFFSET"):
-            tree.append_segments(other)
+            sink.append_segments(other)
     with open(dst / "big.bin", "r+b") as f:
         f.truncate(150 * 1024 + 2)  # half of the segment is there
-    tree.append_segments(seg)
+    sink.append_segments(seg)
     assert diff() == "IN_SYNC"
-    tree.make_entries(scan.filter("kind = 3").withColumn("root", F.lit(str(dst))))
+    sink.make_entries(scan.filter("kind = 3").withColumn("root", F.lit(str(dst))))
     two = tree.scan_roots(spark, [(2, str(src / "sub")), (2, str(dst))], regex="txt$")
     assert {(r.stream_id, r.name) for r in two.collect()} == {(2, "small.txt"), (2, "empty")}
 
@@ -160,12 +160,12 @@ def test_sinks_stay_below_their_root(spark, tmp_path):
     chunk = lambda name: spark.createDataFrame([(1, name, 2, None, 0, bytearray(b"ab"))], "file_id long, name string, size long, file_checksum binary, offset long, payload binary")
     for name in ("../escaped.txt", "/escaped.txt", "a/../../escaped.txt", "", "out/escaped.txt", "./x", "a/"):
         with pytest.raises(Exception, match="UNSAFE_NAME"):
-            tree.write_files(spark, chunk(name), str(root))
+            sink.write_files(spark, chunk(name), str(root))
         with pytest.raises(Exception, match="UNSAFE_NAME"):
-            tree.append_segments(chunk(name).withColumn("root", F.lit(str(root))))
+            sink.append_segments(chunk(name).withColumn("root", F.lit(str(root))))
         for kind in (2, 3):
             with pytest.raises(Exception, match="UNSAFE_NAME"):
-                tree.make_entries(chunk(name).select(F.lit(str(root)).alias("root"), "name", F.lit(kind).alias("kind"), F.lit("x").alias("link_target")))
+                sink.make_entries(chunk(name).select(F.lit(str(root)).alias("root"), "name", F.lit(kind).alias("kind"), F.lit("x").alias("link_target")))
     assert sorted(os.listdir(tmp_path)) == ["root"] and not set(os.listdir(root)) - {"out", tree.TEMP}
 
 
@@ -175,9 +175,9 @@ def test_a_file_with_missing_or_wrong_chunks_is_not_committed(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "file_id long, name string, size long, file_checksum binary, offset long, payload binary")
     for bad in (rows[:2], rows[1:], [*rows, rows[1]], [(*rows[0][:5], bytearray(100)), *rows[1:]]):
         with pytest.raises(Exception, match="CHECKSUM_MISMATCH"):
-            tree.write_files(spark, make(bad), str(tmp_path))
+            sink.write_files(spark, make(bad), str(tmp_path))
         assert not (tmp_path / "a").exists()
-    tree.write_files(spark, make(rows), str(tmp_path))
+    sink.write_files(spark, make(rows), str(tmp_path))
     assert (tmp_path / "a" / "whole").read_bytes() == data
 
 

@@ -187,10 +187,10 @@ def verify(payload, checksum) -> Column:
 
 def register_all(spark: SparkSession) -> None:
     """SQL functions crc32c(binary) and the aggregate crc32c_combine(checksum, len, order), the tree source and sink, and the change feed."""
-    from tidemark.sources import feed, tree
+    from tidemark.sources import feed, sink, tree
 
     spark.udf.register("crc32c", F.pandas_udf(_crc32c, "binary"))
     spark.udf.register("crc32c_combine", F.pandas_udf(_combine_group, "binary"))
     spark.dataSource.register(tree.TreeSource)
-    spark.dataSource.register(tree.TreeSink)
+    spark.dataSource.register(sink.TreeSink)
     spark.dataSource.register(feed.ChangeFeed)

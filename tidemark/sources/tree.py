@@ -1,4 +1,4 @@
-"""File trees as tables: scanning, reading ranges, and writing files, links and directories.
+"""File trees as tables: scanning, checksums, reading ranges. Writing is in ``sink``.
 
 ``tree`` reads local paths, so executors must see the tree through a shared mount.
 """
@@ -6,15 +6,13 @@
 from __future__ import annotations
 
 import os
-import re
-import shutil
 import stat
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.checksums import TAIL, crc32c_of_parts, crc_bytes
 from tidemark.operators.manifest import filter_names, identified, sequenced_wide
@@ -128,7 +126,7 @@ def with_checksums(entries: DataFrame, max_len: int | None = TAIL, step: int = 8
             for root, name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("root", "name", "offset", "len")), strict=True):
                 with open(os.path.join(root, name), "rb") as f:
                     f.seek(offset)
-                    found.append(int.from_bytes(_read_crc(f, length), "little"))
+                    found.append(int.from_bytes(read_crc(f, length), "little"))
             yield batch.append_column("value", pa.array(found, pa.int64()))
 
     schema = "root string, name string, size bigint, offset bigint, len bigint, value bigint"
@@ -141,7 +139,7 @@ def with_checksums(entries: DataFrame, max_len: int | None = TAIL, step: int = 8
     return joined.withColumn("checksum", checksum).select(*[c for c in entries.columns if c != "checksum"], "checksum")
 
 
-def _read_crc(f, n: int, step: int = 1 << 20) -> bytes:
+def read_crc(f, n: int, step: int = 1 << 20) -> bytes:
     total, done = b"\0\0\0\0", 0
     while done < n:
         block = f.read(min(step, n - done))
@@ -169,84 +167,6 @@ def read_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.mapInArrow(read, ", ".join(f"`{c}` {t}" for c, t in ranges.dtypes) + ", payload binary")
 
 
-def _below(root: str, name: str) -> str:
-    """The path of a name below root. A name that leads elsewhere, by its parts or by a link on its way, is an error."""
-    parts = re.split("/+", name or "")
-    if not name or any(p in ("", ".", "..") or "\0" in p for p in parts):
-        raise ValueError(f"UNSAFE_NAME {name!r}")
-    path = root
-    for p in parts[:-1]:
-        path = os.path.join(path, p)
-        if os.path.islink(path):
-            raise ValueError(f"UNSAFE_NAME {name!r}: {path} is a link")
-    return os.path.join(root, name)
-
-
-class _Done(WriterCommitMessage):
-    def __init__(self, parts: list[tuple]):
-        self.parts = parts
-
-
-class _TreeWriter(DataSourceWriter):
-    """Chunks to files: tasks write their chunks into unfinished files and return the checksums of the runs that
-    they wrote; the commit combines these and renames. The driver reads no file."""
-
-    def __init__(self, options, schema):
-        self.root, self.names = options["path"], [f.name for f in schema.fields]
-        self.temp = os.path.join(self.root, TEMP)
-        shutil.rmtree(self.temp, ignore_errors=True)  # what an earlier run left is never resumed
-        os.makedirs(self.temp)
-
-    def write(self, iterator):
-        done: dict[str, tuple[int, int, bytes, list]] = {}
-        for row in iterator:
-            r = row.asDict()
-            _below(self.root, r["name"])
-            fd = os.open(os.path.join(self.temp, f"{r['file_id']}.part"), os.O_WRONLY | os.O_CREAT)
-            try:
-                os.pwrite(fd, r["payload"], r["offset"])
-            finally:
-                os.close(fd)
-            runs = done.setdefault(r["name"], (r["file_id"], r["size"], r["file_checksum"], []))[3]
-            part = (r["offset"], len(r["payload"]), crc_bytes(r["payload"]))
-            if runs and sum(runs[-1][:2]) == part[0]:
-                runs[-1] = (runs[-1][0], runs[-1][1] + part[1], _joined(runs[-1][2], part[2], part[1]))
-            else:
-                runs.append(part)
-        return _Done([(n, *v) for n, v in done.items()])
-
-    def commit(self, messages):
-        wanted: dict[str, tuple[int, int, bytes, list]] = {}
-        for name, file_id, size, checksum, runs in (p for m in messages if m for p in m.parts):
-            wanted.setdefault(name, (file_id, size, checksum, []))[3].extend(runs)
-        for name, (file_id, size, checksum, runs) in wanted.items():
-            if os.path.lexists(_below(self.root, name)):
-                raise FileExistsError(f"FILE_EXISTS {name}")
-            at, total = 0, b"\0\0\0\0"
-            for offset, n, crc in sorted(runs):
-                if offset != at:
-                    raise ValueError(f"CHECKSUM_MISMATCH {name}: bytes {at} to {offset} came twice or never")
-                at, total = at + n, _joined(total, crc, n)
-            whole = at == size == os.path.getsize(os.path.join(self.temp, f"{file_id}.part"))
-            if not whole or (checksum is not None and size and total != bytes(checksum)):
-                raise ValueError(f"CHECKSUM_MISMATCH {name}")
-        moved: list[tuple[str, str]] = []
-        try:
-            for name, (file_id, *_) in wanted.items():
-                path, part = _below(self.root, name), os.path.join(self.temp, f"{file_id}.part")
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                os.rename(part, path)
-                moved.append((part, path))
-        except OSError:
-            for part, path in reversed(moved):
-                os.rename(path, part)
-            raise
-        shutil.rmtree(self.temp, ignore_errors=True)
-
-    def abort(self, messages):
-        shutil.rmtree(self.temp, ignore_errors=True)
-
-
 def _joined(first: bytes, then: bytes, n: int) -> bytes:
     """The checksum of two runs of bytes from theirs; n is the length of the second."""
     import numpy as np
@@ -255,66 +175,3 @@ def _joined(first: bytes, then: bytes, n: int) -> bytes:
 
     a, b = (np.array([int.from_bytes(x, "little")], np.uint32) for x in (first, then))
     return int(combine(a, b, np.array([n]))[0]).to_bytes(4, "little")
-
-
-class TreeSink(DataSource):
-    """df.write.format("tree_sink").mode("append").save(root), df of (file_id, name, size, file_checksum, offset, payload)."""
-
-    @classmethod
-    def name(cls):
-        return "tree_sink"
-
-    def schema(self):
-        return "file_id bigint, name string, size bigint, file_checksum binary, offset bigint, payload binary"
-
-    def writer(self, schema, overwrite):
-        return _TreeWriter(self.options, schema)
-
-
-def write_files(spark: SparkSession, chunks: DataFrame, root: str) -> None:
-    """Files from chunks (file_id, name, size, file_checksum, offset, payload). Chunks are dealt by file and offset, so
-    that a task returns one checksum for each of its files."""
-    spark.dataSource.register(TreeSink)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = chunks.select("file_id", "name", "size", "file_checksum", "offset", "payload").repartitionByRange(n, "file_id", "offset").sortWithinPartitions("file_id", "offset")
-    dealt.write.format("tree_sink").mode("append").save(root)
-
-
-def append_segments(segments: DataFrame) -> None:
-    """Appends segments (root, name, offset, payload) in order; each must start at its file's length. Bytes of a segment
-    that are there already, as after a task that was lost, must be equal and aren't written again."""
-
-    def append(rows) -> None:
-        for r in rows:
-            path, data, offset = _below(r["root"], r["name"]), bytes(r["payload"]), r["offset"]
-            at = os.path.getsize(path) if os.path.exists(path) else 0
-            there = b""
-            if offset < at:
-                with open(path, "rb") as f:
-                    f.seek(offset)
-                    there = f.read(len(data))
-            if offset > at or data[: len(there)] != there:
-                raise ValueError(f"BAD_OFFSET {r['name']}: {offset} at length {at}")
-            with open(path, "ab") as f:
-                f.write(data[len(there) :])
-
-    segments.repartition("root", "name").sortWithinPartitions("root", "name", "offset").foreachPartition(append)
-
-
-def make_entries(entries: DataFrame) -> None:
-    """Creates directories, then links, of entries (root, name, kind, link_target). A target that exists is an error, but
-    for directories and for links that are as wanted, as after a task that was lost."""
-
-    def directory(rows) -> None:
-        for r in rows:
-            os.makedirs(_below(r["root"], r["name"]), exist_ok=True)
-
-    def link(rows) -> None:
-        for r in rows:
-            path = _below(r["root"], r["name"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            if not (os.path.islink(path) and os.readlink(path) == r["link_target"]):
-                os.symlink(r["link_target"], path)
-
-    entries.filter("kind = 2").foreachPartition(directory)
-    entries.filter("kind = 3").foreachPartition(link)
