@@ -112,6 +112,29 @@ def released_sends(spark, sf_dir):
     return A.release_sends(*_log(spark, sf_dir)).select("stream_id", "seq", "kind", "ack_tick")
 
 
+_TWICE = """with b as (select l_orderkey as o, l_linenumber::bigint as n, [3, 4, 7, 8, 9][min(l_partkey) % 5 + 1] as kind from lineitem group by all),
+s as (select *, pass, 10 * n + 100 * pass as sent from b, (values (0), (1)) v(pass)),
+r as (select o, n, n % 2 as file, case when kind = 8 then n end as listed, 12 * n + 100 * pass as tick, n as v, 10 * n - 10 as reach from s where pass = 1 or n % 3 <> 0),
+rs as (select *, sum(fall) over (partition by o order by tick, v rows unbounded preceding) as epoch from (select *, case when lag(v) over (partition by o order by tick, v) > v then 1 else 0 end as fall from r)),
+rf as (select *, sum(fall) over (partition by o, file order by tick, reach rows unbounded preceding) as epoch from (select *, case when lag(reach) over (partition by o, file order by tick, reach) > reach then 1 else 0 end as fall from r)),
+e as (select s.*, (select min(epoch) from rs where rs.o = s.o and rs.tick > s.sent) as es, (select min(epoch) from rf where rf.o = s.o and rf.file = s.n % 2 and rf.tick > s.sent) as ef from s)"""
+
+
+def _log_twice(spark, sf_dir):
+    """The log of _log, of which a third of the reports is missing, and after it the same sends and all their reports again: the values of the reports fall where it starts again."""
+    sends, acks = _log(spark, sf_dir)
+    again = lambda df, tick: df.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(tick, F.col(tick) + 100 * F.col("pass"))
+    return again(sends, "sent_tick").drop("pass"), again(acks, "arrival").filter("pass = 1 or next_seq % 3 <> 0").drop("pass")
+
+
+@_query(f"""{_TWICE} select o as stream_id, n as seq, kind, sent as sent_tick, least((select min(tick) from rs where rs.o = e.o and rs.epoch = e.es and rs.tick > e.sent and rs.v > e.n),
+  case when kind = 4 then (select min(tick) from rf where rf.o = e.o and rf.file = e.n % 2 and rf.epoch = e.ef and rf.tick > e.sent and rf.reach >= 10 * e.n) end,
+  case when kind = 8 then (select min(tick) from r where r.o = e.o and r.listed = e.n and r.tick > e.sent) end)::bigint as ack_tick from e""")
+def restarted_sends(spark, sf_dir):
+    """Sends of two sessions with the report of their own that releases them."""
+    return A.release_sends(*_log_twice(spark, sf_dir)).select("stream_id", "seq", "kind", "sent_tick", "ack_tick")
+
+
 @_query(f"{_LOG}, r as (select b.o, b.n, b.kind, (select min(tick) from j where j.o = b.o and j.n = b.n and (seq_ok or (same_file and off_ok) or listed)) as t from b) select kind, (t - 10 * n)::bigint as rtt, count(*) as samples from r where t is not null group by all")
 def latency_samples(spark, sf_dir):
     released = A.release_sends(*_log(spark, sf_dir))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import Ranges, chain
+from tidemark.operators.ranges import Keyed, Ranges, chain
 from tidemark.schemas import MSG_TYPES, REASONS
 
 SEND_KEY = ["stream_id", "file_id", "seq", "kind", "offset", "chunk_index"]
@@ -18,25 +18,32 @@ CREATE, DATA, BEGIN, CHUNK, COMMIT = (MSG_TYPES[k] for k in ("CREATE", "DATA", "
 def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame:
     """sends with ack_tick: the first report after the send that completes it.
 
-    A stream's reports carry running values that don't fall. So the first report that is both after
-    the send and high enough is the later of two: the first after it, and the first high enough. Two
-    windows over sends and reports together find them, each a running minimum from the far end; no send is
-    paired with more than one report. A session that starts again is a log of its own.
+    A report's values are running values; where one falls, a session has started again, and what was open in the one before is
+    lost with it. So a key's reports are cut into epochs without falls, and a send belongs to the epoch of the first report after it. In an epoch the
+    report looked for is the later of two: the first after the send, and the first high enough. Both are running minima
+    over sends and reports together, so no send is paired with more than one report; a stream's are dealt into ranges, a file's on a line are few.
     """
     line = ["line_id"] if on_line else []
-    s = sends.withColumn("_id", F.xxhash64(*line, *SEND_KEY, "sent_tick"))
+    cols = sends.columns
+    s = sends.withColumn("_send", F.struct(*line, *SEND_KEY, "sent_tick"))
     reports = acks.select(*line, "stream_id", "file_id", F.col("arrival").alias("tick"), "next_seq", F.greatest("offset", "durable_offset").alias("reach"), "received_chunks")
     listed = reports.select(*line, "stream_id", "tick", F.inline("received_chunks"))
-    by_chunk = s.filter(F.col("kind") == CHUNK).join(listed, [*line, "stream_id", "seq", "file_id", "chunk_index"]).filter("tick > sent_tick").select("_id", "tick")
+    by_chunk = s.filter(F.col("kind") == CHUNK).join(listed, [*line, "stream_id", "seq", "file_id", "chunk_index"]).filter("tick > sent_tick").select("_send", "tick")
 
     def reached(who: DataFrame, need: str, value: str, keys: list[str], reports: DataFrame = reports) -> DataFrame:
-        """(_id, tick): the first report after the send with value >= need."""
-        asks = who.select(*keys, F.col(need).alias("v"), F.lit(None).cast("long").alias("tick"), "_id", F.col("sent_tick").alias("at"))
-        says = reports.select(*keys, F.col(value).alias("v"), "tick", F.lit(None).cast("long").alias("_id"), F.col("tick").alias("at"))
-        high = Window.partitionBy(*keys).orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
-        late = Window.partitionBy(*keys).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
-        both = asks.union(says).withColumn("t1", F.min("tick").over(high)).withColumn("t2", F.min("tick").over(late))
-        return both.filter("_id is not null and t1 is not null and t2 is not null").select("_id", F.greatest("t1", "t2").alias("tick"))
+        """(_send, tick): the first report after the send, in its epoch, with value >= need."""
+        scan = Keyed if "file_id" in keys else Ranges
+        none = F.lit(None).cast(s.schema["_send"].dataType).alias("_send")
+        said = scan(reports.select(*keys, F.col("tick").alias("at"), F.col(value).alias("v")).filter("v is not null"), keys, ["at", "v"])
+        said.with_running("_last", "last", F.col("v"), before=True)
+        said = said.with_running("_epoch", "sum", F.coalesce(F.col("_last") > F.col("v"), F.lit(False)).cast("long")).done()
+        says = said.select(*keys, "at", "_epoch", "v", F.lit(0).alias("asks"), none)
+        asks = who.select(*keys, F.col("sent_tick").alias("at"), F.lit(None).cast("long").alias("_epoch"), F.col(need).alias("v"), F.lit(1).alias("asks"), "_send")
+        later = scan(says.union(asks), keys, ["-at", "-asks"]).with_running("_after", "min", F.when(F.col("asks") == 0, F.col("at"))).with_running("_own", "min", F.col("_epoch")).done()
+        asks = later.filter("asks = 1 and _own is not null").select(*keys, "_own", "v", F.lit(None).cast("long").alias("at"), "asks", "_send", "_after")
+        says = said.select(*keys, F.col("_epoch").alias("_own"), "v", "at", F.lit(0).alias("asks"), none, F.lit(None).cast("long").alias("_after"))
+        high = scan(says.union(asks), [*keys, "_own"], ["-v", "asks"]).with_running("_high", "min", F.col("at")).done()
+        return high.filter("asks = 1 and _high is not null").select("_send", F.greatest("_high", "_after").alias("tick"))
 
     file = [*line, "stream_id", "file_id"]
     after = s.withColumn("need", F.col("seq") + 1)
@@ -46,8 +53,8 @@ def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame
         ordered = reached(after, "need", "next_seq", ["stream_id"], reports.filter("next_seq <> 0"))
     data = reached(s.filter((F.col("kind") == DATA) & (F.col("end_offset") != 0)), "end_offset", "reach", file)
     done = ordered.union(data).union(by_chunk)
-    done = done.groupBy("_id").agg(F.min("tick").alias("ack_tick"))
-    return s.join(done, "_id", "left").drop("_id")
+    done = done.groupBy("_send").agg(F.min("tick").alias("ack_tick"))
+    return s.join(done, "_send", "left").select(*cols, "ack_tick")
 
 
 def match_acks(sends: DataFrame, acks: DataFrame) -> DataFrame:

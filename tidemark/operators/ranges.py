@@ -66,6 +66,18 @@ class Ranges:
         return self.rows.drop("_range")
 
 
+class Keyed(Ranges):
+    """The same for rows of which each key has few: one window a key, without ranges."""
+
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[str]):
+        self.keys, self.order, self.rows = keys, order, rows
+
+    def with_running(self, name: str, kind: str, value: Column, before: bool = False, back: bool = False) -> Keyed:
+        own = Window.partitionBy(*self.keys).orderBy(*self._sort(back)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        self.rows = self.rows.withColumn(name, _KINDS[kind][0](value).over(own))
+        return self
+
+
 def chain(jumps: DataFrame, keys: list[str]) -> DataFrame:
     """keys, _at: the nodes that each key's chain of jumps (keys, node, to) visits from node 0 on. Every round doubles the part of the chain that is known and the
     length of the jumps, so rounds grow with the log of the longest chain."""
