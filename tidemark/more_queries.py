@@ -15,6 +15,7 @@ from tidemark.operators import manifest as M
 from tidemark.operators.ranges import Ranges
 from tidemark.queries import _BOTH, _CRC, _HEX, _PLAN, _SRC, _TABLE, _diff, _query, content_checksums_utf8
 from tidemark.shared import settle, shared_folder
+from tidemark.streaming import flows as FL
 
 
 @_query(f"{_PLAN} select stream_id, seq, file_id, case when resumed then 1 else 2 end as action, start_offset from tasks")
@@ -190,6 +191,16 @@ def merged_reports(spark, sf_dir):
     return A.ack_batches(acks, 40).select("line_id", "stream_id", "batch", "arrival", "next_seq", "received")
 
 
+@_query("""with e as (select user_id as stream_id, event_id as seq, (epoch_us(ts) // 1000) as ms from events),
+d as (select *, (ms // 86400000 + 1) * 86400000 as due_ms from e),
+n as (select *, (row_number() over (partition by stream_id, due_ms order by ms, seq) - 1) // 3 as k from d)
+select stream_id::bigint as stream_id, due_ms::bigint as due_ms, count(*) as chunks, max(seq)::bigint + 1 as next_seq, case when count(*) = 3 then 'COUNT' else 'TIMER' end as cause
+from n where due_ms <= (select max(ms) from e) - 86400000 group by stream_id, due_ms, k""")
+def counted_progress(spark, sf_dir):
+    """Progress reports by number of messages or by the clock, whichever is first, out of a stream."""
+    return FL.counted_progress(spark, sf_dir, "events.parquet")
+
+
 _ARRIVALS = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
 _LINES = f"""with r as (select (l_suppkey % 100)::int as line_id, (l_orderkey % 3)::bigint as stream_id, row_number() over (partition by l_suppkey % 100 order by {_ARRIVALS}) as arrival, l_linenumber::bigint as next_seq, (l_quantity::bigint) % 9 as n, l_partkey % 13 = 0 as flush from lineitem),
 l as (select line_id, list({{'s': stream_id, 'n': n, 'f': flush, 'a': arrival, 't': [0::bigint, 0::bigint, 0::bigint], 'k': 0::bigint, 'ks': [0::bigint]}} order by arrival) as xs from r group by all),

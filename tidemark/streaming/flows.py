@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,106 @@ def reports(messages: DataFrame, every: str = "50 milliseconds", late: str = "10
     return rows.agg((F.max("seq") + 1).alias("next_seq"), F.max_by("file_id", "ts").alias("file_id"), F.max_by("end_offset", "ts").alias("offset"), F.count("*").alias("messages"))
 
 
+class ProgressReports(StatefulProcessor):
+    """Reports a stream's progress when so many chunks have come since the last report, or at the next multiple of the interval, whichever is first.
+
+    Time is the messages' own: a message of a later interval proves that the timer is due, and where none comes, the
+    watermark does. So the reports don't depend on how the messages fall into batches, as long as those of a stream come in order.
+    """
+
+    def __init__(self, batch: int, every_ms: int):
+        self.batch, self.every_ms = batch, every_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pending", "chunks long, next_seq long, file_id long, offset long, due long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pending = self.state.get() if self.state.exists() else None
+        before, out = pending[4] if pending else None, []
+        for ms, seq, file_id, end, chunks in pd.concat(list(rows)).sort_values(["ms", "seq"])[["ms", "seq", "file_id", "end_offset", "chunks"]].itertuples(index=False):
+            due = (int(ms) // self.every_ms + 1) * self.every_ms
+            if pending and pending[4] < due:
+                out.append((key[0], *pending, "TIMER"))
+                pending = None
+            count, highest = (pending[0], pending[1]) if pending else (0, 0)
+            pending = (count + int(chunks), max(highest, int(seq) + 1), int(file_id), int(end), due)
+            if self.batch and pending[0] >= self.batch:
+                out.append((key[0], *pending, "COUNT"))
+                pending = None
+        self._keep(pending, before)
+        yield self._reports(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pending = self.state.get() if self.state.exists() else None
+        if pending is None:
+            yield self._reports([])
+            return
+        self.state.clear()
+        yield self._reports([(key[0], *pending, "TIMER")])
+
+    def _keep(self, pending: tuple | None, before: int | None) -> None:
+        if before is not None and (pending is None or pending[4] != before):
+            self.handle.deleteTimer(before)
+        if pending is None:
+            self.state.clear()
+            return
+        if pending[4] != before:
+            self.handle.registerTimer(pending[4])
+        self.state.update(pending)
+
+    def _reports(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["stream_id", "chunks", "next_seq", "file_id", "offset", "due_ms", "cause"])
+
+    def close(self) -> None:
+        pass
+
+
+def progress_reports(messages: DataFrame, batch: int = 20, every_ms: int = 50, late: str = "10 seconds") -> DataFrame:
+    """stream_id, chunks, next_seq, file_id, offset, due_ms, cause (COUNT or TIMER) from a stream of accepted messages (ts, stream_id, seq, file_id, end_offset, chunks)."""
+    rows = messages.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    kind = "stream_id long, chunks long, next_seq long, file_id long, offset long, due_ms long, cause string"
+    return rows.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=ProgressReports(batch, every_ms), outputStructType=kind, outputMode="Append", timeMode="EventTime")
+
+
+@contextlib.contextmanager
+def keyed_timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which state with timers needs; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_to_end(out: DataFrame) -> DataFrame:
+    """Runs a stream until it has read all that there is, and gives its rows; a batch that runs again replaces its own."""
+    spark = out.sparkSession
+    own = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{own}/result/batch={number}")
+
+    with keyed_timers(spark):
+        query = out.writeStream.outputMode("append").option("checkpointLocation", f"{own}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+    return spark.read.schema(out.schema).option("basePath", f"{own}/result").parquet(f"{own}/result/*")
+
+
+def counted_progress(spark: SparkSession, folder: str, files: str) -> DataFrame:
+    """Progress of each line for each third message, or by the day, from a stream over the events files; of the days that ended a day before the last event."""
+    schema = spark.read.parquet(f"{folder}/{files}").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    one = F.lit(1).cast("long")
+    messages = events.select("ts", F.col("user_id").cast("long").alias("stream_id"), F.col("event_id").cast("long").alias("seq"), one.alias("file_id"), F.col("event_id").cast("long").alias("end_offset"), one.alias("chunks"))
+    reports_ = run_to_end(progress_reports(messages, 3, 86_400_000, "1 day"))
+    last = spark.read.parquet(f"{folder}/{files}").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last"))
+    ended = reports_.join(F.broadcast(last), F.col("due_ms") <= F.col("last") - 86_400_000)  # one row
+    return ended.select("stream_id", "due_ms", "chunks", "next_seq", "cause")
+
+
 def sessions(activity: DataFrame, key: str, gap: str = "750 milliseconds", time: str = "ts") -> DataFrame:
     """key, start, end, events of each session: activity with no pause of ``gap`` in it. For streams, set a watermark beforehand."""
     rows = activity.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("events"))
