@@ -29,10 +29,10 @@ def sequenced(entries: DataFrame) -> DataFrame:
     return entries.withColumn("seq", F.row_number().over(Window.partitionBy("stream_id").orderBy(*entry_order())).cast("long"))
 
 
-def sequenced_wide(entries: DataFrame, partitions: int | None = None) -> DataFrame:
-    """As sequenced, for streams of any size: ranges of all entries in order, and counts of the ranges before."""
+def sequenced_wide(entries: DataFrame, partitions: int | None = None, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """As sequenced, for streams of any size: ranges of all entries in order, and counts of the ranges before. Entries of equal names come by the further columns ``by``."""
     ranked = entries.withColumns({f"_o{i}": c for i, c in enumerate(entry_order())})
-    ranges = Ranges(ranked, ["stream_id"], ["_o0", "_o1", "_o2"], partitions).with_running("seq", "sum", F.lit(1).cast("long"))
+    ranges = Ranges(ranked, ["stream_id"], ["_o0", "_o1", "_o2", *by], partitions).with_running("seq", "sum", F.lit(1).cast("long"))
     return ranges.done().select(*entries.columns, *([] if "seq" in entries.columns else ["seq"]))
 
 

@@ -100,10 +100,10 @@ def keyed_timers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def run_to_end(out: DataFrame) -> DataFrame:
-    """Runs a stream until it has read all that there is, and gives its rows; a batch that runs again replaces its own."""
+def run_to_end(out: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs a stream until it has read all that there is, and gives its rows; a batch that runs again replaces its own. With a folder, a stream goes on where it was, and gives its earlier rows too."""
     spark = out.sparkSession
-    own = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    own = folder or f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{own}/result/batch={number}")
@@ -111,7 +111,7 @@ def run_to_end(out: DataFrame) -> DataFrame:
     with keyed_timers(spark):
         query = out.writeStream.outputMode("append").option("checkpointLocation", f"{own}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
-    return spark.read.schema(out.schema).option("basePath", f"{own}/result").parquet(f"{own}/result/*")
+    return spark.read.schema(out.schema).option("basePath", f"{own}/result").parquet(f"{own}/result/*").select(out.columns)
 
 
 def counted_progress(spark: SparkSession, folder: str, files: str) -> DataFrame:
@@ -150,39 +150,53 @@ def progress_by_window(spark: SparkSession, folder: str, files: str) -> DataFram
 
 
 class SilenceAlarm(StatefulProcessor):
-    """Raises an alarm for a line with open sends and no report for the timeout, in event time."""
+    """Raises one alarm for a line whose sends have been open, without a report, for longer than the timeout, in the events' own time.
+
+    Quiet counts from the later of the last report and the send that found the line idle. An event after the timeout proves it as the watermark does, so
+    alarms don't depend on how the events fall into batches.
+    """
 
     def __init__(self, timeout_ms: int = 3000):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("line", "open long, since long")
+        self.state = handle.getValueState("line", "open long, since long, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        open_, since = self.state.get() if self.state.exists() else (0, 0)
-        for event, ms in pd.concat(list(rows)).sort_values("ms")[["event", "ms"]].itertuples(index=False):
+        open_, since, due = self.state.get() if self.state.exists() else (0, 0, -1)  # due: the timer's time, -1 for none
+        before, out = due, []
+        for event, ms in pd.concat(list(rows)).sort_values(["ms", "order"])[["event", "ms"]].itertuples(index=False):
+            if 0 <= due <= ms:
+                if open_ > 0:
+                    out.append((key[0], since, open_))
+                due = -1
             if event == "report" or (event == "send" and open_ == 0):
-                since = int(ms)
+                since, due = int(ms), int(ms) + self.timeout_ms + 1
             open_ = max(0, open_ + {"send": 1, "done": -1}.get(event, 0))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if open_:
-            self.handle.registerTimer(since + self.timeout_ms)
-        self.state.update((open_, since))
-        yield pd.DataFrame({"line_id": [], "since_ms": [], "open_sends": []})
+        if before >= 0 and before != due:
+            self.handle.deleteTimer(before)
+        if due >= 0 and before != due:
+            self.handle.registerTimer(due)
+        self.state.update((open_, since, due))
+        yield self._alarms(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        open_, since = self.state.get()
-        yield pd.DataFrame({"line_id": [key[0]], "since_ms": [since], "open_sends": [open_]})
+        open_, since, _ = self.state.get()
+        self.state.update((open_, since, -1))
+        yield self._alarms([(key[0], since, open_)] if open_ > 0 else [])
+
+    def _alarms(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["line_id", "since_ms", "open_sends"])
 
     def close(self) -> None:
         pass
 
 
 def silence_alarm(events: DataFrame, timeout_ms: int = 3000, late: str = "1 second") -> DataFrame:
-    """Alarms from a stream of (line_id, ts, event: send, done, report)."""
-    rows = events.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    """Alarms (line_id, since_ms, open_sends) from a stream of (line_id, ts, event: send, done, report, and what proves that time goes on); events of one millisecond come by ``order``, if they have it."""
+    order = F.col("order").cast("long") if "order" in events.columns else F.lit(0).cast("long")
+    rows = events.select(F.col("line_id").cast("int"), "ts", "event", order.alias("order"), F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
     return rows.groupBy("line_id").transformWithStateInPandas(statefulProcessor=SilenceAlarm(timeout_ms), outputStructType="line_id int, since_ms long, open_sends long", outputMode="Append", timeMode="EventTime")
 
 
