@@ -19,7 +19,10 @@ letters lose accents to a Latin letter, or else are ``PER_LETTER`` symbols of a
 ``OTHERS``, by code point, so that letters of one alphabet never fall together; signs and accents are skipped as before.
 
 Training reads at most ``per_class`` labelled documents of either class (1,000 by default), chosen
-by a hash of the id, and never those with crc32(doc_id) mod 3 = 1.
+by a hash of the id, and never those with crc32(doc_id) mod 3 = 1. Of these, texts of one label whose least 3-word window, by hash,
+is the same (near copies) count once. The first choice of sentences goes by subsequences that max(3, n/200) of the n toxic texts hold or more;
+at most ``landmarks`` / 2 words of either class become landmarks; and of clean texts some four sentences each, evenly chosen, and
+those that the machine ranks first in its rounds are trained on. Scoring reads whole texts.
 
 Defined cases: a null or empty text, or one without letters, scores as a sentence that is like no
 landmark; without labels of both classes all scores are the share of toxic labels, or 0; repeated
@@ -390,7 +393,7 @@ def hash_of(words: tuple[str, ...]) -> int:
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most per_class documents of either class, none of them held out."""
-    rows = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1) and doc_id is not null").filter(remainder("doc_id", 3) != 1)
+    rows = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1) and doc_id is not null").filter(remainder("doc_id", 3) != 1).distinct()
     chosen = [rows.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     picked = {r["doc_id"]: r["toxic"] for c in chosen for r in c.collect()}
     spark = docs.sparkSession
