@@ -11,6 +11,7 @@ from tidemark import views as V
 from tidemark.functions import checksums as C
 from tidemark.functions import names as N
 from tidemark.operators import acks as A
+from tidemark.operators import audit as AU
 from tidemark.operators import diff as D
 from tidemark.operators import gaps as G
 from tidemark.operators import lines as L
@@ -368,10 +369,21 @@ def chunk_roundtrip(spark, sf_dir):
     return found.select(F.col("file_id").alias("doc_id"), F.coalesce("md5", F.md5(F.lit(b""))).alias("md5"), F.coalesce("chunks", zero).alias("chunks"), F.coalesce("verified", zero).alias("verified"))
 
 
-@_query()
+@_query("""with f as (select o_custkey as stream_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq, o_orderkey as file_id from orders),
+m as (select stream_id, seq, file_id, 7 as msg_type, -1 as place, null as p, null as i, false as damaged from f union all select stream_id, seq, file_id, 9, 1099511627776, null, null, false from f
+  union all select stream_id, seq, file_id, 8, (l_linenumber - 1) * 1000 + l_suppkey % 1000, l_partkey, l_linenumber - 1, l_returnflag = 'R' from lineitem join f on l_orderkey = file_id),
+a as (select *, row_number() over (partition by stream_id order by seq, place, p nulls first, i nulls first) as arrival from m),
+v as (select stream_id, seq, i, min(arrival) filter (where not damaged) as earliest from a where msg_type = 8 group by all),
+e as (select f.stream_id, f.seq, count(v.earliest) = 7 as complete from f left join v using (stream_id, seq) group by all),
+t as (select stream_id, coalesce(min(seq) filter (where not complete), max(seq) + 1) as turn from e group by all)
+select a.stream_id, a.arrival, a.msg_type, a.seq,
+  case when a.seq > turn then 'rejected' when a.msg_type = 7 then 'accepted' when a.msg_type = 9 then case when complete then 'accepted' else 'rejected' end when v.earliest < a.arrival then 'ignored' when damaged then 'rejected' else 'accepted' end as outcome,
+  case when a.seq > turn then 2 when a.msg_type = 9 and not complete then 15 when a.msg_type = 8 and damaged and not coalesce(v.earliest < a.arrival, false) then 4 end as reason,
+  (case when a.seq >= turn then turn when a.msg_type = 9 then a.seq + 1 else a.seq end)::bigint as expected_seq, a.file_id, case when (case when a.seq >= turn then turn when a.msg_type = 9 then a.seq + 1 else a.seq end) > 1 then 70000 else 0 end as "offset"
+from a join t using (stream_id) join e using (stream_id, seq) left join v on v.stream_id = a.stream_id and v.seq = a.seq and v.i = a.i""")
 def apply_log(spark, sf_dir):
     """Outcomes of a transfer log derived from line items: a stream for each customer, a file for each order."""
-    return AP.apply_batch(AP.log_from_orders(spark, sf_dir))
+    return AU.chunked_outcomes(AP.log_from_orders(spark, sf_dir))
 
 
 @_query(f"""with {V.EVENTS_SQL} select line_id, epoch(time_bucket(interval '1 day', ts))::bigint as day, count(*) as messages, count(*) filter (where event = 'report') as reports, max("order") as upto from ev group by all""")
