@@ -33,10 +33,10 @@ def pieces(docs: DataFrame, room: int, end: int, vocabulary: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, nth (among the part's pieces of that length)."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), encoder(vocabulary).encode
-        for batch in sliced(batches, limit=1 << 22):
+        part, seen, words = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), encoder(vocabulary)
+        for batch in sliced(batches, limit=1 << 21):
             out = []
-            ids, sizes = encode(batch.column("text"), end)
+            ids, sizes = words.encode(batch.column("text"), end)
             data, at = memoryview(ids.astype("<u4").tobytes()), 0
             for doc_id, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
                 for start in range(0, size, room):
@@ -45,6 +45,7 @@ def pieces(docs: DataFrame, room: int, end: int, vocabulary: str) -> DataFrame:
                     seen[n] += 1
                 at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        words.clear()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]

@@ -44,6 +44,10 @@ class Encoder:
         vocabulary = self.words.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words, as at a task's end: a worker lives on, and its next task may be of another kind."""
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
@@ -150,7 +154,7 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process, so that its words stay known from task to task."""
+    """One for each worker process."""
     if path not in _FOUND:
         _FOUND[path] = Encoder(path)
     return _FOUND[path]

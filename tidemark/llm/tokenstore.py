@@ -55,15 +55,16 @@ def encoded(docs: DataFrame, end: int, vocabulary: str, width: int, chunking: tu
     """doc_id, n_tokens, payload (ids with the end id, unsigned little-endian of ``width`` bytes), and its chunks' lens and digests."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_ = encoder(vocabulary).encode
+        words = encoder(vocabulary)
         for part in sliced(batches, limit=1 << 22):
-            ids, sizes = encode_(part.column("text"), end)
+            ids, sizes = words.encode(part.column("text"), end)
             if len(ids) and int(ids.max()) >> (8 * width):
                 raise ValueError(f"an id doesn't fit {width} bytes")
             data, ends = ids.astype(f"<u{width}").tobytes(), np.cumsum(sizes) * width
             payloads = [data[e - n : e] for e, n in zip(ends.tolist(), (sizes * width).tolist(), strict=True)]
             lens, digests = chunkstore.cut_and_digested(payloads, *chunking)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(payloads, pa.binary()), lens, digests], ["doc_id", "n_tokens", "payload", "lens", "digests"])
+        words.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, payload binary, lens array<int>, digests array<binary>")
 
