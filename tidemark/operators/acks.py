@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import Keyed, Ranges, chain
+from tidemark.operators.batches import numbered
+from tidemark.operators.ranges import Keyed, Ranges
 from tidemark.schemas import MSG_TYPES, REASONS
 
 SEND_KEY = ["stream_id", "file_id", "seq", "kind", "offset", "chunk_index"]
@@ -146,44 +147,11 @@ def ack_batches(acks: DataFrame, batch: int = 20, coupled: bool = False, interva
     n = F.col("n_received") if "n_received" in acks.columns else F.size("received_chunks")
     flush = F.coalesce("flush", F.lit(False)) if "flush" in acks.columns else F.lit(False)
     rows = acks.select("line_id", "stream_id", "arrival", "next_seq", "file_id", "offset", "durable_offset", n.cast("long").alias("n"), flush.alias("_flush"))
-    rows = _numbered(rows, ["line_id"] if coupled else ["line_id", "stream_id"], batch, interval)
+    rows = numbered(rows, ["line_id"] if coupled else ["line_id", "stream_id"], ["arrival", "stream_id"], batch, interval)
     latest = [F.max_by(c, "arrival").alias(c) for c in ("next_seq", "file_id", "offset", "durable_offset")]
     return rows.groupBy("line_id", "stream_id", "batch").agg(F.max("arrival").alias("arrival"), *latest, F.sum("n").alias("received"))
 
 
-def _numbered(rows: DataFrame, keys: list[str], limit: int, interval: int | None) -> DataFrame:
-    """rows with batch: how many flushes of the key come before each.
-
-    No row waits for the one before: where a batch that starts at a row ends is the least place, from there on, at which
-    some stream's running sum has risen by limit since a row of its own, or a flush is asked for. So each flush points to the next, and
-    the chain from the first on is marked by doubling these pointers.
-    """
-    streams, order = ["line_id", "stream_id"], ["arrival", "stream_id"]
-    ranges = Ranges(rows, streams, order).with_running("_upto", "sum", F.col("n"))
-    if keys != streams:
-        ranges = Ranges(ranges.done(), keys, order)
-    ranges.with_running("_at", "sum", F.lit(1).cast("long"))
-    if interval:
-        tick = F.floor(F.col("arrival") / interval)
-        ranges.with_running("_next", "last", tick, before=True, back=True)
-        ranges.rows = ranges.rows.withColumn("_flush", F.col("_flush") | F.coalesce(F.col("_next") != tick, F.lit(False))).drop("_next")
-    ranges.kept()
-    ends = ranges.rows.select(*keys, "_at", F.when(F.col("_flush"), F.col("_at")).alias("_end"))
-    if limit:
-        # The first place of the stream with a sum of at least what a row needs: a running minimum from the largest sum down.
-        says = ranges.rows.select(*streams, F.col("_upto").alias("v"), F.lit(0).alias("asks"), F.col("_at").alias("place"), F.lit(None).cast("long").alias("_at"))
-        asks = ranges.rows.select(*streams, F.col("_upto") - F.col("n") + limit, F.lit(1), F.lit(None).cast("long"), "_at")
-        found = Ranges(says.union(asks), streams, ["-v", "asks"]).with_running("_end", "min", F.col("place")).done()
-        ends = ends.union(found.filter("asks = 1").select(*keys, "_at", "_end"))
-    following = Ranges(ends, keys, ["_at"]).with_running("to", "min", F.col("_end"), back=True).done()
-    # A batch starts after place 0 or after a flush; to is where it ends.
-    jumps = following.filter("to is not null").select(*keys, (F.col("_at") - 1).alias("node"), "to").groupBy(*keys, "node").agg(F.min("to").alias("to"))
-    flushes = chain(jumps, keys)
-    marked = ranges.rows.join(flushes.withColumn("_hit", F.lit(1).cast("long")), [*keys, "_at"], "left")
-    ranges.rows = marked
-    return ranges.with_running("batch", "sum", F.coalesce("_hit", F.lit(0)), before=True).done().withColumn("batch", F.coalesce("batch", F.lit(0).cast("long")))
-
-
 def coupled_ack_batches(acks: DataFrame, batch: int = 20, interval: int | None = None) -> DataFrame:
     """ack_batches for lines with several streams."""
     return ack_batches(acks, batch, coupled=True, interval=interval)

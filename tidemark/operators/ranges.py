@@ -76,17 +76,3 @@ class Keyed(Ranges):
         own = Window.partitionBy(*self.keys).orderBy(*self._sort(back)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
         self.rows = self.rows.withColumn(name, _KINDS[kind][0](value).over(own))
         return self
-
-
-def chain(jumps: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, _at: the nodes that each key's chain of jumps (keys, node, to) visits from node 0 on. Every round doubles the part of the chain that is known and the
-    length of the jumps, so rounds grow with the log of the longest chain."""
-    jumps = settle(jumps)
-    reached = jumps.filter("node = 0").select(*keys, F.col("to").alias("_at"))
-    while True:
-        more = settle(reached.join(jumps.withColumnRenamed("node", "_at"), [*keys, "_at"]).select(*keys, F.col("to").alias("_at")))
-        if more.isEmpty():
-            return reached
-        reached = reached.union(more)
-        second = jumps.select(*keys, F.col("node").alias("to"), F.col("to").alias("far"))
-        jumps = settle(jumps.join(second, [*keys, "to"]).select(*keys, "node", F.col("far").alias("to")))
