@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.batches import numbered
-from tidemark.operators.ranges import Keyed, Ranges
+from tidemark.operators.ranges import Keyed, Ranges, fitting
 from tidemark.schemas import MSG_TYPES, REASONS
 
 SEND_KEY = ["stream_id", "file_id", "seq", "kind", "offset", "chunk_index"]
@@ -22,7 +22,8 @@ def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame
     A report's values are running values; where one falls, a session has started again, and what was open in the one before is
     lost with it. So a key's reports are cut into epochs without falls, and a send belongs to the epoch of the first report after it. In an epoch the
     report looked for is the later of two: the first after the send, and the first high enough. Both are running minima
-    over sends and reports together, so no send is paired with more than one report; a stream's are dealt into ranges, a file's on a line are few.
+    over sends and reports together, so no send is paired with more than one report; a stream's are dealt into ranges where one has many, a file's on a line are few.
+    Reports of keys without a send that could need them are left out first.
     """
     line = ["line_id"] if on_line else []
     cols = sends.columns
@@ -33,9 +34,10 @@ def _first_report(sends: DataFrame, acks: DataFrame, on_line: bool) -> DataFrame
 
     def reached(who: DataFrame, need: str, value: str, keys: list[str], reports: DataFrame = reports) -> DataFrame:
         """(_send, tick): the first report after the send, in its epoch, with value >= need."""
-        scan = Keyed if "file_id" in keys else Ranges
         none = F.lit(None).cast(s.schema["_send"].dataType).alias("_send")
-        said = scan(reports.select(*keys, F.col("tick").alias("at"), F.col(value).alias("v")).filter("v is not null"), keys, ["at", "v"])
+        needed = reports.select(*keys, F.col("tick").alias("at"), F.col(value).alias("v")).filter("v is not null").join(who.select(*keys), keys, "left_semi")
+        scan = Keyed if "file_id" in keys else fitting([needed, who], keys)
+        said = scan(needed, keys, ["at", "v"])
         said.with_running("_last", "last", F.col("v"), before=True)
         said = said.with_running("_epoch", "sum", F.coalesce(F.col("_last") > F.col("v"), F.lit(False)).cast("long")).done()
         says = said.select(*keys, "at", "_epoch", "v", F.lit(0).alias("asks"), none)

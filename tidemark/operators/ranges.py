@@ -76,3 +76,10 @@ class Keyed(Ranges):
         own = Window.partitionBy(*self.keys).orderBy(*self._sort(back)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
         self.rows = self.rows.withColumn(name, _KINDS[kind][0](value).over(own))
         return self
+
+
+def fitting(parts: list[DataFrame], keys: list[str], many: int = 1 << 16) -> type[Ranges]:
+    """The scan for rows that come together from parts: over ranges if a key has many, else a window a key. Both give the same."""
+    rows = reduce(DataFrame.unionAll, [p.select(*keys) for p in parts])
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return Ranges if most > many else Keyed
