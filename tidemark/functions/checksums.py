@@ -1,7 +1,7 @@
 """CRC32C (Castagnoli): of byte columns, of concatenations from parts, of file ranges.
 
-The byte loop runs over many payloads at once: a payload is cut into lanes of equal length, all
-lanes advance together in numpy, and lanes are put together as parts are (``combine``).
+The loop runs over many payloads at once: a payload is cut into lanes of equal length, all
+lanes advance together in numpy, by two bytes a step, and lanes are put together as parts are (``combine``), pair by pair.
 """
 
 from __future__ import annotations
@@ -58,28 +58,62 @@ def combine(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.nda
     return out ^ np.asarray(second, np.uint32)
 
 
-def crc(payloads: list[bytes | None]) -> np.ndarray:
-    """Checksums of many payloads; a null counts as empty."""
-    data = [p or b"" for p in payloads]
-    lanes = [p[i : i + LANE] for p in data for i in range(0, len(p), LANE)]
+@lru_cache(1)
+def _pairs() -> np.ndarray:
+    """Effect of two bytes, as a little-endian number, on a register of zero."""
+    x = np.arange(65536, dtype=np.uint32)
+    for _ in range(2):
+        x = _TABLE[x & 0xFF] ^ (x >> np.uint32(8))
+    return x
+
+
+def _registers(data: list[bytes]) -> np.ndarray:
+    """What each payload makes of a register of zero. Zero bytes before it don't count, so that its lanes are filled from the right."""
+    counts = np.array([-(-len(p) // LANE) for p in data])
+    ends = np.cumsum(counts)
+    out, lanes = np.zeros(len(data), np.uint32), int(ends[-1])
     if not lanes:
-        return np.zeros(len(data), np.uint32)
-    lengths = np.array([len(x) for x in lanes])
-    block = np.zeros((LANE, len(lanes)), np.uint8)
-    for i, lane in enumerate(lanes):
-        block[: len(lane), i] = np.frombuffer(lane, np.uint8)
-    reg = np.full(len(lanes), 0xFFFFFFFF, np.uint32)
-    for k in range(int(lengths.max())):
-        on = lengths > k
-        reg = np.where(on, _TABLE[(reg ^ block[k]) & 0xFF] ^ (reg >> np.uint32(8)), reg)
-    reg ^= np.uint32(0xFFFFFFFF)
+        return out
+    block = np.zeros(lanes * LANE, np.uint8)
+    for p, end in zip(data, (ends * LANE).tolist(), strict=True):
+        if p:
+            block[end - len(p) : end] = np.frombuffer(p, np.uint8)
+    words = block.view("<u2").reshape(lanes, -1)
+    if lanes == len(data):  # short ones: what is zero in all lanes is left out
+        words = words[:, (LANE - max(map(len, data))) // 2 :]
+    reg, at, image, table = np.zeros(lanes, np.uint32), np.empty(lanes, np.intp), np.empty(lanes, np.uint32), _pairs()
+    for word in np.ascontiguousarray(words.T):
+        np.bitwise_and(reg, 0xFFFF, out=at)
+        np.bitwise_xor(at, word, out=at)
+        np.take(table, at, out=image, mode="clip")
+        np.right_shift(reg, 16, out=reg)
+        np.bitwise_xor(reg, image, out=reg)
+    width = 1
+    while True:  # payloads of up to width lanes; all pairs of lanes are put together at once
+        own = np.flatnonzero((counts <= width) & (counts > width // 2))
+        if len(own):
+            held = np.zeros((len(own), width), np.uint32)
+            there = np.arange(width) >= width - counts[own][:, None]
+            held[there] = reg[(ends[own][:, None] - width + np.arange(width))[there]]
+            power = LANE.bit_length() - 1
+            while held.shape[1] > 1:
+                held, power = _apply(_zeros(power), held[:, ::2]) ^ held[:, 1::2], power + 1
+            out[own] = held[:, 0]
+        if width >= counts.max():
+            return out
+        width *= 2
+
+
+def crc(payloads: list[bytes | None], step: int = 4 << 20) -> np.ndarray:
+    """Checksums of many payloads; a null counts as empty. About step bytes are at work at once."""
+    data = [p or b"" for p in payloads]
+    lengths = np.array([len(p) for p in data], np.int64)
     out = np.zeros(len(data), np.uint32)
-    counts = np.array([-(-len(p) // LANE) for p in data])
-    first = np.cumsum(counts) - counts
-    for k in range(int(counts.max())):  # the k-th lane of all payloads that have one
-        on = np.flatnonzero(counts > k)
-        out[on] = combine(out[on], reg[first[on] + k], lengths[first[on] + k])
-    return out
+    group = np.cumsum(lengths + LANE) // step
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(data)] if data else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        out[a:b] = _registers(data[a:b])
+    return combine(np.full(len(data), 0xFFFFFFFF, np.uint32), out, lengths) ^ np.uint32(0xFFFFFFFF)
 
 
 def crc_bytes(payload: bytes) -> bytes:
