@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from tidemark.functions.checksums import crc32c_of_parts, crc_bytes
+from tidemark.functions.checksums import crc, crc32c_of_parts
 from tidemark.shared import written
 from tidemark.sources.feed import TEMP
 
@@ -125,11 +125,11 @@ def write_files(spark: SparkSession, chunks: DataFrame, root: str) -> None:
 
         def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                crcs = []
-                for name, offset, payload in zip(*(batch.column(c).to_pylist() for c in ("name", "offset", "payload")), strict=True):
+                payloads = batch.column("payload").to_pylist()
+                for name, offset, payload in zip(*(batch.column(c).to_pylist() for c in ("name", "offset")), payloads, strict=True):
                     _put(job, root, name, offset, payload)
-                    crcs.append(int.from_bytes(crc_bytes(payload), "little"))
-                lengths = pa.array([len(p) for p in batch.column("payload").to_pylist()], pa.int64())
+                crcs = crc(payloads).tolist()  # all at once: short payloads cost little more than their bytes
+                lengths = pa.array([len(p) for p in payloads], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("size"), batch.column("file_checksum"), batch.column("offset"), lengths, pa.array(crcs, pa.int64())], names=["name", "size", "file_checksum", "offset", "len", "value"])
 
         dealt = chunks.select(*[c.split()[0] for c in _CHUNK.split(", ")]).repartitionByRange(n, "name", "offset").sortWithinPartitions("name", "offset")
