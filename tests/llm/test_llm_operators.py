@@ -374,6 +374,28 @@ def test_links_inside_one_table_are_found_by_differences(spark, edits):
     assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_tables_that_share_members_are_one_group_and_differences_go_only_where_they_meet(spark):
+    base, rows = text(5, 150).split(), []
+    for k in range(120):  # twelve families with a passage of their own, and a word of each member's own
+        ws = [*base[:50], *text(100 + k % 12, 40).split(), *base[90:]]
+        ws[(k * 13) % 50] = f"new{k}"
+        rows.append((1000 + k, " ".join(ws)))
+    docs = make(spark, [(i, t, "s") for i, t in rows])
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    want = brute_components(rows)
+    many = [(k, i, want[i][0], i) for k in range(12) for i, _ in rows if (i * 7 + k) % 4]  # each document is in nine tables
+    open_ = minhash.settle(spark.createDataFrame(many, "key long, rep long, n long, label long"))
+    groups = minhash.groups_of(open_).collect()
+    assert len({g.cs[0] for g in groups}) == 1 and all(len(g.cs) == 1 for g in groups)
+    certain, tables = minhash.difference_tables(open_, texts, 85, 5)
+    assert 0 < tables.count() <= 30 * len(rows)
+    label = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"))
+    star = open_.join(open_.groupBy("key").agg(*minhash.centre(1)).select("key", F.col("c.c").alias("b")), "key").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    pairs = certain.union(star).union(minhash.table_pairs(minhash.mixed_tables(tables, label), 85))
+    got = {r.node: r.label for r in minhash.components(minhash.confirmed(pairs, texts, 85, 5)).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()} and len(set(got.values())) > 1
+
+
 def test_an_id_with_several_texts_links_by_each(spark):
     a, b = text(1, 80), text(2, 80)
     rows = [(1, a + " x"), (5, a), (5, b), (9, b + " y"), (9, b + " y"), (12, text(3, 80))]

@@ -117,11 +117,14 @@ def _sorted(df: DataFrame) -> DataFrame:
 
 
 def groups_of(open_: DataFrame) -> DataFrame:
-    """rep, cs (array): the centres, as ``centre`` names them, of a document's tables (key, rep, n, label), where
-    at least two other members with different labels remain to be compared."""
+    """rep, cs (array of one): the group of a document's tables (key, rep, n, label), where at least two other members with different
+    labels than the table's centre, as ``centre`` names it, remain to be compared. Tables that share a member are one group, so that no
+    two documents meet in several: with each table's own centre as its group, a document's groups grow in number with its copies."""
     by_key = open_.join(open_.groupBy("key").agg(*centre(1)).select("key", "c.c"), "key").filter("rep <> c").select("c", "rep", "label").distinct()
     several = by_key.groupBy("c").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("c")
-    return by_key.join(several, "c").groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("c")).alias("cs"))  # at most one for each table
+    held = settle(by_key.join(several, "c").groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("c")).alias("cs")))  # at most one for each table
+    joined = components(held.select(F.expr("cs[0]").alias("a"), F.explode(F.expr("slice(cs, 2, size(cs))")).alias("b")).distinct())
+    return held.select("rep", "label", F.expr("cs[0]").alias("node")).join(joined.withColumnRenamed("label", "c"), "node", "left").select("rep", "label", F.array(F.coalesce("c", "node")).alias("cs"))
 
 
 _BITS = ["b0", "b1", "b2", "b3"]
@@ -182,7 +185,8 @@ def difference_tables(open_: DataFrame, texts: DataFrame, percent: int, width: i
     of the largest g, and comparison with the hub is enough. Any other link has common differences; with these in
     the order of their frequency, the first common one stands at a place q with 2 * (100 + p) * (|D| - q) >= -g(x) - g(y)
     in either list. Members are classed by g, and a list goes, as far as it must, to each class that it may meet and for
-    which the hub isn't enough:
+    which the hub isn't enough and
+    which holds the same difference, so far up in its lists, under another label. A difference whose holders have one label counts as a document's own:
     two documents that differ from the rest in their own ways never meet, however large the group is.
     """
     rows = stash(differences(settle(groups_of(open_)), texts, width), "differences")
@@ -194,12 +198,17 @@ def difference_tables(open_: DataFrame, texts: DataFrame, percent: int, width: i
     classed = alone.join(step, "c").withColumn("cls", F.expr("floor(g / step)"))
     classes = settle(classed.groupBy("c", "cls").agg(F.max("g").alias("top"), F.min("g").alias("bottom")).groupBy("c").agg(F.collect_list(F.struct("cls", "top", "bottom")).alias("classes")).join(step, "c"))
     listed = rows.filter("sh is not null")
-    again = listed.groupBy("c", "sh").agg(F.count("*").alias("df")).filter("df > 1")
+    again = listed.groupBy("c", "sh").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").drop("l0", "l1")
     held = listed.join(_sorted(again), ["c", "sh"])
     by_doc = Window.partitionBy("c", "rep", "v")
     ranked = held.withColumn("own", F.col("d") - F.count("*").over(by_doc)).withColumn("q", F.col("own") + F.row_number().over(by_doc.orderBy("df", "sh")) - 1)
-    sent = ranked.join(classes, "c").withColumn("cls", F.expr("floor(g / step)"))
-    sent = sent.withColumn("left", F.expr(f"{2 * (100 + percent)} * (d - q)")).withColumn("to", F.explode(F.expr("filter(classes, k -> left + g + k.top >= 0 and g + k.bottom < 0)")))
+    ranked = ranked.join(classes, "c").withColumn("cls", F.expr("floor(g / step)")).withColumn("left", F.expr(f"{2 * (100 + percent)} * (d - q)"))
+    ranked = ranked.filter("exists(classes, k -> left + g + k.top >= 0 and g + k.bottom < 0)")
+    heads = stash(ranked.select("c", "sh", "cls", "rep", "v", "label", "n", "g", "left", *_BITS), "difference-heads")
+    met = heads.groupBy("c", "sh", "cls").agg(F.max("g").alias("top"), F.min("g").alias("bottom"), F.max("left").alias("left"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    met = met.groupBy("c", "sh").agg(F.collect_list(F.struct("cls", "top", "bottom", "left", "l0", "l1")).alias("met"), F.min("l0").alias("l0"), F.max("l1").alias("l1")).filter("l0 < l1").select("c", "sh", "met")
+    to = F.expr("filter(met, k -> least(left, k.left) + g + k.top >= 0 and g + k.bottom < 0 and (k.l0 <> label or k.l1 <> label))")
+    sent = heads.join(_sorted(met), ["c", "sh"]).withColumn("to", F.explode(to))
     sent = sent.select("c", "sh", F.least("cls", "to.cls").alias("low"), F.greatest("cls", "to.cls").alias("high"), "cls", "rep", "v", "n", "g", "left", *_BITS)
     return certain, stash(sent, "difference-tables")
 
