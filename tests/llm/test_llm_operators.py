@@ -114,6 +114,20 @@ def test_token_store_round_trip(spark, sf, odd, tokenizer):
         assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read_ids(spark, path).collect()) == sorted(want)
 
 
+def test_simple_words_are_kept_at_once(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import tokens
+
+    words, calls, keep = [f"{a}{b}ling" for a in "bcdfghjklm" for b in "aeiouäöüß"], [], tokens.Encoder._keep
+    monkeypatch.setattr(tokens.Encoder, "_keep", lambda self, *args: calls.append(1) or keep(self, *args))
+    found = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    found.learn([w * k for k in range(1, 6) for w in words])
+    assert len(found.known) == 5 * len(words) and len(calls) == 1
+    for w in [*words, "µm", "ªb", "foo,", "foo!!", "foo'"]:
+        assert found.encode(pa.array([w]), 0)[0].tolist() == [*tokenizer.encode(w, add_special_tokens=False).ids, 0]
+
+
 def test_missing_or_changed_rows_of_the_token_store_raise(spark, sf):
     docs = documents(spark, sf)
     path = tokenstore.stash_path(spark, "test-root")

@@ -9,7 +9,7 @@ tokens go through the library whole, as it is loaded.
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,10 @@ import pyarrow.compute as pc
 
 _FOUND: dict[str, Encoder] = {}
 _TOGETHER = 50  # words in a text of their own
-_SIGNED = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-
-
-def _simple(word: str) -> bool:
-    """Lower-case letters of Latin-1 alone: normalising leaves them as they are, and they are one token's text."""
-    return word.isalpha() and word.islower() and (word.isascii() or max(word) <= "\xff")
+#: Lower-case letters of Latin-1 alone: normalising leaves them as they are, and they are one token's text.
+_LETTERS = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+"
+_SIMPLE = rf"\A{_LETTERS}\z"
+_SIGNED = rf"\A(?P<base>{_LETTERS})(?P<signs>[!-&(-/:-@\[-`{{-~]+)\z"
 
 
 class Encoder:
@@ -77,31 +75,38 @@ class Encoder:
         each = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
         self._keep(words, np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64))
 
+    def _together(self, words: list[str]) -> None:
+        """Simple words, many in a text; all that part rightly are kept at once."""
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        if not groups:
+            return
+        found = [e.ids for e in self.simple.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)]
+        n = np.array([len(ids) for ids in found], np.int64)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        ends, last = np.cumsum(n), self.last[ids]
+        before = np.insert(np.cumsum(last), 0, 0)
+        right = (n > 0) & (before[ends] - before[ends - n] == [len(g) for g in groups])
+        right[right] = last[ends[right] - 1]
+        if right.all():
+            self._keep(words, ids, np.diff(np.flatnonzero(last) + 1, prepend=0))
+            return
+        held = np.repeat(right, n)
+        self._keep([w for g, ok in zip(groups, right, strict=True) if ok for w in g], ids[held], np.diff(np.flatnonzero(last[held]) + 1, prepend=0))
+        self._one_by_one([w for g, ok in zip(groups, right, strict=True) if not ok for w in g])
+
     def learn(self, words: list[str]) -> None:
         """Simple words are encoded many at once, and parted at the tokens that end a word; a simple word
         and signs without apostrophe after it are two words to the vocabulary, so their ids are joined."""
-        plain, other, signed = dict.fromkeys(()), [], []
-        for w in words:
-            if _simple(w):
-                plain[w] = None
-            elif (m := _SIGNED.fullmatch(w)) and _simple(m[1]):
-                signed.append((w, m[1], m[2]))
-            else:
-                other.append(w)
-        for _, base, signs in signed:
-            if base not in self.known:
-                plain[base] = None
-            if signs not in self.known:
-                other.append(signs)
-        other, every = list(dict.fromkeys(other)), list(plain)
-        groups = [every[i : i + _TOGETHER] for i in range(0, len(every), _TOGETHER)]
-        for some, found in zip(groups, self.simple.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):
-                self._keep(some, ids, np.diff(ends, prepend=0))
-            else:
-                self._one_by_one(some)
+        found = pa.array(words, pa.string())
+        simple = pc.match_substring_regex(found, _SIMPLE)
+        rest = found.filter(pc.invert(simple))
+        parts = pc.extract_regex(rest, _SIGNED)
+        both = parts.is_valid()
+        signed = list(zip(_listed(rest.filter(both)), *(_listed(parts.filter(both).field(k)) for k in ("base", "signs")), strict=True))
+        other = dict.fromkeys(_listed(rest.filter(pc.invert(both)))) | dict.fromkeys(s for _, _, s in signed if s not in self.known)
+        plain = dict.fromkeys(_listed(found.filter(simple))) | dict.fromkeys(b for _, b, _ in signed if b not in self.known)
+        self._together(list(plain))
+        other = list(other)
         if other:
             self._one_by_one(other)
         if signed:
@@ -138,8 +143,12 @@ class Encoder:
             self._forget()
         if words[-1] not in self.known:
             self._keep(words[-1:], np.array([end], np.uint32), np.array([1]))
-        self.learn([w for w in words if w not in self.known])
-        of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        of = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            unknown = [words[k] for k in new.tolist()]
+            self.learn(unknown)
+            of[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
         self.met[of] += 1
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.insert(of[flat.indices.to_numpy()] if len(flat) else of[:0], np.cumsum(n_words), of[-1])
@@ -148,6 +157,11 @@ class Encoder:
         return self.ids[_places(self.starts[at], sizes)], (np.add.reduceat(sizes, docs) if len(docs) else sizes)
 
 
+def _listed(strings: pa.Array) -> list[str]:
+    """As to_pylist(), without a scalar for each string."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places start .. start + size - 1, one after another."""
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
