@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,23 +42,30 @@ class ProgressReports(StatefulProcessor):
         self.state = handle.getValueState("pending", "chunks long, next_seq long, file_id long, offset long, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending = self.state.get() if self.state.exists() else None
+        pending = self.state.get()  # None where there is none; each call is a round trip to the state store
         before, out = pending[4] if pending else None, []
-        for ms, seq, file_id, end, chunks in pd.concat(list(rows)).sort_values(["ms", "seq"])[["ms", "seq", "file_id", "end_offset", "chunks"]].itertuples(index=False):
-            due = (int(ms) // self.every_ms + 1) * self.every_ms
+        for ms, seq, file_id, end, chunks in self._ordered(rows):
+            due = (ms // self.every_ms + 1) * self.every_ms
             if pending and pending[4] < due:
                 out.append((key[0], *pending, "TIMER"))
                 pending = None
             count, highest = (pending[0], pending[1]) if pending else (0, 0)
-            pending = (count + int(chunks), max(highest, int(seq) + 1), int(file_id), int(end), due)
+            pending = (count + chunks, max(highest, seq + 1), file_id, end, due)
             if self.batch and pending[0] >= self.batch:
                 out.append((key[0], *pending, "COUNT"))
                 pending = None
         self._keep(pending, before)
         yield self._reports(out)
 
+    def _ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, ...]]:
+        """A stream's messages by time and number, as plain integers: most streams have few, for which frames cost more than they hold."""
+        frames = list(rows)
+        columns = [np.concatenate([f[c].to_numpy() for f in frames]) for c in ("ms", "seq", "file_id", "end_offset", "chunks")]
+        order = np.lexsort((columns[1], columns[0]))
+        return zip(*(c[order].astype(np.int64).tolist() for c in columns), strict=True)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pending = self.state.get() if self.state.exists() else None
+        pending = self.state.get()
         if pending is None:
             yield self._reports([])
             return
@@ -68,14 +76,16 @@ class ProgressReports(StatefulProcessor):
         if before is not None and (pending is None or pending[4] != before):
             self.handle.deleteTimer(before)
         if pending is None:
-            self.state.clear()
+            if before is not None:
+                self.state.clear()
             return
         if pending[4] != before:
             self.handle.registerTimer(pending[4])
         self.state.update(pending)
 
     def _reports(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["stream_id", "chunks", "next_seq", "file_id", "offset", "due_ms", "cause"])
+        names = ["stream_id", "chunks", "next_seq", "file_id", "offset", "due_ms", "cause"]
+        return pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True)) if out else {}, columns=names)
 
     def close(self) -> None:
         pass
