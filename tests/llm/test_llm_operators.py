@@ -128,6 +128,42 @@ def test_simple_words_are_kept_at_once(tokenizer, monkeypatch):
         assert found.encode(pa.array([w]), 0)[0].tolist() == [*tokenizer.encode(w, add_special_tokens=False).ids, 0]
 
 
+def test_words_met_once_are_not_remembered(tokenizer):
+    import pyarrow as pa
+
+    from tidemark.llm.tokens import Encoder
+
+    found = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    once, often = [f"{a}{b}ling{s}" for a in "bcdfghjklm" for b in "aeiouäöüß" for s in ("", ",", "'s", ".!")], ["some", "words.", "can't"]
+    texts = [" ".join([*once, *often, *often, *often]), "", " ".join([*often, once[0], "new!"])]
+    for _ in range(2):  # with words remembered, the same ids
+        ids, sizes = found.encode(pa.array(texts), 0)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+        assert set(often) <= set(found.known.to_pylist()) and not set(once) & set(found.known.to_pylist())
+
+
+def test_words_that_part_wrongly_go_one_by_one(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import tokens
+
+    words = [f"{a}{b}ling" for a in "bcdfghjklm" for b in "aeiouäöüß"]
+    found = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    split = found._one_by_one(pa.array(["coling"]))[0]
+    found.last[split[-1]] = False  # as if this word's last token didn't end a word
+    ids, sizes = found.encode(pa.array([" ".join(words)]), 0)
+    assert ids.tolist() == [*tokenizer.encode(" ".join(words), add_special_tokens=False).ids, 0] and sizes.tolist() == [len(ids)]
+
+
+def test_gear_hash_is_the_same_in_blocks(monkeypatch):
+    data = np.frombuffer(text(2, 300).encode(), np.uint8)
+    want = chunkstore.gear(data).tolist()
+    for block in (1, 31, 40, len(data)):
+        monkeypatch.setattr(chunkstore, "BLOCK", block)
+        assert chunkstore.gear(data).tolist() == want
+
+
 def test_missing_or_changed_rows_of_the_token_store_raise(spark, sf):
     docs = documents(spark, sf)
     path = tokenstore.stash_path(spark, "test-root")

@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +28,24 @@ from tidemark.llm.common import seeds, sliced, stash
 
 #: Bits of the bitmap of shared digests: 8 MB.
 BITS = 26
+BLOCK = 1 << 15
 SALTS = 64
 _RECIPE = "array<struct<digest:binary,len:int,shared:boolean>>"
 _GEAR = seeds(256, "gear").astype(np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling gear hash at every byte, over the last 32 bytes: h[i] = 2 * h[i - 1] + G[b[i]], in five doublings."""
-    h = _GEAR[data]
-    for step in (1, 2, 4, 8, 16):
-        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    return h
+    """The rolling gear hash at every byte, over the last 32 bytes: h[i] = 2 * h[i - 1] + G[b[i]], in five doublings.
+
+    Blocks that fit a core's cache are hashed one by one, each with the 31 bytes before it."""
+    out = np.empty(len(data), np.uint32)
+    for a in range(0, len(data), BLOCK):
+        lead = min(a, 31)
+        h = _GEAR[data[a - lead : a + BLOCK]]
+        for step in (1, 2, 4, 8, 16):
+            h[step:] = h[step:] + (h[:-step] << np.uint32(step))
+        out[a : a + BLOCK] = h[lead:]
+    return out
 
 
 def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: int, least: int, bits: int, most: int) -> list[list[int]]:
@@ -118,7 +127,9 @@ def shared_bitmap(digests: DataFrame) -> bytes:
 def cut_and_digested(payloads: list[bytes], *args: int) -> tuple[pa.Array, pa.Array]:
     """For each payload, its chunks' lengths and digests: columns ``lens`` and ``digests`` that spare ``write`` the cutting."""
     each = payload_chunks(payloads, *args)
-    return pa.array([[len(c) for c in cs] for cs in each], pa.list_(pa.int32())), pa.array([[digest(c) for c in cs] for cs in each], pa.list_(pa.binary()))
+    ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
+    chunks = list(chain.from_iterable(each))
+    return pa.ListArray.from_arrays(ends, pa.array(list(map(len, chunks)), pa.int32())), pa.ListArray.from_arrays(ends, pa.array(list(map(digest, chunks)), pa.binary()))
 
 
 def write(docs: DataFrame, keys: list[str], payload_of: Callable[[pa.RecordBatch], list[bytes]], path: str, unit: int = 1, least: int = 512, bits: int = 11, most: int = 8192, order: Column | None = None, then: tuple[str, ...] = ()) -> None:
@@ -132,51 +143,56 @@ def write(docs: DataFrame, keys: list[str], payload_of: Callable[[pa.RecordBatch
     column = "text" if "text" in docs.columns else "payload"
     known = "digests" in docs.columns
 
-    def chunks_of(part: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[bytes]]]:
-        """Each payload's chunks and their digests."""
+    def cut(part: pa.RecordBatch) -> tuple[list[bytes], pa.Array, pa.Array]:
+        """Payloads, and the lengths and digests of each one's chunks."""
         payloads = payload_of(part)
-        if not known:
-            yield from ((cs, [digest(c) for c in cs]) for cs in payload_chunks(payloads, *args))
-            return
-        for payload, lens, ds in zip(payloads, part.column("lens").to_pylist(), part.column("digests").to_pylist(), strict=True):
-            ends = np.cumsum(lens).tolist()
-            yield [payload[e - n : e] for e, n in zip(ends, lens, strict=True)], ds
+        return payloads, *((part.column("lens"), part.column("digests")) if known else cut_and_digested(payloads, *args))
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column):
-            yield pa.RecordBatch.from_arrays([pa.array([d for _, ds in chunks_of(part) for d in set(ds)], pa.binary())], ["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for ds in cut(part)[2].to_pylist() for d in set(ds)], pa.binary())], ["digest"])
 
     every = docs.select(F.explode(F.array_distinct("digests")).alias("digest")) if known else docs.mapInArrow(digests, "digest binary")
     bitmap = spark.sparkContext.broadcast(shared_bitmap(every))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     head = "".join(f"{k} {kinds[k].simpleString()}, " for k in keys)
 
-    def split(part: pa.RecordBatch) -> Iterator[tuple[list[tuple[bytes, int, bool]], bytes, list[tuple[bytes, bytes]]]]:
+    def split(part: pa.RecordBatch) -> tuple[list[bytes], pa.Array, np.ndarray, np.ndarray, pa.Array]:
+        """Payloads, their recipes, the place of each one's first chunk among all (with the end), flags of shared chunks, digests."""
         bits_ = np.frombuffer(bitmap.value, np.uint64)
-        for chunks, ds in chunks_of(part):
-            at = _slot(ds)
-            flags = ((bits_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).tolist()
-            yield (
-                [(d, len(c), f) for d, c, f in zip(ds, chunks, flags, strict=True)],
-                b"".join(c for c, f in zip(chunks, flags, strict=True) if not f),
-                [(d, c) for d, c, f in zip(ds, chunks, flags, strict=True) if f],
-            )
+        payloads, lens, each = cut(part)
+        first = np.cumsum([0, *pc.list_value_length(each).to_pylist()])
+        lens, ds = lens.flatten(), each.flatten()
+        at = _slot(ds.to_pylist())
+        flags = ((bits_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        recipes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([ds, lens, pa.array(flags)], ["digest", "len", "shared"]))
+        return payloads, recipes, first, flags, ds
+
+    def parted(payload: bytes, lens: list[int]) -> list[bytes]:
+        ends = list(accumulate(lens))
+        return [payload[e - n : e] for e, n in zip(ends, lens, strict=True)]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recipe = pa.list_(pa.struct([("digest", pa.binary()), ("len", pa.int32()), ("shared", pa.bool_())]))
         for part in sliced(batches, column):
-            found = list(split(part))
-            items = [[{"digest": d, "len": n, "shared": f} for d, n, f in r] for r, _, _ in found]
-            roots = [merkle_root([d for d, _, _ in r]) for r, _, _ in found]
-            n_shared = [sum(f for _, _, f in r) for r, _, _ in found]
+            own, recipes, first, flags, ds = split(part)
+            n_shared = np.diff(np.insert(np.cumsum(flags), 0, 0)[first])
+            for k in np.flatnonzero(n_shared).tolist():
+                lens = recipes[k].values.field("len").to_pylist()
+                own[k] = b"".join(c for c, f in zip(parted(own[k], lens), flags[first[k] : first[k + 1]].tolist(), strict=True) if not f)
+            ds, edges = ds.to_pylist(), first.tolist()
+            roots = [ds[a] if b - a == 1 else merkle_root(ds[a:b]) for a, b in pairwise(edges)]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in keys), pa.array(items, recipe), pa.array([b for _, b, _ in found], pa.binary()), pa.array(roots, pa.binary()), pa.array(n_shared, pa.int32())],
+                [*(part.column(k) for k in keys), recipes, pa.array(own, pa.binary()), pa.array(roots, pa.binary()), pa.array(n_shared, pa.int32())],
                 [*keys, "recipe", "own", "root", "n_shared"],
             )
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column):
-            once = {d: c for _, _, chunks in split(part) for d, c in chunks}
+            payloads, recipes, first, flags, _ = split(part)
+            once = {}
+            for k in np.flatnonzero(np.diff(np.insert(np.cumsum(flags), 0, 0)[first])).tolist():
+                recipe = recipes[k].values
+                once |= {d: c for d, c, f in zip(recipe.field("digest").to_pylist(), parted(payloads[k], recipe.field("len").to_pylist()), flags[first[k] : first[k + 1]].tolist(), strict=True) if f}
             yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.binary())], ["digest", "bytes"])
 
     out = docs.mapInArrow(rows, f"{head}recipe {_RECIPE}, own binary, root binary, n_shared int")
@@ -198,7 +214,7 @@ def read(spark, path: str, keys: list[str], schema: str) -> tuple[DataFrame, Dat
     return docs, spark.read.schema("digest binary, bytes binary").parquet(f"{path}/kind=chunk")
 
 
-def rebuilt(docs: DataFrame, chunks: DataFrame, keys: list[str], describe: Callable[[list[bytes], list[list[dict]]], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
+def rebuilt(docs: DataFrame, chunks: DataFrame, keys: list[str], describe: Callable[[list[bytes], pa.ListArray], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
     """Payloads from a store, verified, described by ``describe(payloads, recipes)`` as columns.
 
     Documents without shared chunks are rebuilt where they are read. For the others, only the
@@ -210,19 +226,20 @@ def rebuilt(docs: DataFrame, chunks: DataFrame, keys: list[str], describe: Calla
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "own"):
-            recipes = part.column("recipe").to_pylist()
-            foreign = part.column("foreign").to_pylist()
+            recipes = part.column("recipe")
+            edges = np.cumsum([0, *pc.list_value_length(recipes).to_pylist()]).tolist()
+            digests, lens, flags = (x.to_pylist() for x in recipes.flatten().flatten())
             payloads = []
-            for recipe, own, others, root in zip(recipes, part.column("own").to_pylist(), foreign, part.column("root").to_pylist(), strict=True):
+            for (a, b), own, others, root in zip(pairwise(edges), part.column("own").to_pylist(), part.column("foreign").to_pylist(), part.column("root").to_pylist(), strict=True):
                 lent = {o["digest"]: o["bytes"] for o in others or ()}
                 pieces, at = [], 0
-                for c in recipe:
-                    piece = lent.get(c["digest"]) if c["shared"] else own[at : at + c["len"]]
-                    at += 0 if c["shared"] else c["len"]
-                    if piece is None or digest(piece) != c["digest"]:
+                for d, n, f in zip(digests[a:b], lens[a:b], flags[a:b], strict=True):
+                    piece = lent.get(d) if f else own[at : at + n]
+                    at += 0 if f else n
+                    if piece is None or digest(piece) != d:
                         raise ValueError("a stored chunk is missing or differs from its digest")
                     pieces.append(piece)
-                if merkle_root([c["digest"] for c in recipe]) != root:
+                if (digests[a] if b - a == 1 else merkle_root(digests[a:b])) != root:
                     raise ValueError("a recipe differs from its Merkle root")
                 payloads.append(b"".join(pieces))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *describe(payloads, recipes)], [*keys, *names])

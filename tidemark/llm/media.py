@@ -58,7 +58,8 @@ def write_media(docs: DataFrame, path: str) -> None:
 def read_media(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     """doc_id, n_bytes and features of every stored payload, computed from the bytes read back."""
 
-    def describe(payloads: list[bytes], recipes: list[list[dict]]) -> list[pa.Array]:
+    def describe(payloads: list[bytes], recipes: pa.ListArray) -> list[pa.Array]:
+        recipes = recipes.to_pylist()
         forms = [stored_form(p, r) for p, r in zip(payloads, recipes, strict=True)]
         return [
             pa.array([len(p) for p in payloads], pa.int64()),

@@ -9,7 +9,7 @@ tokens go through the library whole, as it is loaded.
 from __future__ import annotations
 
 import os
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 _FOUND: dict[str, Encoder] = {}
 _TOGETHER = 50  # words in a text of their own
+_AT_ONCE = 1000  # texts in a call
+_OFTEN = 3  # times that a batch holds a word that is remembered
 #: Lower-case letters of Latin-1 alone: normalising leaves them as they are, and they are one token's text.
 _LETTERS = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+"
 _SIMPLE = rf"\A{_LETTERS}\z"
@@ -24,9 +26,9 @@ _SIGNED = rf"\A(?P<base>{_LETTERS})(?P<signs>[!-&(-/:-@\[-`{{-~]+)\z"
 
 
 class Encoder:
-    """Remembers the ids of words between blanks, up to ``bound`` words; words met once are forgotten first."""
+    """Ids of words between blanks. Words that a batch holds often are remembered, up to ``bound`` words."""
 
-    def __init__(self, path: str, bound: int = 700_000):
+    def __init__(self, path: str, bound: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -46,73 +48,72 @@ class Encoder:
 
     def clear(self) -> None:
         """Forgets all words, as at a task's end: a worker lives on, and its next task may be of another kind."""
-        self.known: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
-
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.known), len(words)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + m > len(self.starts):
-            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + m] = sizes
-        self.met[n : n + m] = 0
-        self.used += len(ids)
-        self.known.update(zip(words, range(n, n + m), strict=True))
-
-    def _forget(self) -> None:
-        """Keeps words met in two batches or more, if these are half of the bound at most."""
-        words, stay = list(self.known), np.flatnonzero(self.met[: len(self.known)] > 1)
-        stay = stay if len(stay) <= self.bound // 2 else stay[:0]
-        starts, sizes, ids = self.starts[stay], self.sizes[stay], self.ids
-        self.known, self.used, self.ids = {}, 0, np.zeros(1 << 16, np.uint32)
-        self._keep([words[k] for k in stay], ids[_places(starts, sizes)], sizes)
-
-    def _one_by_one(self, words: list[str]) -> None:
-        each = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        self._keep(words, np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64))
-
-    def _together(self, words: list[str]) -> None:
-        """Simple words, many in a text; all that part rightly are kept at once."""
-        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-        if not groups:
-            return
-        found = [e.ids for e in self.simple.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)]
-        n = np.array([len(ids) for ids in found], np.int64)
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        self.known: pa.StringArray = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(self.known) + len(words) > self.bound:
+            self.clear()
+        if len(words) <= self.bound:
+            self.known = pa.concat_arrays([self.known, words])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return _called(self.words, _listed(words))
+
+    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of simple words, many in a text; those of texts that part wrongly again one by one."""
+        n_words = np.minimum(_TOGETHER, len(words) - np.arange(0, len(words), _TOGETHER))
+        edges = pa.array(np.insert(np.cumsum(n_words), 0, 0), pa.int32())
+        ids, n = _called(self.simple, _listed(pc.binary_join(pa.ListArray.from_arrays(edges, words), " ")))
         ends, last = np.cumsum(n), self.last[ids]
         before = np.insert(np.cumsum(last), 0, 0)
-        right = (n > 0) & (before[ends] - before[ends - n] == [len(g) for g in groups])
+        right = (n > 0) & (before[ends] - before[ends - n] == n_words)
         right[right] = last[ends[right] - 1]
         if right.all():
-            self._keep(words, ids, np.diff(np.flatnonzero(last) + 1, prepend=0))
-            return
-        held = np.repeat(right, n)
-        self._keep([w for g, ok in zip(groups, right, strict=True) if ok for w in g], ids[held], np.diff(np.flatnonzero(last[held]) + 1, prepend=0))
-        self._one_by_one([w for g, ok in zip(groups, right, strict=True) if not ok for w in g])
-
-    def learn(self, words: list[str]) -> None:
-        """Simple words are encoded many at once, and parted at the tokens that end a word; a simple word
+            return ids, np.diff(np.flatnonzero(last) + 1, prepend=0)
+        held, of = np.repeat(right, n), np.repeat(right, n_words)
+        again, again_sizes = self._one_by_one(words.filter(pa.array(~of)))
+        ids, sizes = ids[held], np.zeros(len(words), np.int64)
+        sizes[of], sizes[~of] = np.diff(np.flatnonzero(last[held]) + 1, prepend=0), again_sizes
+        starts = np.zeros(len(words), np.int64)
+        starts[of], starts[~of] = np.cumsum(sizes[of]) - sizes[of], len(ids) + np.cumsum(again_sizes) - again_sizes
+        return np.concatenate([ids, again])[_places(starts, sizes)], sizes
+
+    def learn(self, words: list[str] | pa.Array, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word the place of its first id and their number; words that are ``often`` met (default: all) are kept.
+
+        Simple words are encoded many at once, and parted at the tokens that end a word; a simple word
         and signs without apostrophe after it are two words to the vocabulary, so their ids are joined."""
-        found = pa.array(words, pa.string())
-        simple = pc.match_substring_regex(found, _SIMPLE)
-        rest = found.filter(pc.invert(simple))
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        rest = words.filter(pc.invert(simple))
         parts = pc.extract_regex(rest, _SIGNED)
         both = parts.is_valid()
-        signed = list(zip(_listed(rest.filter(both)), *(_listed(parts.filter(both).field(k)) for k in ("base", "signs")), strict=True))
-        other = dict.fromkeys(_listed(rest.filter(pc.invert(both)))) | dict.fromkeys(s for _, _, s in signed if s not in self.known)
-        plain = dict.fromkeys(_listed(found.filter(simple))) | dict.fromkeys(b for _, b, _ in signed if b not in self.known)
-        self._together(list(plain))
-        other = list(other)
-        if other:
-            self._one_by_one(other)
-        if signed:
-            both = np.array([[self.known[b], self.known[s]] for _, b, s in signed]).ravel()
-            sizes = self.sizes[both]
-            self._keep([w for w, _, _ in signed], self.ids[_places(self.starts[both], sizes)], sizes.reshape(-1, 2).sum(axis=1))
+        parts = parts.filter(both)
+        plain = pa.concat_arrays([words.filter(simple), parts.field("base")]).dictionary_encode()
+        other = pa.concat_arrays([rest.filter(pc.invert(both)), parts.field("signs")]).dictionary_encode()
+        found = [self._together(plain.dictionary), self._one_by_one(other.dictionary)]
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        starts = np.cumsum(sizes) - sizes
+        # Of each kind of word, the places among the encoded ones.
+        simple, both = (x.to_numpy(zero_copy_only=False) for x in (simple, both))
+        first, second = plain.indices.to_numpy(), other.indices.to_numpy() + len(plain.dictionary)
+        n_simple, n_other = int(simple.sum()), int((~both).sum())
+        of = np.zeros(len(words), np.int64)
+        of[simple] = first[:n_simple]
+        signed = np.flatnonzero(~simple)[both]
+        of[np.flatnonzero(~simple)[~both]] = second[:n_other]
+        pairs = np.stack([first[n_simple:], second[n_other:]], axis=1).ravel()
+        joined = ids[_places(starts[pairs], sizes[pairs])]
+        lengths = sizes[pairs].reshape(-1, 2).sum(axis=1)
+        at, n = starts[of], sizes[of]
+        at[signed], n[signed] = len(ids) + np.cumsum(lengths) - lengths, lengths
+        ids = np.concatenate([ids, joined])
+        keep = slice(None) if often is None else often
+        self._keep(words if often is None else words.filter(pa.array(often)), ids[_places(at[keep], n[keep])], n[keep])
+        return ids, at, n
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and the number of ids of each; null is empty."""
@@ -138,23 +139,34 @@ class Encoder:
         # Blank and newline part words in any case; other white space is left to the tokenizer.
         lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
         flat = lists.flatten().dictionary_encode()
-        words = [*flat.dictionary.to_numpy(zero_copy_only=False).tolist(), f"\n{end}"]  # the last is the end id
-        if len(self.known) + len(words) > self.bound:
-            self._forget()
-        if words[-1] not in self.known:
-            self._keep(words[-1:], np.array([end], np.uint32), np.array([1]))
-        of = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(of < 0)
-        if len(new):
-            unknown = [words[k] for k in new.tolist()]
-            self.learn(unknown)
-            of[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
-        self.met[of] += 1
+        words, indices = flat.dictionary, flat.indices.to_numpy()
+        of = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        old = of >= 0
+        starts, sizes = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)  # the last is the end id
+        starts[:-1][old], sizes[:-1][old] = self.starts[of[old]], self.sizes[of[old]]
+        ids = self.ids
+        if not old.all():
+            often = np.bincount(indices, minlength=len(words))[~old] >= _OFTEN
+            new, at, n = self.learn(words.filter(pa.array(~old)), often)
+            starts[:-1][~old], sizes[:-1][~old] = at + len(ids), n
+            ids = np.concatenate([ids, new])
+        starts[-1], sizes[-1] = len(ids), 1
+        ids = np.append(ids, np.uint32(end))
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        at = np.insert(of[flat.indices.to_numpy()] if len(flat) else of[:0], np.cumsum(n_words), of[-1])
-        sizes = self.sizes[at]
+        at = np.insert(indices, np.cumsum(n_words), len(words))
+        each = sizes[at]
         docs = np.cumsum(n_words + 1) - (n_words + 1)
-        return self.ids[_places(self.starts[at], sizes)], (np.add.reduceat(sizes, docs) if len(docs) else sizes)
+        return ids[_places(starts[at], each)], (np.add.reduceat(each, docs) if len(docs) else each)
+
+
+def _called(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts and the number of ids of each, from the library; few texts at once, as it returns more than ids."""
+    parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(texts), _AT_ONCE):
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts[k : k + _AT_ONCE], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
 def _listed(strings: pa.Array) -> list[str]:

@@ -56,7 +56,7 @@ def encoded(docs: DataFrame, end: int, vocabulary: str, width: int, chunking: tu
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
-        for part in sliced(batches, limit=1 << 22):
+        for part in sliced(batches, limit=1 << 23):
             ids, sizes = words.encode(part.column("text"), end)
             if len(ids) and int(ids.max()) >> (8 * width):
                 raise ValueError(f"an id doesn't fit {width} bytes")
@@ -91,7 +91,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("the store has no root")
     root, width, edges = stored[0]
 
-    def describe(payloads: list[bytes], recipes: list[list[dict]]) -> list[pa.Array]:
+    def describe(payloads: list[bytes], recipes: pa.ListArray) -> list[pa.Array]:
         return [pa.array([zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads], pa.int64()), pa.array([len(p) // width for p in payloads], pa.int64())]
 
     docs, chunks = chunkstore.read(spark, path, ["doc_id", "n_tokens", "root"], "doc_id bigint, n_tokens bigint")
