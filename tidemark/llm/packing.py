@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, room: int, end: int, vocabulary: str) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, words = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), encoder(vocabulary)
-        for batch in sliced(batches, limit=1 << 21):
+        for batch in sliced(batches, limit=1 << 23):
             out = []
             ids, sizes = words.encode(batch.column("text"), end)
             data, at = memoryview(ids.astype("<u4").tobytes()), 0
