@@ -250,19 +250,25 @@ def table_pairs(tables: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
 
+def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, old, label after a round: the least label among the node's neighbours, and that label's label. As edges (a, b) has each
+    node beside itself, a node's own label comes with its neighbours', and a round deals rows out anew twice only besides edges and labels."""
+    near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+    step = near.agg(F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"), F.min("label").alias("mid"))
+    jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+    return step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label"))
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, label: the smallest node that it reaches over the edges (a, b). Labels spread to
     neighbours and then jump to their label's label, so rounds grow with the log of the longest path."""
-    edges = settle(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = settle(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = F.inline(F.expr("array(struct(a, b), struct(b as a, a as b), struct(a, a as b), struct(b as a, b))"))
+    edges = settle(edges.select(both).distinct())
+    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     for _ in range(most):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        after = settle(step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")))
-        changed = after.filter("old <> label").limit(1).count()
+        after = settle(spread(edges, labels))
         labels = after.select("node", "label")
-        if not changed:
+        if not after.filter("old <> label").take(1):
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
 
@@ -300,7 +306,7 @@ def _near_duplicates(docs: DataFrame, percent: int, m: int, r: int, width: int)
     def linked(pairs: DataFrame) -> DataFrame:
         """The labels of all nodes, where links among pairs join two labels."""
         links = settle(confirmed(settle(pairs), texts, percent, width))
-        if links.isEmpty():
+        if not links.take(1):
             return label
         ends = [label.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
         between = links.join(ends[0], "a").join(ends[1], "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
