@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import checksums as C
+from tidemark.operators.audit import chunked_outcomes
 from tidemark.streaming import apply as AP
 
 
@@ -35,3 +37,41 @@ def test_checksums_of_any_lengths_together():
     for step in (1, 700, 4 << 20):
         assert [int(x) for x in C.crc([*texts, None], step)] == [*map(slow, texts), 0]
     assert len(C.crc([])) == 0
+
+
+def _slow(p: bytes) -> int:
+    reg = 0xFFFFFFFF
+    for b in p:
+        reg = int(C._TABLE[(reg ^ b) & 0xFF]) ^ (reg >> 8)
+    return reg ^ 0xFFFFFFFF
+
+
+def test_long_payloads_advance_by_their_last_bytes_alone(monkeypatch):
+    r, steps, take = random.Random(7), [], np.take
+    texts = [r.randbytes(10000) for _ in range(9)] + [r.randbytes(n) for n in (1000, 1024, 1025, 65535, 65536, 65537, 140000)] + [bytearray(3), b""]
+    monkeypatch.setattr(C.np, "take", lambda *a, **b: steps.append(1) or take(*a, **b))
+    same = C.crc(texts[:9])
+    assert len(steps) <= C.LANE // 2  # not half the lane's length for each lane, as lanes are folded
+    assert same.tolist() == [_slow(t) for t in texts[:9]] and C.crc(texts).tolist() == [_slow(bytes(t)) for t in texts]
+
+
+def test_folding_keeps_the_register():
+    r = random.Random(8)
+    for width in range(C.LANE, 12 * C.LANE, C.LANE):
+        rows = np.frombuffer(r.randbytes(3 * width), np.uint8).reshape(3, width)
+        short = C._folded(rows.copy())
+        assert short.shape == (3, C.LANE) and C._registers(list(rows)).tolist() == [C._registers([s.tobytes()])[0] for s in short]
+
+
+def test_log_is_dealt_by_rows_and_sums_are_made_once(spark, sf):
+    log = AP.log_from_orders(spark, sf)
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [stream_id" in plan and "encode(" not in plan
+    rest = chunked_outcomes(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_xor" not in rest and "min_by" not in rest and "ArrowEvalPython" not in rest
+
+
+def test_shifted_sums_of_nulls_and_ends(spark):
+    rows = spark.createDataFrame([(5, 0), (5, -3), (5, None), (None, 4), (0, 7), (0xFFFFFFFF, 70000)], "v long, n long")
+    want = [5, 5, 5, None, 0, int(C.combine(np.array([0xFFFFFFFF]), np.zeros(1), np.array([70000]))[0])]
+    assert [r.s for r in rows.coalesce(1).select(C.shifted(F.col("v"), F.col("n")).alias("s")).collect()] == want

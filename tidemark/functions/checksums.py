@@ -1,7 +1,7 @@
 """CRC32C (Castagnoli): of byte columns, of concatenations from parts, of file ranges.
 
 The loop runs over many payloads at once: a payload is cut into lanes of equal length, all
-lanes advance together in numpy, by two bytes a step, and lanes are put together as parts are (``combine``), pair by pair.
+lanes are folded to their last bytes and advance together in numpy, by two bytes a step, and lanes are put together as parts are (``combine``), pair by pair.
 """
 
 from __future__ import annotations
@@ -10,13 +10,17 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import Ranges
 
 _POLY = 0x82F63B78
-LANE = 256
+LANE, WIDE = 256, 1 << 16
+#: The polynomial divides x^209 + x^144 + x^54 + x^39 + x^14 + 1, and with it the same sum with all exponents times a power of two. So a byte counts as much as
+#: copies of it at these places after its own, together, or at these places times a power of two.
+_AFTER = (65, 155, 170, 195, 209)
 TAIL = 4 << 20
 
 
@@ -48,13 +52,29 @@ def _zeros(power: int) -> np.ndarray:
     return _apply(half, half)
 
 
+def _images(matrix: np.ndarray) -> np.ndarray:
+    """For each of a register's four bytes and each of its values: what the matrix makes of it."""
+    values = np.arange(256, dtype=np.uint32)
+    return np.stack([_apply(matrix, values << np.uint32(8 * at)) for at in range(4)])
+
+
+def _looked_up(images: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The same as ``_apply``, by the matrix's images."""
+    return reduce(np.bitwise_xor, [images[at][(x >> np.uint32(8 * at)) & np.uint32(255)] for at in range(4)])
+
+
+@lru_cache(64)
+def _zeros_images(power: int) -> np.ndarray:
+    return _images(_zeros(power))
+
+
 def combine(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Checksum of the concatenation of two parts, the second ``length`` bytes long; associative."""
     out, length = np.asarray(first, np.uint32).copy(), np.asarray(length, np.int64)
     for k in range(int(length.max(initial=0)).bit_length()):
         on = ((length >> k) & 1).astype(bool)
         if on.any():
-            out[on] = _apply(_zeros(k), out[on])
+            out[on] = _looked_up(_zeros_images(k), out[on])
     return out ^ np.asarray(second, np.uint32)
 
 
@@ -67,52 +87,70 @@ def _pairs() -> np.ndarray:
     return x
 
 
-def _registers(data: list[bytes]) -> np.ndarray:
+def _folded(lanes: np.ndarray) -> np.ndarray:
+    """The last LANE bytes of each lane (a row), which make the same register of zero once the bytes before them are moved on (``_AFTER``). The lanes are changed."""
+    width, at = lanes.shape[1], 0
+    for k in range((width // _AFTER[-1]).bit_length() - 1, -1, -1):  # far first: long pieces, all lanes' at once
+        last = width - max(_AFTER[-1] << k, LANE)
+        while at < last:
+            n = min(_AFTER[0] << k, last - at)
+            for far in _AFTER:
+                to = lanes[:, at + (far << k) :][:, :n]
+                np.bitwise_xor(to, lanes[:, at : at + n], out=to)
+            at += n
+    return lanes[:, width - LANE :]
+
+
+def _registers(data: list) -> np.ndarray:
     """What each payload makes of a register of zero. Zero bytes before it don't count, so that its lanes are filled from the right."""
-    counts = np.array([-(-len(p) // LANE) for p in data])
-    ends = np.cumsum(counts)
-    out, lanes = np.zeros(len(data), np.uint32), int(ends[-1])
-    if not lanes:
+    out, longest = np.zeros(len(data), np.uint32), max(map(len, data))
+    if not longest:
         return out
-    block = np.zeros(lanes * LANE, np.uint8)
-    for p, end in zip(data, (ends * LANE).tolist(), strict=True):
-        if p:
+    lane = min(-(-longest // LANE) * LANE, WIDE)
+    counts = np.array([-(-len(p) // lane) for p in data])
+    ends = np.cumsum(counts)
+    lanes = int(ends[-1])
+    block = np.zeros(lanes * lane, np.uint8)
+    for p, end in zip(data, (ends * lane).tolist(), strict=True):
+        if len(p):
             block[end - len(p) : end] = np.frombuffer(p, np.uint8)
-    words = block.view("<u2").reshape(lanes, -1)
-    if lanes == len(data):  # short ones: what is zero in all lanes is left out
-        words = words[:, (LANE - max(map(len, data))) // 2 :]
-    reg, at, image, table = np.zeros(lanes, np.uint32), np.empty(lanes, np.intp), np.empty(lanes, np.uint32), _pairs()
-    for word in np.ascontiguousarray(words.T):
-        np.bitwise_and(reg, 0xFFFF, out=at)
-        np.bitwise_xor(at, word, out=at)
+    words = _folded(block.reshape(lanes, lane)).view("<u2")
+    if longest < LANE:  # short ones: what is zero in all lanes is left out
+        words = words[:, (LANE - longest) // 2 :]
+    reg, image, table = np.zeros(lanes, np.uint32), np.empty(lanes, np.uint32), _pairs()
+    for at in np.ascontiguousarray(words.T).astype(np.uint32):
+        np.bitwise_xor(at, reg, out=at)
+        np.bitwise_and(at, 0xFFFF, out=at)
         np.take(table, at, out=image, mode="clip")
         np.right_shift(reg, 16, out=reg)
         np.bitwise_xor(reg, image, out=reg)
     width = 1
-    while True:  # payloads of up to width lanes; all pairs of lanes are put together at once
+    while True:  # payloads of up to width lanes, of WIDE bytes where they are several; all pairs of lanes are put together at once
         own = np.flatnonzero((counts <= width) & (counts > width // 2))
         if len(own):
             held = np.zeros((len(own), width), np.uint32)
             there = np.arange(width) >= width - counts[own][:, None]
             held[there] = reg[(ends[own][:, None] - width + np.arange(width))[there]]
-            power = LANE.bit_length() - 1
+            power = WIDE.bit_length() - 1
             while held.shape[1] > 1:
-                held, power = _apply(_zeros(power), held[:, ::2]) ^ held[:, 1::2], power + 1
+                held, power = _looked_up(_zeros_images(power), held[:, ::2]) ^ held[:, 1::2], power + 1
             out[own] = held[:, 0]
         if width >= counts.max():
             return out
         width *= 2
 
 
-def crc(payloads: list[bytes | None], step: int = 4 << 20) -> np.ndarray:
-    """Checksums of many payloads; a null counts as empty. About step bytes are at work at once."""
-    data = [p or b"" for p in payloads]
+def crc(payloads: list, step: int = 4 << 20) -> np.ndarray:
+    """Checksums of many payloads (of bytes, or what has their buffer); a null counts as empty. About step bytes, of payloads of similar length, are at work at once."""
+    data = [b"" if p is None else p for p in payloads]
     lengths = np.array([len(p) for p in data], np.int64)
     out = np.zeros(len(data), np.uint32)
-    group = np.cumsum(lengths + LANE) // step
-    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(data)] if data else []
+    kind = np.ceil(np.log2(np.clip(-(-lengths // LANE), 1, WIDE // LANE)))
+    order = np.argsort(kind, kind="stable")
+    group = np.cumsum(lengths[order] + LANE) // step
+    cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (np.diff(kind[order]) > 0)) + 1).tolist(), len(data)] if data else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        out[a:b] = _registers(data[a:b])
+        out[order[a:b]] = _registers([data[i] for i in order[a:b].tolist()])
     return combine(np.full(len(data), 0xFFFFFFFF, np.uint32), out, lengths) ^ np.uint32(0xFFFFFFFF)
 
 
@@ -120,13 +158,14 @@ def crc_bytes(payload: bytes) -> bytes:
     return int(crc([payload])[0]).to_bytes(4, "little")
 
 
-def _crc32c(col: pd.Series) -> pd.Series:
-    return pd.Series([int(x).to_bytes(4, "little") if v is not None else None for x, v in zip(crc(list(col)), col, strict=True)], dtype=object)
+def _crc32c(col: pa.Array) -> pa.Array:
+    found = crc([v.as_buffer() for v in col]).tolist()  # payloads stay where Arrow has them
+    return pa.array([x.to_bytes(4, "little") if held else None for x, held in zip(found, col.is_valid().to_pylist(), strict=True)], pa.binary())
 
 
 def crc32c(col) -> Column:
     """CRC32C of a binary column as four little-endian bytes."""
-    return F.pandas_udf(_crc32c, "binary")(col)
+    return F.arrow_udf(_crc32c, "binary")(col)
 
 
 def crc_value(col) -> Column:
@@ -150,24 +189,16 @@ def _combine_group(checksum: pd.Series, length: pd.Series, at: pd.Series) -> byt
     return _combined(checksum.iloc[order], length.iloc[order])[0]
 
 
-@lru_cache(1)
-def _shifts() -> str:
-    """For each power of two zero bytes, each of a checksum's eight nibbles and each of its values: the effect on the register; as text, which Spark turns into one constant."""
-    nibbles = np.arange(16, dtype=np.uint32)
-    return ",".join(str(v) for k in range(48) for at in range(8) for v in _apply(_zeros(k), nibbles << np.uint32(4 * at)).tolist())
+def _shifted(values: pa.Array, zeros: pa.Array) -> pa.Array:
+    value = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+    after = np.maximum(zeros.fill_null(0).to_numpy(zero_copy_only=False), 0)
+    return pa.array(combine(value, np.zeros_like(value), after).astype(np.int64), mask=values.is_null().to_numpy(zero_copy_only=False))
 
 
 def shifted(value: Column, zeros: Column) -> Column:
     """What a part's checksum (a number) amounts to in the whole's, if ``zeros`` bytes follow it. The whole's checksum is the exclusive or of
     these over all its parts, in any order: an aggregate that Spark sums before it shuffles."""
-    table = F.split(F.lit(_shifts()), ",").cast("array<bigint>")
-    bits = F.when(zeros > 0, F.sequence(F.lit(0), F.length(F.bin(zeros)) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def step(register: Column, k: Column) -> Column:
-        images = [F.get(table, (k * 8 + at) * 16 + F.shiftright(register, 4 * at).bitwiseAND(F.lit(15)).cast("int")) for at in range(8)]
-        return F.when(F.getbit(zeros, k) == 1, reduce(lambda a, b: a.bitwiseXOR(b), images)).otherwise(register)
-
-    return F.aggregate(bits, value.cast("long"), step)
+    return F.arrow_udf(_shifted, "long")(value.cast("long"), zeros.cast("long"))
 
 
 def value_bytes(value: Column) -> Column:
@@ -188,7 +219,8 @@ def crc32c_combine(parts: DataFrame, keys: list[str], order: str, crc_col: str =
 
 def crc32c_of_parts(parts: DataFrame, keys: list[str], value: Column, after: Column) -> DataFrame:
     """keys, checksum, len of the parts (len) of each group, of which the checksum's value and the bytes after them are known."""
-    out = parts.groupBy(*keys).agg(F.bit_xor(shifted(value, after)).alias("_value"), F.sum("len").alias("len"))
+    moved = parts.select(*keys, shifted(value, after).alias("_value"), "len")
+    out = moved.groupBy(*keys).agg(F.bit_xor("_value").alias("_value"), F.sum("len").alias("len"))
     return out.select(*keys, value_bytes(F.col("_value")).alias("checksum"), "len")
 
 
@@ -223,7 +255,7 @@ def register_all(spark: SparkSession) -> None:
     """SQL functions crc32c(binary) and the aggregate crc32c_combine(checksum, len, order), the tree source and sink, and the change feed."""
     from tidemark.sources import feed, sink, tree
 
-    spark.udf.register("crc32c", F.pandas_udf(_crc32c, "binary"))
+    spark.udf.register("crc32c", F.arrow_udf(_crc32c, "binary"))
     spark.udf.register("crc32c_combine", F.pandas_udf(_combine_group, "binary"))
     spark.dataSource.register(tree.TreeSource)
     spark.dataSource.register(sink.TreeSink)

@@ -38,6 +38,7 @@ def chunked_outcomes(messages: DataFrame, threshold: int = 65536) -> DataFrame:
     log = written(messages.select(*small, F.coalesce(size, F.lit(0).cast("long")).alias("_n"), F.coalesce(good_sum, F.lit(False)).alias("_sum"), (F.col("raw_len") == size).alias("_whole"), crc_value(F.col("checksum")).alias("_crc")), "audit-log")
     begins = log.filter(F.col("msg_type") == BEGIN).withColumn("_fault", F.when(~F.coalesce(sized, F.lit(False)), _reason("BAD_CHUNK")).when(~is_safe_name("name"), _reason("BAD_CREATE")))
     opened = begins.filter("_fault is null").groupBy(*_ENTRY).agg(F.min_by(F.struct("arrival", "file_id", "final_size", "chunk_size", "chunk_count", "file_crc"), "arrival").alias("o"))
+    opened = written(opened, "audit-opened")  # this, what is done and what is closed: a row an entry, read several times below
     chunks = log.filter(F.col("msg_type") == CHUNK).join(opened, _ENTRY, "left")
     length = F.least(F.col("o.chunk_size"), F.col("o.final_size") - F.col("chunk_index") * F.col("o.chunk_size"))
     geometry = (
@@ -55,7 +56,8 @@ def chunked_outcomes(messages: DataFrame, threshold: int = 65536) -> DataFrame:
     done = firsts.groupBy(*_ENTRY).agg(F.count("*").alias("chunks"), F.max("_first").alias("full")).join(whole, _ENTRY).join(opened, _ENTRY)
     right = F.coalesce(F.col("whole") == F.col("o.file_crc"), F.lit(False))
     done = done.withColumn("full", F.when(F.col("chunks") == F.col("o.chunk_count"), F.col("full"))).withColumn("right", right)
-    commits = log.filter(F.col("msg_type") == COMMIT).join(opened, _ENTRY, "left").join(done.select(*_ENTRY, "full", "right"), _ENTRY, "left")
+    done = written(done.select(*_ENTRY, "full", "right"), "audit-done")
+    commits = log.filter(F.col("msg_type") == COMMIT).join(opened, _ENTRY, "left").join(done, _ENTRY, "left")
     fault = (
         F.when(F.col("o").isNull() | (F.col("o.arrival") > F.col("arrival")), _reason("BAD_COMMIT"))
         .when(F.col("file_id") != F.col("o.file_id"), _reason("BAD_FILE_ORDER"))
@@ -64,6 +66,7 @@ def chunked_outcomes(messages: DataFrame, threshold: int = 65536) -> DataFrame:
     )
     commits = commits.withColumn("_fault", fault)
     closed = commits.filter("_fault is null").groupBy(*_ENTRY).agg(F.min("arrival").alias("closed"), F.first("o.final_size").alias("closed_size"))
+    closed = written(closed, "audit-closed")
 
     again = F.lit(False).alias("_again")
     common = ["stream_id", "arrival", "msg_type", "seq", "file_id", "_fault"]
